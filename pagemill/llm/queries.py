@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, packing, token_counts
+from pagemill.llm import chat, decontaminate, language, packing, sharding, token_counts, topk, toxicity, url_filter
 from pagemill.llm import sql as oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,82 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op2_external_shuffle")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a random order, dealt to 8 shards of as many rows each."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, name = sharding.shuffle_shards(docs, shards=8)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return found.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.col(f"{name}.shard").alias("shard"),
+        F.col(f"{name}.slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@_query("op3_top_k", oracle.TOP_K)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all other vectors for every vector whose id 20 divides."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+#: The rules of op4, as (verdict, host, path).
+URL_RULES = [
+    url_filter.Rule("block", "com", "/en/"),
+    url_filter.Rule("allow", "example.com", "/en/7"),
+    url_filter.Rule("allow", "net", "/de/"),
+    url_filter.Rule("block", "example.net", "/de/8"),
+    url_filter.Rule("block", "org", "/es/"),
+]
+
+
+@_query("op4_url_filter", oracle.URL_FILTER)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the rules; a URL that none fits is allowed."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    found, name = url_filter.judge(pages, URL_RULES, default="allow")
+    return found.select("page_id", *[F.col(f"{name}.{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+def language_model(spark: SparkSession, docs: DataFrame) -> language.Model:
+    """Learned from the text and lang of the documents that op5 doesn't hold out."""
+    return language.fit(docs.where(~language.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+
+
+@_query("op5_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model that has not seen a fifth of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_model(spark, docs)
+    found, name = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        language.held_out(F.col("doc_id")).alias("held_out"),
+        F.col(f"{name}.lang").alias("lang_pred"),
+        F.col(f"{name}.score").alias("score"),
+        F.col(f"{name}.rejected").alias("rejected"),
+    )
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the labelled documents that op7 doesn't hold out."""
+    own = labels.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    return toxicity.fit(docs.select("doc_id", "text").join(own, "doc_id"))
+
+
+@_query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a model that has not seen a third of the labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, name = toxicity.score(docs, toxicity_model(spark, docs, _table(spark, sf_dir, "labels")))
+    s = F.col(f"{name}.score")
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), s.alias("score"), (s >= 0.7).cast("int").alias("predicted"))
+
+
 @_query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document; texts of over 512 tokens are marked."""
@@ -60,3 +136,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.array_sort(items)).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@_query("op10_quotation_linking")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, with the message that it answers and its place in the thread."""
+    return chat.link_quotes(_table(spark, sf_dir, "conversations"))
