@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,6 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package, wherever the driver has it from; once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_pagemill_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="pagemill-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/pagemill.zip", "w") as z:
+        for at, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(top)))
+    context.addPyFile(f"{folder}/pagemill.zip")
+    context._pagemill_shipped = True
+
+
+def map_arrow(df: DataFrame, f: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 class WorkTables:
     """Parquet tables in the shared folder: they cut lineage and survive lost executors."""
 
@@ -98,7 +123,7 @@ def append_struct(
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
 
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema.fields), T.StructField(name, result, True)])
-    return df.mapInArrow(run, schema), name
+    return map_arrow(df, run, schema), name
 
 
 def _arrow_struct(t: T.StructType) -> pa.StructType:

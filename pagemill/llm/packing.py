@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WorkTables
+from pagemill.llm.common import WorkTables, map_arrow
 from pagemill.llm.tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, part int, local_rank bigint"
@@ -126,7 +126,7 @@ def pack(
     spark = docs.sparkSession
     work = WorkTables(spark, "packing")
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    pieces = work.keep(source.mapInArrow(_pieces(capacity, end_id, tokenizer, ranks), PIECES), "pieces")
+    pieces = work.keep(map_arrow(source, _pieces(capacity, end_id, tokenizer, ranks), PIECES), "pieces")
     counts = pieces.groupBy("length", "part").agg((F.max("local_rank") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = work.keep(counts.select("length", "part", "n", before.alias("earlier")), "counts")

@@ -92,7 +92,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from the labelled documents that op7 doesn't hold out."""
     own = labels.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    return toxicity.fit(docs.select("doc_id", "text").join(own, "doc_id"))
+    return toxicity.fit(docs.select("doc_id", "text"), own)
 
 
 @_query("op7_toxicity")

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WorkTables, fresh_name
+from pagemill.llm.common import WorkTables, fresh_name, map_arrow
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -78,7 +78,7 @@ def shuffle_shards(
     scattered = docs.withColumn(tie, F.monotonically_increasing_id()).withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(tie)), F.lit(buckets)).cast("int"))
     exchanged = scattered.repartitionById(buckets, F.col(bucket)) if buckets > 1 else scattered.repartition(1)
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField(bucket, T.IntegerType()), T.StructField(place, T.LongType())]
-    shuffled = work.keep(exchanged.mapInArrow(_shuffle(bucket, place, tie, seed), T.StructType(fields)), "buckets")
+    shuffled = work.keep(map_arrow(exchanged, _shuffle(bucket, place, tie, seed), T.StructType(fields)), "buckets")
     counts = shuffled.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
     # one row for each bucket; each bucket is bucket_bytes of data
     earlier = F.coalesce(F.sum("n").over(W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

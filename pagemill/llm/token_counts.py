@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WorkTables, fresh_name, shared_dir
+from pagemill.llm.common import WorkTables, fresh_name, map_arrow, shared_dir
 from pagemill.llm.tokens import encoder
 
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
@@ -75,7 +75,7 @@ def count_tokens(
     stored = read_cache(spark, cache_path, version)
     texts = docs.select(digest.alias("digest"), text.alias("text")).dropDuplicates(["digest"])
     misses = texts.join(stored, "digest", "left_anti") if not _is_empty(stored) else texts
-    counted = misses.mapInArrow(_encode(tokenizer, ranks), "digest binary, n_tokens bigint")
+    counted = map_arrow(misses, _encode(tokenizer, ranks), "digest binary, n_tokens bigint")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache_path)
     key, n = fresh_name([*docs.columns, name], "key"), fresh_name([*docs.columns, name], "stored_n")
     counts = read_cache(spark, cache_path, version).select(F.col("digest").alias(key), F.col("n_tokens").alias(n))

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import map_arrow
+
 #: Sums up to here are exact in doubles.
 _EXACT = float(1 << 52)
 
@@ -148,7 +150,7 @@ def top_k(
             own.sort(key=lambda x: x[0])
             queries[d] = (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.int64).reshape(len(own), d))
         shared = spark.sparkContext.broadcast(queries)
-        parts.append(rows.mapInArrow(_on(shared, k, block), "query_id bigint, vec_id bigint, score bigint"))
+        parts.append(map_arrow(rows, _on(shared, k, block), "query_id bigint, vec_id bigint, score bigint"))
     found = parts[0]
     for more in parts[1:]:
         found = found.unionAll(more)

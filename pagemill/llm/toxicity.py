@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import append_struct
+from pagemill.llm.common import WorkTables, append_struct, map_arrow
 
 #: English insults that need no label to count.
 BASE_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "imbecile", "scumbag", "dumbass", "asshole")
@@ -117,11 +117,12 @@ def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
 
 
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     *,
+    id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    order_cols: tuple[str, ...] = ("doc_id",),
     per_label: int = 6000,
     most_entries: int = 5000,
     least_share: float = 0.02,
@@ -130,24 +131,29 @@ def fit(
 ) -> Model:
     """Learn the lexicon's own entries and the curve from at most about ``per_label`` rows of each label.
 
-    The sample is drawn by a hash of ``order_cols``, which serve for nothing else; equal texts count
-    once. An entry is kept if at least ``least_share`` of the sample's toxic texts hold it (and 4 of
-    them) and its log odds against the others are ``least_odds`` or more; where a prefix is kept,
-    longer entries of it are kept only with better odds. Without labelled rows of both kinds the base
-    words stand alone, with a fixed curve. Rows with a null label are left out.
+    The sample is drawn from the labels' ids by a hash, which serves for nothing else; so the join
+    with the texts broadcasts twice ``per_label`` ids. Equal texts count once; an id with labels of
+    both kinds counts as toxic. An entry is kept if at least ``least_share`` of the sample's toxic texts
+    hold it (and 4 of them) and its log odds against the others are ``least_odds`` or more; where a
+    prefix is kept, longer entries of it are kept only with better odds. Without labelled texts of both
+    kinds the base words stand alone, with a fixed curve. Null labels and ids are left out.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), F.xxhash64(F.lit(seed), *order_cols).alias("o"))
-    n = {int(r["toxic"] > 0): r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark = docs.sparkSession
+    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     plain = Model(tuple((w, 3.0) for w in BASE_WORDS), EXCEPTIONS, (-2.0, 1.5, 1.0))
     if not n.get(0) or not n.get(1):
         return plain
     share = lambda k: min(1_000_000, -(-per_label * 1_000_000 // n[k]))
-    sample = rows.where(F.pmod("o", F.lit(1_000_000)) < F.when(F.col("toxic") > 0, share(1)).otherwise(share(0))).dropDuplicates(["text", "toxic"])
-    sized = {int(r["t"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < F.when(F.col("toxic") > 0, share(1)).otherwise(share(0)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("text", "toxic").distinct()
+    work = WorkTables(spark, "toxicity")
+    sample = work.keep(texts, "sample")
+    sized = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_clean, n_toxic = sized.get(0, 0), sized.get(1, 0)
     if not n_clean or not n_toxic:
         return plain
-    counts = sample.select("text", "toxic").mapInArrow(_count, "entry string, clean bigint, toxic bigint").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = map_arrow(sample, _count, "entry string, clean bigint, toxic bigint").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (n_clean - F.col("clean") + 0.5))
     kept = counts.where(F.col("toxic") >= max(4, math.ceil(least_share * n_toxic))).withColumn("odds", odds).where(F.col("odds") >= least_odds)
     found = {r["entry"]: (float(r["odds"]), int(r["toxic"])) for r in kept.orderBy(F.desc("toxic"), "entry").limit(most_entries).collect()}
@@ -157,10 +163,11 @@ def fit(
         if not shorter or found[e][0] > max(shorter) + 0.5:
             entries[e] = max(entries.get(e, 0.0), found[e][0])
     model = Model(tuple(sorted(entries.items())), EXCEPTIONS, plain.curve)
-    weighed, name = append_struct(sample, ["text"], _weigher(labelled.sparkSession.sparkContext.broadcast(model)), _FEATURES, "weights")
-    got = sorted((r["o"], r["toxic"], r["hits"], r["density"]) for r in weighed.select("o", "toxic", f"{name}.hits", f"{name}.density").collect())
-    x = np.array([features(h, d) for _, _, h, d in got])
-    y = np.array([float(t > 0) for _, t, _, _ in got])
+    weighed, name = append_struct(sample, ["text"], _weigher(spark.sparkContext.broadcast(model)), _FEATURES, "weights")
+    got = sorted((r["toxic"], r["hits"], r["density"]) for r in weighed.select("toxic", f"{name}.hits", f"{name}.density").collect())
+    work.drop_all()
+    x = np.array([features(h, d) for _, h, d in got])
+    y = np.array([float(t) for t, _, _ in got])
     # each label has as much weight as in all labelled rows
     weight = np.where(y > 0, n[1] / n_toxic, n[0] / n_clean)
     return Model(model.entries, EXCEPTIONS, logistic(x, y, weight / weight.mean()))
