@@ -36,6 +36,7 @@ _HOMOGLYPHS = {
 #: Characters of a folded word that an entry may have at most.
 LONGEST = 24
 SHORTEST = 4
+LONGEST_PREFIX = 10
 
 _fold = {ord(k): v for k, v in (_DIGITS | _HOMOGLYPHS).items()}
 _fold |= {c: chr(c - 0xFEE0).lower() for c in range(0xFF21, 0xFF5B) if chr(c - 0xFEE0).isalpha()}  # full-width letters
@@ -94,7 +95,7 @@ def entries_of(words: list[str]) -> set[str]:
     """The whole words of a text, marked by a blank behind, and their prefixes."""
     own = set(words)
     out = {f"{w} " for w in own if 3 <= len(w) <= LONGEST}
-    for n in range(SHORTEST, 9):
+    for n in range(SHORTEST, LONGEST_PREFIX + 1):
         out.update(w[:n] for w in own if len(w) >= n)
     return out
 
@@ -125,7 +126,7 @@ def fit(
     label_col: str = "toxic",
     per_label: int = 6000,
     most_entries: int = 5000,
-    least_share: float = 0.02,
+    least_share: float = 0.006,
     least_odds: float = 3.5,
     seed: int = 7,
 ) -> Model:
@@ -134,8 +135,9 @@ def fit(
     The sample is drawn from the labels' ids by a hash, which serves for nothing else; so the join
     with the texts broadcasts twice ``per_label`` ids. Equal texts count once; an id with labels of
     both kinds counts as toxic. An entry is kept if at least ``least_share`` of the sample's toxic texts
-    hold it (and 4 of them) and its log odds against the others are ``least_odds`` or more; where a
-    prefix is kept, longer entries of it are kept only with better odds. Without labelled texts of both
+    hold it (and 4 of them) and its log odds against the others are ``least_odds`` or more. A prefix
+    gives way to a longer entry that nine tenths of its toxic texts hold; of a prefix that is kept,
+    longer entries stay only with better odds. Without labelled texts of both
     kinds the base words stand alone, with a fixed curve. Null labels and ids are left out.
     """
     spark = docs.sparkSession
@@ -158,7 +160,8 @@ def fit(
     kept = counts.where(F.col("toxic") >= max(4, math.ceil(least_share * n_toxic))).withColumn("odds", odds).where(F.col("odds") >= least_odds)
     found = {r["entry"]: (float(r["odds"]), int(r["toxic"])) for r in kept.orderBy(F.desc("toxic"), "entry").limit(most_entries).collect()}
     entries = {w: max(3.0, found.get(f"{w} ", (0, 0))[0]) for w in BASE_WORDS}
-    for e in sorted(found, key=lambda e: (len(e), e)):
+    covered = {e[:k] for e in found for k in range(SHORTEST, len(e)) if e[:k] in found and found[e][1] >= 0.9 * found[e[:k]][1]}
+    for e in sorted(set(found) - covered, key=lambda e: (len(e), e)):
         shorter = [found[e[:k]][0] for k in range(SHORTEST, len(e)) if e[:k] in entries and e[:k] in found]
         if not shorter or found[e][0] > max(shorter) + 0.5:
             entries[e] = max(entries.get(e, 0.0), found[e][0])
