@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, decontaminate, language, packing, sharding, token_counts, topk, toxicity, url_filter
+from pagemill.llm import chat, decontaminate, language, neardup, packing, sharding, token_counts, topk, toxicity, url_filter
 from pagemill.llm import sql as oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_near_duplicates", oracle.NEAR_DUPLICATES)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near-duplicates."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query("op2_external_shuffle")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in a random order, dealt to 8 shards of as many rows each."""
