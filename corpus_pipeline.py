@@ -1,8 +1,70 @@
-"""The corpus pipeline: see STAGES."""
+"""From raw documents to packed training sequences.
 
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
+written as Parquet and read again as the next one's ``docs``. All but the last give back the columns
+of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.llm import decontaminate, language, neardup, packing, queries, toxicity
+from pagemill.llm.common import WorkTables
+
+#: SQL can't train the classifiers, nor plan best fit; tests compare the stages with plain versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _documents(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model is sure of; those without a letter go as well."""
+    model = queries.language_model(spark, docs)
+    found, name = language.identify(docs, model)
+    return _documents(found.where(~F.col(f"`{name}`.rejected")), docs)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity under 0.7."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found, name = toxicity.score(docs, queries.toxicity_model(spark, docs, labels))
+    return _documents(found.where(F.col(f"`{name}`.score") < 0.7), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    return neardup.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a ten-word window of any benchmark item."""
+    return decontaminate.clean_only(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces, with their ids and their places in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    work = WorkTables(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = work.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
