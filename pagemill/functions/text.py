@@ -286,8 +286,14 @@ def effective_language(detected: Column, wanted: Column) -> Column:
 # -- spoken forms ---------------------------------------------------------------------------------
 
 
-def _spoken_steps() -> list[tuple[str, str, bool]]:
-    """Rewrites in order, as (pattern, replacement with $ groups, any case)."""
+def _abbreviations() -> list[tuple[str, str, str]]:
+    """(text, pattern, replacement) of each abbreviation, the longest first; blanks around it are taken with it."""
+    keys = sorted(P.ABBREVIATIONS, key=lambda k: (-len(k.encode()), k))
+    return [(k, rf"(^|[\s(\[]){P.quoted(k)}($|[\s,.:;!?)\]\-])", f"$1{P.ABBREVIATIONS[k]}$2") for k in keys]
+
+
+def _spoken_steps() -> tuple[list[tuple[str, str, bool]], list[tuple[str, str, bool]]]:
+    """Rewrites before and after the abbreviations, in order, as (pattern, replacement with $ groups, any case)."""
     steps = [
         (r"([\p{L}\p{N}_]+)-\s*\n\s*([\p{L}\p{N}_]+)", "$1$2", False),
         (r"(\d+)\s*[×xX]\s*(\d+)", "$1 by $2", False),
@@ -298,10 +304,7 @@ def _spoken_steps() -> list[tuple[str, str, bool]]:
     steps += [(r"(^|[^A-Za-z0-9_])F(\d)[\-\s]?score", "$1F$2 score", True), (rf"{P.NUMBER}\s*±\s*{P.NUMBER}", "$1 plus or minus $2", False)]
     steps += [(rf"{P.NUMBER}\s*([<>≤≥])\s*{P.NUMBER}", "$1 \u0001$2\u0001 $3", False), *spelled]
     steps.append((rf"{P.NUMBER}\s*%", "$1 percent", False))
-    for short in sorted(P.ABBREVIATIONS, key=lambda k: (-len(k.encode()), k)):
-        steps.append((rf"(^|[\s(\[]){P.quoted(short)}($|[\s,.:;!?)\]\-])", f"$1{P.ABBREVIATIONS[short]}$2", False))
-    steps += [(r"([\p{L}\p{N}_])\s*[–—]\s*([\p{L}\p{N}_])", "$1, $2", False), (P.MANY_BLANKS, " ", False)]
-    return steps
+    return steps, [(r"([\p{L}\p{N}_])\s*[–—]\s*([\p{L}\p{N}_])", "$1, $2", False), (P.MANY_BLANKS, " ", False)]
 
 
 #: A text without any of these has nothing to be spoken otherwise.
@@ -310,15 +313,19 @@ _SPOKEN_TRIGGER = r"[×±<>≤≥%–—]|\d\s*[xX]\s*\d|-\s*\n|(?i:F\d[\-\s]?sc
 
 def verbalized(text: Column) -> Column:
     """Scientific notation as it is spoken. Texts without any of it pass one test instead of all rewrites."""
-    t = text
-    for pattern, by, ignore_case in _spoken_steps():
-        t = replaced(t, pattern, by, ignore_case)
+    first, last = _spoken_steps()
+    t = reduce(lambda x, step: replaced(x, *step), first, text)
+    # a pattern is compiled and run for those abbreviations only that a text holds
+    short = F.array(*[F.struct(F.lit(k).alias("text"), F.lit(P.java(p)).alias("pattern"), F.lit(by).alias("by")) for k, p, by in _abbreviations()])
+    t = F.aggregate(short, t, lambda acc, x: F.when(F.contains(acc, x["text"]), F.regexp_replace(acc, x["pattern"], x["by"])).otherwise(acc))
+    t = reduce(lambda x, step: replaced(x, *step), last, t)
     return F.when(matches(text, _SPOKEN_TRIGGER), trimmed(t)).otherwise(trimmed(text))
 
 
 def sql_verbalized(text: str) -> str:
     t = text
-    for pattern, by, ignore_case in _spoken_steps():
+    first, last = _spoken_steps()
+    for pattern, by, ignore_case in [*first, *((p, by, False) for _, p, by in _abbreviations()), *last]:
         t = sql_replaced(t, pattern, by.replace("$1", r"\1").replace("$2", r"\2").replace("$3", r"\3"), ignore_case)
     return sql_trimmed(t)
 

@@ -95,7 +95,7 @@ def with_duration(files: DataFrame) -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """metadata.json of every folder below ``path``, with the folder's name; unreadable ones have nulls."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").text(path, wholetext=True)
     return raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder"), F.from_json("value", METADATA).alias("m"))
 
 
