@@ -37,6 +37,7 @@ COORDINATES = TREES + BRANCHES
 #: Equal sketch coordinates that a candidate pair has at least.
 LEAST_EQUAL = 28
 _WORDS_AT_ONCE = 50_000
+_BYTES_AT_ONCE = 4_000_000
 _ALL = (1 << 64) - 1
 
 
@@ -81,6 +82,8 @@ def shingles(words: list[bytes]) -> np.ndarray:
         parts = [shingles(words[i : i + _WORDS_AT_ONCE + WIDTH - 1]) for i in range(0, len(words) - WIDTH + 1, _WORDS_AT_ONCE)]
         return np.unique(np.concatenate(parts))
     line = np.frombuffer(b" ".join(words), np.uint8)
+    if len(line) > _BYTES_AT_ONCE:  # words of a great length stand for themselves by a digest
+        line = np.frombuffer(b" ".join(words := [w if len(w) <= 64 else hashlib.blake2b(w, digest_size=24).digest() for w in words]), np.uint8)
     up, down = _power(len(line) + 1)
     sums = np.zeros(len(line) + 1, np.uint64)
     np.cumsum(_BYTE[line] * up[: len(line)], out=sums[1:])
@@ -250,11 +253,39 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def components(work: WorkTables, edges: DataFrame) -> DataFrame:
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of the edges a-b and the smallest vertex of each one's component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        while not np.array_equal(jumped := new[new], new):
+            new = jumped
+        if np.array_equal(new, label):
+            return ids, ids[label]
+        label = new
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if whole:
+        ids, labels = joined(np.concatenate([x for x, _ in whole]), np.concatenate([y for _, y in whole]))
+        for i in range(0, len(ids), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 50_000]), pa.array(labels[i : i + 50_000])], names=["vid", "label"])
+
+
+def components(work: WorkTables, edges: DataFrame, at_once: int = 2_000_000) -> DataFrame:
     """(vid, label) of every vertex that has an edge (a, b): label is its component's smallest vertex.
 
-    Large-star and small-star steps in turn, each an aggregate and a join, until nothing changes.
+    ``edges`` is a written table. Up to ``at_once`` edges, 32 MB, are one task's work; more are joined by
+    large-star and small-star steps in turn, each an aggregate and a join, until nothing changes.
     """
+    if edges.count() <= at_once:
+        return map_arrow(edges.repartition(1), _join_all, "vid bigint, label bigint")
     e = work.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = _mark(e)
     while mark[0]:
@@ -296,7 +327,7 @@ def _candidates(work: WorkTables, reps: DataFrame, small: int, dense: float, mos
             pivots = whole.groupBy("node").agg(F.min("vid").alias("pivot"))
             found = found.unionAll(whole.join(pivots, "node").where("vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")))
             big = big.where(~alike)
-        found = work.keep(found.distinct(), "found")
+        found = work.keep(found, "found")
         edges = found if edges is None else edges.unionAll(found)
         if big is None or big.isEmpty():
             break
@@ -328,10 +359,10 @@ def near_duplicates(
     work = WorkTables(spark, "neardup")
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     parsed = work.keep(map_arrow(source, _parse, _PARSED), "parsed")
-    light = parsed.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep_id"))
-    # the heavy columns of one row for each digest; equal digests have equal sets
-    heavy = parsed.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("rep_id"), "digest", "n_shingles", "roots", "branches", "sketch")
-    reps = heavy.join(light, ["digest", "rep_id"], "left_semi").dropDuplicates(["digest"]).withColumn("vid", F.monotonically_increasing_id())
+    # one row for each digest: equal digests have equal sets, and the smallest document stands for them
+    best = F.min(F.struct("doc_id", "n_shingles", "roots", "branches", "sketch")).alias("r")
+    reps = parsed.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(best)
+    reps = reps.select("digest", F.col("r.doc_id").alias("rep_id"), "r.n_shingles", "r.roots", "r.branches", "r.sketch", F.monotonically_increasing_id().alias("vid"))
     reps = work.keep(reps, "reps")
     labels = work.keep(components(work, _candidates(work, reps, small, dense, most_levels)), "labels")
     members = labels.join(reps.select("vid", "rep_id", "digest", "n_shingles", "sketch"), "vid")
@@ -348,10 +379,9 @@ def near_duplicates(
     final = decided.where("last").select("vid", F.col("root_id").alias("component"))
     cut = decided.where("not last")
     if not cut.isEmpty():
-        joined = components(work, cut.select(F.col("vid").alias("a"), F.col("root").alias("b")))
-        joined = joined.join(reps.select("vid", "rep_id"), "vid")
-        least = joined.groupBy("label").agg(F.min("rep_id").alias("component"))
-        final = final.unionAll(joined.join(least, "label").select("vid", "component"))
+        whole = components(work, cut.select(F.col("vid").alias("a"), F.col("root").alias("b"))).join(reps.select("vid", "rep_id"), "vid")
+        least = whole.groupBy("label").agg(F.min("rep_id").alias("component"))
+        final = final.unionAll(whole.join(least, "label").select("vid", "component"))
     found = reps.select("digest", "vid", "rep_id").join(final, "vid", "left").select("digest", F.coalesce("component", "rep_id").alias("component"))
     out = parsed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
