@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from pagemill.functions.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
@@ -21,36 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is absent, a local session gets a temporary folder of its own; on a cluster
     that would be wrong, so there it is an error.
     """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_pagemill_dir", None)
     if found:
         return found.rstrip("/")
-    master = spark.sparkContext.master
+    master = context.master
     if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="pagemill-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", made)
+    context.setCheckpointDir(made)
+    context._pagemill_dir = made
     return made
 
 
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package, wherever the driver has it from; once for each context."""
-    context = spark.sparkContext
-    if getattr(context, "_pagemill_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="pagemill-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/pagemill.zip", "w") as z:
-        for at, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(top)))
-    context.addPyFile(f"{folder}/pagemill.zip")
-    context._pagemill_shipped = True
-
-
 def map_arrow(df: DataFrame, f: Callable, schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
