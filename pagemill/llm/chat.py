@@ -65,16 +65,15 @@ def link_quotes(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
-    max_depth: int = 40,
 ) -> DataFrame:
     """One row for each message, with its parent and its place in reply order.
 
     Columns: conv_id, turn, role, body (the text without quoted lines), n_passages, n_linked,
-    max_level, reply_to (the parent's turn), root (the thread's first turn) and depth; ordering a
-    conversation by root, depth, turn puts each message after the one that it answers. A null text
+    max_level, reply_to (the parent's turn), thread (the turn that began this run of answers, each to
+    the message before it), root (the conversation's first turn) and depth. Reply order is by thread,
+    then turn: threads stand one after the other, and each message after the one that it answers. A null text
     is an empty body. A null conversation or turn stands for itself: such rows link to nothing.
-    Repeated (conversation, turn) rows are kept each and share the links. Threads deeper than
-    2 ** ``max_depth`` don't occur: a parent's turn is always the smaller one.
+    Repeated (conversation, turn) rows are kept each and share the links.
     """
     spark = messages.sparkSession
     work = WorkTables(spark, "chat")
@@ -113,7 +112,8 @@ def link_quotes(
     )
     # only passages' hashes need partners; wholes and single lines share one index
     pieces = F.array_distinct(F.concat(F.array(F.col("body")), F.col("own")))
-    index = keyed.select("conv_id", F.col("turn").alias("source"), F.explode(pieces).alias("piece")).select("conv_id", "source", normalised(F.col("piece")).alias("piece")).where("piece <> ''").select("conv_id", "source", F.xxhash64("piece").alias("h")).distinct()
+    quoting = keyed.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
+    index = quoting.select("conv_id", F.col("turn").alias("source"), F.explode(pieces).alias("piece")).select("conv_id", "source", normalised(F.col("piece")).alias("piece")).where("piece <> ''").select("conv_id", "source", F.xxhash64("piece").alias("h")).distinct()
     wanted = quoted.select("conv_id", "turn", "no", "level", F.explode(F.array(F.struct(F.lit(1).alias("way"), F.col("whole").alias("h")), F.struct(F.lit(0).alias("way"), F.col("first").alias("h")))).alias("w")).select("conv_id", "turn", "no", "level", "w.way", "w.h")
     # an as-of pass over sources and questions together: it makes no pairs
     asked = wanted.select("conv_id", "h").distinct()
@@ -126,9 +126,8 @@ def link_quotes(
     links = work.keep(links, "links")
     turns = keyed.select("conv_id", F.col("turn").alias("at"), F.col("turn").alias("value")).distinct()
     follow = _latest_before(turns, ["conv_id"], "before").select("conv_id", F.col("at").alias("turn"), "before")
-    parents = follow.join(links, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("quoted_turn", "before").alias("reply_to"))
-    parents = work.keep(parents, "parents")
-    tree = _roots(work, parents, max_depth)
+    parents = follow.join(links, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "before", F.coalesce("quoted_turn", "before").alias("reply_to"))
+    tree = _threads(work, work.keep(parents, "parents"))
     out = parsed.join(tree, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id",
@@ -139,6 +138,7 @@ def link_quotes(
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.coalesce("max_level", F.lit(0)).cast("long").alias("max_level"),
         "reply_to",
+        F.coalesce("thread", "turn").alias("thread"),
         F.coalesce("root", "turn").alias("root"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
@@ -157,15 +157,41 @@ def _latest_before(rows: DataFrame, keys: list[str], name: str, block: int = 102
     return rows.withColumn(name, inside).join(carried, [*keys, "block"]).withColumn(name, F.coalesce(name, "carried")).drop("block", "carried")
 
 
-def _roots(work: WorkTables, parents: DataFrame, max_depth: int) -> DataFrame:
-    """Root and depth of every message, by pointer doubling: each round doubles the distance known."""
-    at = work.keep(parents.withColumn("up", F.col("reply_to")).withColumn("depth", F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long")).withColumn("root", F.coalesce("reply_to", "turn")), "up")
-    for _ in range(max_depth):
-        if at.where("up is not null").isEmpty():
-            break
-        above = at.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
-        at = work.keep(
-            at.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", "n_linked", "reply_to", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root")),
-            "up",
+def _running(rows: DataFrame, value, how, name: str, block: int = 1024) -> DataFrame:
+    """``rows`` with ``how`` of ``value`` over their conversation's rows up to their turn, in two levels."""
+    rows = rows.withColumn("block", F.floor(F.col("turn") / block)).withColumn("value", value)
+    upto = W.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    blocks = rows.groupBy("conv_id", "block").agg(how("value").alias("of_block"))
+    before = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select("conv_id", "block", how("of_block").over(before).alias("carried"))
+    both = rows.withColumn("inside", how("value").over(upto)).join(carried, ["conv_id", "block"])
+    return both.withColumn(name, _either(how, F.col("inside"), F.col("carried"))).drop("block", "value", "inside", "carried")
+
+
+def _either(how, a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) if how is F.sum else F.coalesce(a, b)
+
+
+def _threads(work: WorkTables, parents: DataFrame) -> DataFrame:
+    """Thread, root and depth of every message.
+
+    Most messages answer the one before them; such runs are threads, and only threads are followed up
+    to their roots, by pointer doubling: each round doubles the distance known, for what is still open.
+    """
+    starts = F.when(~F.coalesce(F.col("reply_to") == F.col("before"), F.lit(False)), F.col("turn"))
+    rows = work.keep(_running(_running(parents, F.lit(1).cast("long"), F.sum, "index"), starts, F.max, "thread"), "runs")
+    first = rows.where("turn = thread").select("conv_id", "thread", "reply_to", F.col("index").alias("first_index"))
+    rows = rows.join(first.select("conv_id", "thread", "first_index"), ["conv_id", "thread"]).withColumn("place", F.col("index") - F.col("first_index"))
+    parent = rows.select("conv_id", F.col("turn").alias("reply_to"), F.col("thread").alias("up"), (F.col("place") + 1).alias("up_depth"))
+    open_ = first.where("reply_to is not null").join(parent, ["conv_id", "reply_to"]).select("conv_id", "thread", "up", F.col("up_depth").alias("depth"))
+    done = first.where("reply_to is null").select("conv_id", "thread", F.col("thread").alias("root"), F.lit(0).cast("long").alias("depth"))
+    open_, done = work.keep(open_, "open"), work.keep(done, "done")
+    while not open_.isEmpty():
+        above = done.select("conv_id", F.col("thread").alias("up"), "root", F.col("depth").alias("more"), F.lit(None).cast("long").alias("next")).unionAll(
+            open_.select("conv_id", F.col("thread").alias("up"), F.lit(None).cast("long").alias("root"), F.col("depth").alias("more"), F.col("up").alias("next"))
         )
-    return at.select("conv_id", "turn", "n_linked", "reply_to", "root", "depth")
+        moved = work.keep(open_.join(above, ["conv_id", "up"]).select("conv_id", "thread", "root", "next", (F.col("depth") + F.col("more")).alias("depth")), "moved")
+        done = done.unionAll(moved.where("root is not null").select("conv_id", "thread", "root", "depth"))
+        open_ = moved.where("root is null").select("conv_id", "thread", F.col("next").alias("up"), "depth")
+    found = rows.join(done.select("conv_id", "thread", "root", F.col("depth").alias("above")), ["conv_id", "thread"])
+    return found.select("conv_id", "turn", "n_linked", "reply_to", "thread", "root", (F.col("above") + F.col("place")).alias("depth"))
