@@ -371,3 +371,14 @@ def silent_frames(pause: Column, rate: int) -> Column:
 def length_scale(rate: Column) -> Column:
     """Slower speech takes longer: the inverse of the rate, which stays between 0.7 and 1.4."""
     return F.round(1 / F.least(F.greatest(rate, F.lit(0.7)), F.lit(1.4)), 3)
+
+
+def preview(text: Column, most_bytes: int = 20_000, mark: str = "\n…") -> Column:
+    """As many characters of a text as fit into so many bytes, with a mark if there is more."""
+    # a character has four bytes at most, so the cut lies among few candidates; an invalid end is cut off
+    raw = F.substring(text.cast("binary"), 1, most_bytes)
+    return F.when(F.octet_length(text) > most_bytes, F.concat(F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\uFFFD+\\z", ""), F.lit(mark))).otherwise(text)
+
+
+def safe_ratio(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))

@@ -104,3 +104,44 @@ def merged_stats(cleaned: DataFrame, reviewed: DataFrame) -> DataFrame:
     r = cleaned.join(reviewed, "doc_id", "left")
     removed = F.coalesce("removed", F.lit(0))
     return r.select("doc_id", (F.col("total") + removed).alias("total"), "kept", (F.col("dropped") + removed).alias("dropped"), F.coalesce("processed", F.lit(0)).alias("reviewed"), removed.alias("review_dropped"), F.lit(0).alias("review_rewritten"))
+
+
+# What a reply may have, and how long it may take.
+MOST_REPLY_BYTES, TIMEOUT_S, ERROR_CHARS, MOST_TOKENS = 2 << 20, 150, 300, 2048
+INSTRUCTIONS = (
+    "You review blocks of text from pages of a scientific article, in reading order. Keep narrative prose and section headings; "
+    "drop affiliations, dates, keywords, labels of figures and tables, identifiers, addresses, page numbers, licence and copyright lines. "
+    'Change no text. Answer with JSON only: {"order":[id,...],"results":[{"id":id,"action":"KEEP" or "DROP","reason":"short"}]}'
+)
+
+
+def http_client(base_url: str, model: str = "", key: str = "", timeout: float = TIMEOUT_S) -> Callable[[str], str]:
+    """A client of a chat-completion endpoint, for ``replies``: no redirects, a bounded reply, temperature 0."""
+
+    def call(prompt: str) -> str:
+        import json
+        import urllib.error
+        import urllib.request
+
+        class Stay(urllib.request.HTTPRedirectHandler):
+            def redirect_request(self, *a, **k):
+                return None
+
+        body = {"model": model, "messages": [{"role": "system", "content": INSTRUCTIONS}, {"role": "user", "content": prompt}], "temperature": 0, "max_tokens": MOST_TOKENS}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key.strip() else {})
+        request = urllib.request.Request(base_url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.build_opener(Stay).open(request, timeout=timeout) as r:
+                data = r.read(MOST_REPLY_BYTES + 1)
+        except urllib.error.HTTPError as e:
+            raise RuntimeError(f"HTTP {e.code}: {e.read(4 * ERROR_CHARS).decode(errors='replace')[:ERROR_CHARS]}") from None
+        if len(data) > MOST_REPLY_BYTES:
+            raise RuntimeError(f"reply exceeds {MOST_REPLY_BYTES} bytes")
+        reply = json.loads(data)
+        if (reply.get("error") or {}).get("message"):
+            raise RuntimeError(f"server error: {reply['error']['message']}")
+        if not reply.get("choices"):
+            raise RuntimeError("completion contains no choices")
+        return reply["choices"][0]["message"]["content"]
+
+    return call

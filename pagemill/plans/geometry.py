@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
-from pagemill.operators import layout, reading_order
+from pagemill.operators import document, layout, reading_order
 from pagemill.operators import lines as L
 from pagemill.plans.cleaning import lines
 from pagemill.plans.registry import query
@@ -167,3 +167,10 @@ def glyph_blocks(spark, sf_dir):
 SELECT doc_id, page_no, CAST(greatest(612, max(w)) AS DOUBLE) AS width, CAST(greatest(792, max(h)) AS DOUBLE) AS height FROM glyph GROUP BY doc_id, page_no""")
 def page_dimensions(spark, sf_dir):
     return L.page_dimensions(glyphs(spark, sf_dir))
+
+
+@query("processed_documents")
+def processed_documents(spark, sf_dir):
+    b = placed(spark, sf_dir)
+    d = document.processed(b, B.page_sizes(b), B.picture_regions(b))
+    return d.select("doc_id", "text", "effective_language", "pages", "total", "kept", "dropped", "layout_dropped", "regions", "reviewed", "review_dropped")

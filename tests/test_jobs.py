@@ -145,3 +145,64 @@ def test_paths_and_secrets(spark, tmp_path):
     none = files.write_texts(spark.createDataFrame([(1, " x "), (2, " \n")], "doc_id long, text string"), str(tmp_path / "t"))
     assert [r["doc_id"] for r in none.collect()] == [2]
     assert [r["text"] for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["x\n"]
+
+
+def test_settings(tmp_path):
+    from pagemill.sources import settings
+
+    s = settings.load({"PAGEMILL_MAX_WORKERS": "0", "PAGEMILL_MAX_PAGES": "x", "PAGEMILL_REVIEW_ENABLED": "Yes", "PAGEMILL_DATA_DIR": str(tmp_path), "PAGEMILL_JOB_RETENTION_HOURS": "-3"})
+    assert (s.max_workers, s.max_pages, s.review_enabled, s.data_dir, s.job_retention_hours) == (1, 200, True, str(tmp_path), 0)
+    for bad in ({"PAGEMILL_MAX_PAGES": "0"}, {"PAGEMILL_SPEECH_RATE_MIN": "3"}):
+        with pytest.raises(ValueError):
+            settings.load(bad)
+
+
+def test_speech(spark):
+    from pagemill.operators import speech
+
+    texts = spark.createDataFrame([(1, "One sentence here. Another one, after it."), (2, "  ")], "doc_id long, text string")
+    chunks = speech.prepared(texts, limit=20, rate=1000)
+    got = speech.synthesized(chunks, lambda t: b"\1\0" * len(t), rate=1000).collect()
+    own = sorted(chunks.collect(), key=lambda r: r["chunk_no"])
+    assert [r["doc_id"] for r in got] == [1] and got[0]["chunks"] == len(own)
+    assert got[0]["seconds"] == pytest.approx(sum(len(r["chunk"]) + r["silent_frames"] for r in own) / 1000)
+    assert files.wav_seconds(bytes(got[0]["wav"])) == pytest.approx(got[0]["seconds"])
+    assert speech.pcm16([2.0, -2.0, 0.0]) == struct.pack("<hhh", 32767, -32767, 0)
+
+
+def test_http_client():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            prompt = body["messages"][1]["content"]
+            code = 302 if prompt == "move" else 500 if prompt == "fail" else 200
+            self.send_response(code)
+            if code == 302:
+                self.send_header("Location", "/elsewhere")
+            self.end_headers()
+            reply = {"choices": [] if prompt == "none" else [{"message": {"content": prompt + self.headers.get("Authorization", "")}}]}
+            self.wfile.write(json.dumps(reply).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        call = classifier.http_client(f"http://127.0.0.1:{server.server_port}/", key="k")
+        assert call("hi") == "hiBearer k"
+        for bad in ("fail", "none", "move"):
+            with pytest.raises(RuntimeError):
+                call(bad)
+    finally:
+        server.shutdown()
+
+
+def test_preview(spark):
+    from pagemill.functions import text as X
+
+    got = [r["x"] for r in spark.createDataFrame([("aéé",), ("abcd",), (None,)], "t string").select(X.preview(F.col("t"), 4, "…").alias("x")).collect()]
+    assert got == ["aé…", "abcd", None]

@@ -153,3 +153,20 @@ def test_line_labels(spark, text, size, top, want):
     df = spark.createDataFrame([(text, size, top)], "t string, s double, top double")
     label = lines.line_label(F.col("t"), F.col("s"), F.col("top"), F.col("top") - F.col("s"), F.lit(10.0), F.lit(792.0), F.lit(1))
     assert df.select(label.alias("x")).first()["x"] == want
+
+
+def test_processed_document(spark):
+    import json
+
+    from pagemill.operators import document
+
+    rows = [(1, i, t, "paragraph", 1, b) for i, (t, b) in enumerate([("Second column goes here.", box(320, 590, 100)), ("First column goes here.", box(30, 270, 100)), ("left lower part.", box(30, 270, 200)), ("inside a picture", box(330, 500, 400))])]
+    b = spark.createDataFrame(rows, BLOCKS)
+    sizes = spark.createDataFrame([(1, 1, 612.0, 792.0)], SIZES)
+    r = spark.createDataFrame([(1, "picture", 1, (320.0, 380.0, 520.0, 460.0))], REGIONS)
+    d = document.processed(b, sizes, r).first()
+    assert d["text"] == "First column goes here.\n\nleft lower part.\n\nSecond column goes here."
+    assert (d["total"], d["kept"], d["dropped"], d["layout_dropped"], d["regions"], d["reviewed"]) == (3, 3, 0, 1, 1, 0)
+    drop_first = lambda p: json.dumps({"results": [{"id": json.loads(p)[0]["id"], "action": "DROP"}]})
+    d = document.processed(b, sizes, r, review=drop_first).first()
+    assert (d["total"], d["kept"], d["dropped"], d["reviewed"], d["review_dropped"]) == (3, 2, 1, 3, 1)
