@@ -48,22 +48,30 @@ class WorkTables:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and give it back as a scan of what was written."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(kept)] = (kept, path)
+        return kept
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for df in frames:
-            for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                _delete(self.spark, folder)
+            _, path = self._paths.pop(id(df))
+            _delete(self.spark, path)
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Delete all tables but these."""
+        self.drop(*[df for df, _ in list(self._paths.values()) if not any(df is f for f in frames)])
 
     def drop_all(self) -> None:
         _delete(self.spark, self.root)
+        self._paths.clear()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -72,6 +80,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts: a part's texts as Python objects, and what is made of them, bound a worker's memory."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def fresh_name(taken: list[str], wanted: str) -> str:
     """``wanted``, or with a number behind it, so that no column of ``taken`` has the name."""
     have, name, k = {c.lower() for c in taken}, wanted, 0
@@ -100,7 +115,7 @@ def append_struct(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in slices(batches):
             rows = f(*(b.column(i) for i in places))
             fields = [pa.array([r[k] for r in rows], type=arrow_type.field(k).type) for k in range(arrow_type.num_fields)]
             made = pa.StructArray.from_arrays(fields, fields=[arrow_type.field(k) for k in range(arrow_type.num_fields)])

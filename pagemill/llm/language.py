@@ -108,13 +108,14 @@ def _bags() -> Callable:
                     bag += np.bincount(h[: max(0, min(CHUNK, len(c) - a - size + 1))], minlength=ROWS)
             bag[0] = 0
             at = np.flatnonzero(bag)
-            out.append((at.tolist(), bag[at].tolist()))
+            out.append((at.astype("<i4").tobytes(), bag[at].astype("<i8").tobytes()))
         return out
 
     return f
 
 
-_BAG = T.StructType([T.StructField("rows", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+#: Numbers as bytes: a list of Python integers takes several times the driver's memory.
+_BAG = T.StructType([T.StructField("rows", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
 def fit(
@@ -146,10 +147,10 @@ def fit(
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1_000_000, -(-per_language * 1_000_000 // n[k]))))])
     sample = rows.where(draw < F.coalesce(F.try_element_at(share, F.col(lang_col)), F.lit(0))).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(seed + 1), *order_cols).alias("o"), F.col(text_col).alias("text"))
     bagged, name = append_struct(sample, ["text"], _bags, _BAG, "bag")
-    got = sorted(bagged.select("lang", "o", f"{name}.rows", f"{name}.counts").where(F.size("rows") > 0).collect(), key=lambda r: (r["o"], r["lang"], r["rows"][:50]))
+    got = sorted(bagged.select("lang", "o", f"{name}.rows", f"{name}.counts").where(F.octet_length("rows") > 0).collect(), key=lambda r: (r["o"], r["lang"], bytes(r["rows"])))
     if not got:
         raise ValueError("no labelled row has a letter")
-    bags = [(np.array(r["rows"]), np.cumsum(np.array(r["counts"], np.float64)), languages.index(r["lang"])) for r in got]
+    bags = [(np.frombuffer(r["rows"], "<i4"), np.cumsum(np.frombuffer(r["counts"], "<i8"), dtype=np.float64), languages.index(r["lang"])) for r in got]
     return train(bags, languages, dim=dim, epochs=epochs, rate=rate, false_rejects=false_rejects, seed=seed)
 
 

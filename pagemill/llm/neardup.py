@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WorkTables, map_arrow
+from pagemill.llm.common import WorkTables, map_arrow, slices
 
 WIDTH = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -113,7 +113,7 @@ _PARSED = "doc_id bigint, n_shingles bigint, digest binary, roots binary, branch
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         text = b.column(1)
         out: list[tuple] = []
         for t in text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()).to_pylist():
@@ -236,7 +236,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = [own[root[p]] for p in part.tolist()]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int64()), pa.array([r[0] for r in to], pa.int64()), pa.array([r[1] for r in to], pa.int64()), pa.array([r[4] == 1 for r in own], pa.bool_())], names=["vid", "root", "root_id", "last"])
 
-    for b in batches:
+    for b in slices(batches):
         columns = [b.column(c).to_pylist() for c in ("label", "low", "high", "vid", "rep_id", "digest", "sketch", "blocks")]
         text = b.column("text")
         texts = text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary())
@@ -378,10 +378,12 @@ def near_duplicates(
     decided = work.keep(map_arrow(tasks.repartition(*keys).sortWithinPartitions(*keys), _decide, _DECIDED), "decided")
     final = decided.where("last").select("vid", F.col("root_id").alias("component"))
     cut = decided.where("not last")
-    if not cut.isEmpty():
+    if several := not cut.isEmpty():
         whole = components(work, cut.select(F.col("vid").alias("a"), F.col("root").alias("b"))).join(reps.select("vid", "rep_id"), "vid")
         least = whole.groupBy("label").agg(F.min("rep_id").alias("component"))
         final = final.unionAll(whole.join(least, "label").select("vid", "component"))
+    if not several:
+        work.keep_only(parsed, reps, decided)
     found = reps.select("digest", "vid", "rep_id").join(final, "vid", "left").select("digest", F.coalesce("component", "rep_id").alias("component"))
     out = parsed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WorkTables, map_arrow
+from pagemill.llm.common import WorkTables, map_arrow, slices
 from pagemill.llm.tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, part int, local_rank bigint"
@@ -84,7 +84,7 @@ def _pieces(capacity: int, end_id: int | None, tokenizer: str, ranks: str | None
         seen = np.zeros(capacity + 1, dtype=np.int64)
         names = [f.split()[0] for f in PIECES.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = enc.ids(text or "")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WorkTables, fresh_name, map_arrow, shared_dir
+from pagemill.llm.common import WorkTables, fresh_name, map_arrow, shared_dir, slices
 from pagemill.llm.tokens import encoder
 
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
@@ -45,7 +45,7 @@ def read_cache(spark, path: str, tokenizer: str) -> DataFrame:
 def _encode(name: str, ranks: str | None):
     def run(batches):
         count = encoder(name, ranks)
-        for b in batches:
+        for b in slices(batches):
             n = [len(count.ids(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WorkTables, append_struct, map_arrow
+from pagemill.llm.common import WorkTables, append_struct, map_arrow, slices
 
 #: English insults that need no label to count.
 BASE_WORDS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "imbecile", "scumbag", "dumbass", "asshole")
@@ -102,11 +102,11 @@ def entries_of(words: list[str]) -> set[str]:
 
 def _count(batches):
     counts: dict[str, list[int]] = {}
-    for b in batches:
+    for b in slices(batches):
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             for e in entries_of(folded(text or "")):
                 counts.setdefault(e, [0, 0])[1 if toxic else 0] += 1
-        if len(counts) > 1_000_000:
+        if len(counts) > 300_000:
             yield _counted(counts)
             counts = {}
     yield _counted(counts)
