@@ -97,7 +97,6 @@ def link_quotes(
         "role",
         "passages",
         "max_level",
-        "own",
         F.regexp_replace(F.array_join("own", "\n"), r"\A[ \t\n]+|[ \t\n]+\z", "").alias("body"),
     )
     parsed = work.keep(parsed, "parsed")
@@ -111,7 +110,7 @@ def link_quotes(
         F.xxhash64(normalised(F.split(F.col("p.text"), "\n")[0])).alias("first"),
     )
     # only passages' hashes need partners; wholes and single lines share one index
-    pieces = F.array_distinct(F.concat(F.array(F.col("body")), F.col("own")))
+    pieces = F.array_distinct(F.array_append(F.split("body", "\n"), F.col("body")))
     quoting = keyed.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
     index = quoting.select("conv_id", F.col("turn").alias("source"), F.explode(pieces).alias("piece")).select("conv_id", "source", normalised(F.col("piece")).alias("piece")).where("piece <> ''").select("conv_id", "source", F.xxhash64("piece").alias("h")).distinct()
     wanted = quoted.select("conv_id", "turn", "no", "level", F.explode(F.array(F.struct(F.lit(1).alias("way"), F.col("whole").alias("h")), F.struct(F.lit(0).alias("way"), F.col("first").alias("h")))).alias("w")).select("conv_id", "turn", "no", "level", "w.way", "w.h")

@@ -144,7 +144,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("op10_quotation_linking")
+@_query("op10_quotation_linking", oracle.QUOTATION_LINKING)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without its quotes, with the message that it answers and its place in the thread."""
     return chat.link_quotes(_table(spark, sf_dir, "conversations"))
