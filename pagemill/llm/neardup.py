@@ -78,7 +78,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of ``WIDTH`` words, or of the whole if it is shorter."""
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) > _WORDS_AT_ONCE:
+    if len(words) > _WORDS_AT_ONCE + WIDTH - 1:
         parts = [shingles(words[i : i + _WORDS_AT_ONCE + WIDTH - 1]) for i in range(0, len(words) - WIDTH + 1, _WORDS_AT_ONCE)]
         return np.unique(np.concatenate(parts))
     line = np.frombuffer(b" ".join(words), np.uint8)
