@@ -113,11 +113,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document; texts of over 512 tokens are marked."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    # bytes are counted before the join with the counts, which then moves no texts
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", n_bytes.alias("n_bytes"))
     found, name = token_counts.count_tokens(docs)
     n = F.col(f"{name}.n_tokens")
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return found.select("doc_id", n_bytes.alias("n_bytes"), n.alias("n_tokens"), (n > 512).alias("over_limit"))
+    return found.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 512).alias("over_limit"))
 
 
 @_query("op8_best_fit_packing")
