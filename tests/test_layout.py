@@ -144,7 +144,8 @@ def test_blocks_from_lines():
         ("1 2 3 4 x", 10.0, 400.0, "table"),
         ("• an item", 10.0, 400.0, "list_item"),
         ("A Large Name", 20.0, 600.0, "title"),
-        ("2. Methods", 10.0, 400.0, "section_header"),
+        ("2. Methods", 10.0, 400.0, "list_item"),
+        ("2 Methods", 10.0, 400.0, "section_header"),
         ("Some Larger Words", 12.0, 400.0, "section_header"),
         ("plain prose here", 10.0, 400.0, "paragraph"),
     ],
