@@ -260,14 +260,23 @@ def sql_is_title_case(t: str) -> str:
 # -- language -------------------------------------------------------------------------------------
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` refers to it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def detected_language(text: Column) -> Column:
     """unknown, pt-BR or en, by marks in the first 12 000 characters, as the rule has it."""
-    sample = F.left(F.lower(text), F.lit(12000))
-    padded = F.concat(F.lit(" "), sample, F.lit(" "))
-    total = lambda marks: reduce(lambda a, b: a + b, [count_of(padded, m) for m in marks])
-    pt = total(P.PORTUGUESE_MARKS) + F.when(sample.rlike(f"[{P.PORTUGUESE_LETTERS}]"), 3).otherwise(0)
-    en = total(P.ENGLISH_MARKS)
-    return F.when(trimmed(sample) == "", "unknown").when((pt > en) & (pt >= 2), "pt-BR").otherwise("en")
+    padded = F.concat(F.lit(" "), F.left(F.lower(text), F.lit(12000)), F.lit(" "))
+
+    def language(p: Column) -> Column:
+        n = F.char_length(p)
+        total = lambda marks: reduce(lambda a, b: a + b, [((n - F.char_length(F.replace(p, F.lit(m), F.lit("")))) / len(m)).cast("int") for m in marks])
+        pt = total(P.PORTUGUESE_MARKS) + F.when(p.rlike(f"[{P.PORTUGUESE_LETTERS}]"), 3).otherwise(0)
+        scores = F.struct(pt.alias("pt"), total(P.ENGLISH_MARKS).alias("en"), (trimmed(p) == "").alias("blank"))
+        return bound(scores, lambda s: F.when(s["blank"], "unknown").when((s["pt"] > s["en"]) & (s["pt"] >= 2), "pt-BR").otherwise("en"))
+
+    return bound(padded, language)
 
 
 def sql_detected_language(text: str) -> str:
