@@ -316,19 +316,19 @@ def _spoken_steps() -> tuple[list[tuple[str, str, bool]], list[tuple[str, str, b
     return steps, [(r"([\p{L}\p{N}_])\s*[–—]\s*([\p{L}\p{N}_])", "$1, $2", False), (P.MANY_BLANKS, " ", False)]
 
 
-#: A text without any of these has nothing to be spoken otherwise.
-_SPOKEN_TRIGGER = r"[×±<>≤≥%–—]|\d\s*[xX]\s*\d|-\s*\n|(?i:F\d[\-\s]?score)|[ \t]{2}|" + "|".join(P.quoted(k) for k in sorted(P.ABBREVIATIONS, key=lambda k: (len(k), k)))
+#: What the rewrites before and after the abbreviations need at least.
+_NOTATION = r"[×±<>≤≥%]|\d\s*[xX]\s*\d|-\s*\n|[fF]\d[\-\s]?[sS]"
+_DASHES = r"[–—]|[ \t]{2}"
 
 
 def verbalized(text: Column) -> Column:
-    """Scientific notation as it is spoken. Texts without any of it pass one test instead of all rewrites."""
+    """Scientific notation as it is spoken. Texts without any of it pass two tests instead of all rewrites."""
     first, last = _spoken_steps()
-    t = reduce(lambda x, step: replaced(x, *step), first, text)
+    t = F.when(matches(text, _NOTATION), reduce(lambda x, step: replaced(x, *step), first, text)).otherwise(text)
     # a pattern is compiled and run for those abbreviations only that a text holds
     short = F.array(*[F.struct(F.lit(k).alias("text"), F.lit(P.java(p)).alias("pattern"), F.lit(by).alias("by")) for k, p, by in _abbreviations()])
     t = F.aggregate(short, t, lambda acc, x: F.when(F.contains(acc, x["text"]), F.regexp_replace(acc, x["pattern"], x["by"])).otherwise(acc))
-    t = reduce(lambda x, step: replaced(x, *step), last, t)
-    return F.when(matches(text, _SPOKEN_TRIGGER), trimmed(t)).otherwise(trimmed(text))
+    return bound(t, lambda x: trimmed(F.when(matches(x, _DASHES), reduce(lambda y, step: replaced(y, *step), last, x)).otherwise(x)))
 
 
 def sql_verbalized(text: str) -> str:
