@@ -128,12 +128,13 @@ def dominant_font(spark, sf_dir):
 
 
 def glyphs(spark, sf_dir):
-    """Words of lines as glyphs on baselines 12 points apart: a page is sixty lines."""
-    b = lines(spark, sf_dir).where("text <> ''")
-    w = b.select("doc_id", F.floor(F.col("ord") / 60).cast("int").alias("p"), "ord", F.posexplode(F.split("text", " ")).alias("k", "s")).where("k < 12")
+    """Every word of lines as a glyph on baselines 12 points apart: a page is sixty lines, as wide as its longest needs."""
+    b = lines(spark, sf_dir).where("text <> ''").select("doc_id", (F.floor(F.col("ord") / 60) + 1).cast("int").alias("page_no"), "ord", "text")
+    # pages are dealt out as lines: words would take several times the room
+    w = b.repartition("doc_id", "page_no").select("doc_id", "page_no", "ord", F.posexplode(F.split("text", " ")).alias("k", "s"))
     y = 780.0 - 12.0 * F.pmod("ord", F.lit(60))
     size = F.when(F.col("ord") == 0, 16.0).otherwise(10.0)
-    return w.select("doc_id", (F.col("p") + 1).alias("page_no"), (F.col("ord") * 12 + F.col("k")).cast("int").alias("seq"), "s", (30.0 + 45.0 * F.col("k")).alias("x"), y.alias("y"), F.lit(40.0).alias("w"), F.lit("body").alias("font"), size.alias("font_size"))
+    return w.select("doc_id", "page_no", (F.shiftleft(F.col("ord").cast("long"), 32) + F.col("k")).alias("seq"), "s", (30.0 + 45.0 * F.col("k")).alias("x"), y.alias("y"), F.lit(40.0).alias("w"), F.lit("body").alias("font"), size.alias("font_size"))
 
 
 @query("glyph_lines", """WITH block AS (

@@ -1,11 +1,15 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import layout, lines, reading_order
+from pagemill.plans import catalog, geometry
 from pagemill.sources.blocks import BLOCKS
+from tests.compare import connection, rows_of, rows_of_sql
 
+SF = "/root/testdata/sf0.001"
 REGIONS = "doc_id long, kind string, page_no int, bbox struct<left:double,top:double,right:double,bottom:double>"
 SIZES = "doc_id long, page_no int, width double, height double"
 
@@ -171,3 +175,27 @@ def test_processed_document(spark):
     drop_first = lambda p: json.dumps({"results": [{"id": json.loads(p)[0]["id"], "action": "DROP"}]})
     d = document.processed(b, sizes, r, review=drop_first).first()
     assert (d["total"], d["kept"], d["dropped"], d["reviewed"], d["review_dropped"]) == (3, 2, 1, 3, 1)
+
+
+def test_every_word_is_a_glyph(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(200))
+    text = "\n".join(["Title", long, "", f"{long}  end", *["short one"] * 60])
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = [x for x in text.split("\n") if x]
+    g = geometry.glyphs(spark, str(tmp_path))
+    in_order = [r["s"] for r in g.orderBy("seq").collect() if r["s"]]
+    assert in_order == text.split() and g.select("seq").distinct().count() == g.count()
+    got = geometry.glyph_lines(spark, str(tmp_path)).orderBy("page_no", "line_no").collect()
+    assert [r["text"] for r in got] == [" ".join(x.split()) for x in own]
+    blocks = geometry.glyph_blocks(spark, str(tmp_path)).orderBy("ord").collect()
+    assert " ".join(r["text"] for r in blocks).split() == text.split()
+    assert geometry.line_labels(spark, str(tmp_path)).count() == len(own)
+    wide = {r["page_no"]: r["width"] for r in geometry.page_dimensions(spark, str(tmp_path)).collect()}
+    assert wide == {1: 30.0 + 45.0 * 201 + 40 + 18, 2: 612.0}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize("name", ["glyph_lines", "page_dimensions"])
+def test_glyphs_against_sql_of_whole_lines(spark, name):
+    sql = catalog.ORACLES[name].replace("[1:12]", "").replace("least(len(string_split(text, ' ')), 12)", "len(string_split(text, ' '))")
+    assert rows_of(catalog.QUERIES[name](spark, SF)) == rows_of_sql(connection(SF), sql)
