@@ -48,8 +48,8 @@ def jobs_expired(spark, sf_dir):
 
 
 def folders(spark, sf_dir):
-    """A folder for every event's number below 400, so that some have no job."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 400")
+    """A folder for every event's number; those beyond the users' have no job."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.lit("outputs").alias("root"), F.col("event_id").cast("string").alias("name"), F.col("ts").alias("mtime"))
 
 
@@ -61,7 +61,7 @@ def jobs_orphans(spark, sf_dir):
 @query("jobs_insert_if_absent", f"{_SQL} SELECT job_id, status FROM job UNION ALL SELECT event_id, 'completed' FROM events e WHERE event_id < 400 AND NOT EXISTS (SELECT 1 FROM job j WHERE j.job_id = e.event_id)")
 def jobs_insert_if_absent(spark, sf_dir):
     jobs = latest(spark, sf_dir).select("job_id", "status")
-    new = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 400").select(F.col("event_id").alias("job_id"), F.lit("completed").alias("status"))
+    new = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("job_id"), F.lit("completed").alias("status"))
     return J.inserted_if_absent(jobs, new)
 
 

@@ -1,4 +1,5 @@
 import json
+import os
 import struct
 from datetime import datetime, timedelta
 
@@ -6,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import classifier, jobs, voices
+from pagemill.plans import catalog
 from pagemill.sources import files
 from pagemill.sources.blocks import BLOCKS
 from pagemill.streaming import jobs as stream
+from tests.compare import connection, rows_of, rows_of_sql
 
 JOBS = "job_id string, created_at timestamp_ntz, status string"
 NOW = datetime(2024, 5, 1, 12)
@@ -206,3 +209,12 @@ def test_preview(spark):
 
     got = [r["x"] for r in spark.createDataFrame([("aéé",), ("abcd",), (None,)], "t string").select(X.preview(F.col("t"), 4, "…").alias("x")).collect()]
     assert got == ["aé…", "abcd", None]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+@pytest.mark.parametrize("name", ["jobs_orphans", "jobs_insert_if_absent"])
+def test_every_event_takes_part(spark, name):
+    sf = "/root/testdata/sf0.001"
+    got = rows_of(catalog.QUERIES[name](spark, sf))
+    assert got == rows_of_sql(connection(sf), catalog.ORACLES[name].replace("event_id < 400 AND ", ""))
+    assert any(int(v) >= 400 for row in got[1] for v in row[:2] if v.isdigit())
