@@ -2,9 +2,10 @@
 
 Messages quote earlier ones by lines that begin with ``>``, once for each level. A quoted passage is
 a run of lines of one level in one message. Its text is normalised (marks gone, ASCII letters
-lower-cased, white space as single spaces) and hashed; so is every line and every whole body of the
-messages of the same conversation. A passage belongs to the latest earlier message that holds it
-whole, or else the latest that holds its first line. The level-1 passage that is linked to the
+lower-cased, white space as single spaces) and hashed; so are every line, every whole body and those
+runs of consecutive lines of the messages of the same conversation that begin as a passage does and
+are as long; blank lines don't count. A passage belongs to the latest earlier message that holds it
+whole. Only if none does, the latest that holds its first line is taken instead. The level-1 passage that is linked to the
 latest message makes that message the parent; a message without linked quotes answers the one
 before it, and the first of a conversation answers none.
 
@@ -37,6 +38,12 @@ def unquoted(line: Column) -> Column:
     return F.regexp_replace(line, _MARKS, "")
 
 
+def line_hashes(text: Column) -> Column:
+    """Array of the hashes of a text's lines that aren't blank."""
+    lines = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+    return F.transform(lines, lambda x: F.xxhash64(x))
+
+
 def lines_of(text: Column) -> Column:
     """Array of (no, level, text) of a message's lines."""
     parts = F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r")
@@ -108,19 +115,23 @@ def link_quotes(
         F.col("p.level").alias("level"),
         F.xxhash64(normalised(F.col("p.text"))).alias("whole"),
         F.xxhash64(normalised(F.split(F.col("p.text"), "\n")[0])).alias("first"),
+        line_hashes(F.col("p.text")).alias("run"),
     )
-    # only passages' hashes need partners; wholes and single lines share one index
+    # only passages' hashes need partners; wholes, single lines and runs of lines share one index
     pieces = F.array_distinct(F.array_append(F.split("body", "\n"), F.col("body")))
     quoting = keyed.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
-    index = quoting.select("conv_id", F.col("turn").alias("source"), F.explode(pieces).alias("piece")).select("conv_id", "source", normalised(F.col("piece")).alias("piece")).where("piece <> ''").select("conv_id", "source", F.xxhash64("piece").alias("h")).distinct()
-    wanted = quoted.select("conv_id", "turn", "no", "level", F.explode(F.array(F.struct(F.lit(1).alias("way"), F.col("whole").alias("h")), F.struct(F.lit(0).alias("way"), F.col("first").alias("h")))).alias("w")).select("conv_id", "turn", "no", "level", "w.way", "w.h")
+    index = quoting.select("conv_id", F.col("turn").alias("source"), F.explode(pieces).alias("piece")).select("conv_id", "source", normalised(F.col("piece")).alias("piece")).where("piece <> ''").select("conv_id", "source", F.xxhash64("piece").alias("h"))
+    index = index.unionByName(_runs(quoting, quoted)).distinct()
+    # way 0, by the first line alone, is the last resort
+    ways = F.array(*[F.struct(F.lit(way).alias("way"), h.alias("h")) for way, h in ((1, F.col("whole")), (1, F.xxhash64("run")), (0, F.col("first")))])
+    wanted = quoted.select("conv_id", "turn", "no", "level", F.explode(ways).alias("w")).select("conv_id", "turn", "no", "level", "w.way", "w.h")
     # an as-of pass over sources and questions together: it makes no pairs
     asked = wanted.select("conv_id", "h").distinct()
     sources = index.join(asked, ["conv_id", "h"], "left_semi").select("conv_id", "h", F.col("source").alias("at"), F.col("source").alias("value"), F.lit(None).cast("int").alias("no"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("way"))
     asks = wanted.select("conv_id", "h", F.col("turn").alias("at"), F.lit(None).cast("long").alias("value"), "no", "level", "way")
     linked = _latest_before(sources.unionByName(asks), ["conv_id", "h"], "source")
     linked = linked.where(F.col("value").isNull() & F.col("source").isNotNull()).withColumnRenamed("at", "turn")
-    linked = linked.groupBy("conv_id", "turn", "no", "level").agg(F.max_by("source", "way").alias("source"))
+    linked = linked.groupBy("conv_id", "turn", "no", "level").agg(F.max(F.struct("way", "source"))["source"].alias("source"))
     links = linked.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("source"))).alias("quoted_turn"))
     links = work.keep(links, "links")
     turns = keyed.select("conv_id", F.col("turn").alias("at"), F.col("turn").alias("value")).distinct()
@@ -143,6 +154,21 @@ def link_quotes(
     )
 
 
+def _runs(messages: DataFrame, quoted: DataFrame) -> DataFrame:
+    """(conv_id, source, h): runs of two lines and more, where a passage of their conversation has their first line and length.
+
+    Lines meet the distinct lengths of passages that begin with them, never the passages; a message's
+    runs are hashed where its lines are.
+    """
+    lengths = quoted.where(F.size("run") > 1).select("conv_id", F.element_at("run", 1).alias("line"), F.size("run").alias("m")).distinct()
+    own = messages.select("conv_id", F.col("turn").alias("source"), line_hashes(F.col("body")).alias("hashes")).where(F.size("hashes") > 1)
+    own = own.withColumn("key", F.xxhash64("hashes")).distinct()
+    lines = own.select("conv_id", "source", "key", F.size("hashes").alias("n"), F.posexplode("hashes").alias("i", "line"))
+    found = lines.join(lengths, ["conv_id", "line"]).where("i + m <= n").groupBy("conv_id", "source", "key").agg(F.collect_list(F.struct("i", "m")).alias("at"))
+    h = F.transform("at", lambda x: F.xxhash64(F.slice("hashes", x["i"] + 1, x["m"])))
+    return own.join(found, ["conv_id", "source", "key"]).select("conv_id", "source", F.explode(F.array_distinct(h)).alias("h"))
+
+
 def _latest_before(rows: DataFrame, keys: list[str], name: str, block: int = 1024) -> DataFrame:
     """``rows`` with the largest ``value`` that stands before their place ``at`` among equal ``keys``.
 

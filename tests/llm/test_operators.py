@@ -474,6 +474,33 @@ def test_quotes(spark):
     assert got[None, 1]["body"] == "" and got[3, None]["body"] == "y"
 
 
+def test_part_of_a_message_is_quoted(spark):
+    rows = [(1, 0, "u", "Hi\nprice is 5\nbye"), (1, 1, "a", "Hi\nother"), (1, 2, "u", "> Hi\n> price is 5"), (1, 3, "u", "> Hi\n> other"), (1, 4, "u", "> Hi\n> nowhere"), (1, 5, "u", "> price is 5\n>\n> Bye"), (1, 6, "u", "> Hi\n> bye")]
+    rows += [(2, 0, "u", "a\nb\na\nb\nc"), (2, 1, "u", "a\nb\nd"), (2, 2, "u", "b\nc"), (2, 3, "u", "> a\n> b\n> c"), (2, 4, "u", "> a\n> b"), (2, 5, "u", "> b\n> c\n> a")]
+    got = {k: v["reply_to"] for k, v in linked(spark, rows).items()}
+    assert [got[1, t] for t in range(2, 7)] == [0, 1, 1, 0, 1]
+    assert [got[2, t] for t in range(3, 6)] == [0, 1, 2]
+
+
+def test_parts_against_plain_search(spark):
+    rng = random.Random(31)
+    rows, want = [], {}
+    for c in range(15):
+        said = []
+        for t in range(30):
+            own = [rng.choice("abc") for _ in range(rng.randrange(1, 9))]
+            quote = []
+            if said and rng.random() < 0.7:
+                k = rng.choice(said)
+                i = rng.randrange(len(k))
+                quote = k[i : i + rng.randrange(1, 7)]
+            holds = [s for s, k in enumerate(said) if any(k[i : i + len(quote)] == quote for i in range(len(k)))] if quote else [t - 1]
+            want[c, t] = max(holds) if t else None
+            rows.append((c, t, "u", "\n".join([*(f"> {x}" for x in quote), *own])))
+            said.append(own)
+    assert {k: v["reply_to"] for k, v in linked(spark, rows).items()} == want
+
+
 def test_threads_against_plain_following(spark):
     rng = random.Random(13)
     rows, parent = [], {}
