@@ -37,7 +37,7 @@ COORDINATES = TREES + BRANCHES
 #: Equal sketch coordinates that a candidate pair has at least.
 LEAST_EQUAL = 28
 _WORDS_AT_ONCE = 50_000
-_BYTES_AT_ONCE = 4_000_000
+_LONG_WORD = 64
 _ALL = (1 << 64) - 1
 
 
@@ -81,13 +81,14 @@ def shingles(words: list[bytes]) -> np.ndarray:
     if len(words) > _WORDS_AT_ONCE + WIDTH - 1:
         parts = [shingles(words[i : i + _WORDS_AT_ONCE + WIDTH - 1]) for i in range(0, len(words) - WIDTH + 1, _WORDS_AT_ONCE)]
         return np.unique(np.concatenate(parts))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    if lengths.max() > _LONG_WORD:  # a digest stands for such a word, in every text, so that any text's work is bounded
+        words = [w if len(w) <= _LONG_WORD else hashlib.blake2b(w, digest_size=24).digest() for w in words]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
     line = np.frombuffer(b" ".join(words), np.uint8)
-    if len(line) > _BYTES_AT_ONCE:  # words of a great length stand for themselves by a digest
-        line = np.frombuffer(b" ".join(words := [w if len(w) <= 64 else hashlib.blake2b(w, digest_size=24).digest() for w in words]), np.uint8)
     up, down = _power(len(line) + 1)
     sums = np.zeros(len(line) + 1, np.uint64)
     np.cumsum(_BYTE[line] * up[: len(line)], out=sums[1:])
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     n = min(WIDTH, len(words))

@@ -114,6 +114,23 @@ def test_long_texts_and_words():
 # -- sharding -------------------------------------------------------------------------------------
 
 
+def test_long_words_alike_on_both_sides_of_4_mb(spark):
+    words = [f"{i:05d}" + "x" * 395 for i in range(10_000)]
+    a, b = neardup.shingles([w.encode() for w in words]), neardup.shingles([w.encode() for w in words[:-50]])
+    assert len(a) == 9_996 and len(b) == 9_946 and np.isin(b, a).all()
+    texts = [" ".join(words), " ".join(words[:-50])]
+    assert len(texts[1]) < 4_000_000 < len(texts[0])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, texts)).collect())
+    assert got == [(0, 9_996, 0), (1, 9_946, 0)]
+
+
+def test_long_words_in_parts_count_once():
+    short, long = [f"s{i}" for i in range(49_980)], [f"{i:02d}" + "y" * 300 for i in range(6)]
+    filler = [f"{i:05d}" + "z" * 395 for i in range(20_000)]
+    words = [w.encode() for w in [*long, *short, *filler, *long]]
+    assert len(neardup.shingles(words)) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+
+
 @pytest.mark.parametrize("bucket_bytes", [10**9, 500])
 def test_shards(spark, bucket_bytes):
     texts = [None, "", "same", "same"] + [f"text {i}" for i in range(93)]
