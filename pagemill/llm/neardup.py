@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagemill.llm.common import WorkTables, map_arrow, slices
+from pagemill.llm.common import WorkTables, append_struct, map_arrow, slices
 
 WIDTH = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -356,6 +357,11 @@ def near_duplicates(
     and is linked with nothing. A row with a null id takes no part: its component is null and it is
     kept. Rows that repeat an id get a row each; rows with equal id and text are one document.
     """
+    return _judged(docs, id_col, text_col, small, dense, most_levels, block_shingles, broadcast_rows).drop("digest", "stands")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, small: int = 4096, dense: float = 0.6, most_levels: int = 40, block_shingles: int = 1_500_000, broadcast_rows: int = 400_000) -> DataFrame:
+    """``near_duplicates`` with the digest of a row's words, and whether these words with this id stand for their component."""
     spark = docs.sparkSession
     work = WorkTables(spark, "neardup")
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -377,23 +383,51 @@ def near_duplicates(
     tasks = tasks.select("label", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "vid", "rep_id", "digest", "sketch", "blocks", "text")
     keys = ["label", "low", "high"]
     decided = work.keep(map_arrow(tasks.repartition(*keys).sortWithinPartitions(*keys), _decide, _DECIDED), "decided")
-    final = decided.where("last").select("vid", F.col("root_id").alias("component"))
+    final = decided.where("last").select("vid", "root", F.col("root_id").alias("component"))
     cut = decided.where("not last")
     if several := not cut.isEmpty():
         whole = components(work, cut.select(F.col("vid").alias("a"), F.col("root").alias("b"))).join(reps.select("vid", "rep_id"), "vid")
-        least = whole.groupBy("label").agg(F.min("rep_id").alias("component"))
-        final = final.unionAll(whole.join(least, "label").select("vid", "component"))
+        least = whole.groupBy("label").agg(F.min(F.struct("rep_id", "vid")).alias("least")).select("label", F.col("least.vid").alias("root"), F.col("least.rep_id").alias("component"))
+        final = final.unionAll(whole.join(least, "label").select("vid", "root", "component"))
     if not several:
         work.keep_only(parsed, reps, decided)
-    found = reps.select("digest", "vid", "rep_id").join(final, "vid", "left").select("digest", F.coalesce("component", "rep_id").alias("component"))
+    found = reps.select("digest", "vid", "rep_id").join(final, "vid", "left").select("digest", F.coalesce("component", "rep_id").alias("component"), F.coalesce(F.col("root") == F.col("vid"), F.lit(True)).alias("first"))
     out = parsed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "digest", (kept & F.coalesce("first", F.lit(True))).alias("stands"))
+
+
+_DIGEST = T.StructType([T.StructField("digest", T.BinaryType())])
+
 
+def _digests():
+    def f(text: pa.Array) -> list[tuple]:
+        words = (words_of(t) for t in text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()).to_pylist())
+        return [(hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else b"",) for w in words]
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", broadcast_rows: int = 2_000_000, **how) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with their own columns."""
+    return f
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000, **how) -> DataFrame:
+    """One document of each component, that with the smallest id, with its own columns.
+
+    Rows that repeat an id are decided by id and words each: of those with equal id and words one row
+    stays, if any does, and of near copies with one id too. Rows with a null id all stay.
+    """
     work = WorkTables(docs.sparkSession, "neardup-drop")
-    dropped = work.keep(near_duplicates(docs, id_col=id_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    side = F.broadcast(dropped) if dropped.count() <= broadcast_rows else dropped
-    return docs.join(side, F.col(f"`{id_col}`").cast("bigint") == side["_dropped"], "left_anti")
+    judged = _judged(docs, id_col, text_col, **how).where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.coalesce("digest", F.lit(b"")).alias("_digest"), "stands")
+    judged = work.keep(judged, "judged")
+    by_id = judged.groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("stands").alias("n_kept"))
+    marked = work.keep(by_id.where("n > 1 or n_kept = 0").select("_id", (F.col("n_kept") > 0).alias("some")), "marked")
+    side = F.broadcast(marked) if marked.count() <= broadcast_rows else marked
+    own = F.col(f"`{id_col}`").cast("bigint")
+    plain = docs.join(side, own == side["_id"], "left_anti")
+    some = marked.where("some").select("_id")
+    if some.isEmpty():
+        return plain
+    found, name = append_struct(docs.join(some, own == some["_id"], "left_semi"), [text_col], _digests, _DIGEST, "words")
+    pairs = judged.where("stands").join(some, "_id", "left_semi").select("_id", "_digest").distinct()
+    digest = F.col(f"`{name}`.digest")
+    again = found.join(pairs, (own == pairs["_id"]) & (digest == pairs["_digest"])).dropDuplicates(["_id", "_digest"])
+    return plain.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -90,6 +90,17 @@ def test_near_duplicates_of_little(spark):
     assert kept.columns == DOCS.replace(",", "").split()[::2] and sorted(r["doc_id"] for r in kept.collect()) == [2, 5]
 
 
+def test_one_of_each_of_repeated_ids(spark):
+    other, base = " ".join(f"o{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = f"{base} end"
+    rows = [(3, base), (5, near), (5, other), (7, "a b c d e f"), (7, "A  b c d e f"), (7, None), (7, ""), (8, "g"), (9, near), (None, "x"), (None, "x")]
+    rows += [(20, f"q {other[::-1]}"), (20, f"q {other[::-1]} z")]
+    kept = neardup.one_of_each(docs(spark, [t for _, t in rows], [i for i, _ in rows]))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], " ".join((r["text"] or "").lower().split())) for r in kept.collect())
+    assert [g for g in got if g[0] != 20] == [(-1, "x"), (-1, "x"), (3, base), (5, other), (7, ""), (7, "a b c d e f"), (8, "g")]
+    assert sum(g[0] == 20 for g in got) == 1 and kept.columns == docs(spark, []).columns
+
+
 def test_components(spark):
     from pagemill.llm.common import WorkTables
 
