@@ -84,7 +84,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, its probability, and whether that is too little to accept."""
-        z = None if text is None else self.logits(text)
+        z = None if text is None or not self.languages else self.logits(text)
         if z is None:
             return "und", 0.0, True
         p = softmax(z / self.temperature)
@@ -92,6 +92,14 @@ class Model:
         return self.languages[k], float(p[k]), bool(p[k] < self.reject_under)
 
 
+#: Learned from nothing: every text is ``und`` with score 0, and rejected.
+NO_LANGUAGES = Model((), np.zeros((0, 0), np.float32), np.zeros(0), 1.0, 0.0)
+
+
+class NothingToLearn(ValueError):
+    """No labelled row, or none with a letter."""
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -141,7 +149,7 @@ def fit(
     rows = labelled.where(F.col(lang_col).isNotNull())
     n = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()}
     if not n:
-        raise ValueError("no labelled rows to learn from")
+        raise NothingToLearn("no labelled rows to learn from")
     languages = tuple(sorted(n))
     draw = F.pmod(F.xxhash64(F.lit(seed), *order_cols), F.lit(1_000_000))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1_000_000, -(-per_language * 1_000_000 // n[k]))))])
@@ -149,7 +157,7 @@ def fit(
     bagged, name = append_struct(sample, ["text"], _bags, _BAG, "bag")
     got = sorted(bagged.select("lang", "o", f"{name}.rows", f"{name}.counts").where(F.octet_length("rows") > 0).collect(), key=lambda r: (r["o"], r["lang"], bytes(r["rows"])))
     if not got:
-        raise ValueError("no labelled row has a letter")
+        raise NothingToLearn("no labelled row has a letter")
     bags = [(np.frombuffer(r["rows"], "<i4"), np.cumsum(np.frombuffer(r["counts"], "<i8"), dtype=np.float64), languages.index(r["lang"])) for r in got]
     return train(bags, languages, dim=dim, epochs=epochs, rate=rate, false_rejects=false_rejects, seed=seed)
 

@@ -76,8 +76,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_model(spark: SparkSession, docs: DataFrame) -> language.Model:
-    """Learned from the text and lang of the documents that op5 doesn't hold out."""
-    return language.fit(docs.where(~language.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    """Learned from the text and lang of the documents that op5 doesn't hold out; without any, no language is known."""
+    try:
+        return language.fit(docs.where(~language.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    except language.NothingToLearn:
+        return language.NO_LANGUAGES
 
 
 @_query("op5_language")

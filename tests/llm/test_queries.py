@@ -124,3 +124,14 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert len(want) < len(left)
         assert kept == want, name
         left = kept
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "some words", None, "s", 10), (2, None, "xx", "s", 0), (3, "12", "xx", "s", 2)]])
+def test_no_language_to_learn(spark, tmp_path, rows):
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    got = queries.QUERIES["op5_language"](spark, sf).collect()
+    assert sorted((r["doc_id"], r["lang_pred"], r["score"], r["rejected"]) for r in got) == [(r[0], "und", 0.0, True) for r in rows]
+    assert corpus_pipeline.run(spark, sf).count() == 0
