@@ -133,21 +133,20 @@ def fit(
     lang_col: str = "lang",
     order_cols: tuple[str, ...] = ("doc_id",),
     per_language: int = 600,
-    max_languages: int = 64,
     dim: int = 16,
     epochs: int = 6,
     rate: float = 1.5,
     false_rejects: float = 0.001,
     seed: int = 5,
 ) -> Model:
-    """Train on at most about ``per_language`` rows of each of the ``max_languages`` commonest labels.
+    """Train on at most about ``per_language`` rows of each label; every label is learned.
 
     The sample is drawn by a hash of ``order_cols``, which serve for nothing else. Executors turn each
     sampled text, whole, into counts of its subwords; a bag has ``ROWS`` entries at most, however long
     the text. Rows without a label are left out; no labelled row is an error.
     """
     rows = labelled.where(F.col(lang_col).isNotNull())
-    n = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()}
+    n = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
         raise NothingToLearn("no labelled rows to learn from")
     languages = tuple(sorted(n))
@@ -206,7 +205,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[
     A text that is null or has no letter is ``und`` with score 0, and rejected. Nothing but the text
     is read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS x max_languages floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS x languages floats
 
     def make() -> Callable:
         own = shared.value

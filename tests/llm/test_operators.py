@@ -286,6 +286,15 @@ def test_language(spark):
         language.fit(d.limit(0))
 
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(70)
+    text = lambda k: " ".join("".join(chr(0x4E00 + 8 * k + rng.randrange(8)) for _ in range(rng.randrange(2, 6))) for _ in range(20))
+    rows = [(i, text(i % 70), f"l{i % 70:02d}") for i in range(70 * 12)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == tuple(f"l{k:02d}" for k in range(70))
+    assert sum(model.predict(text(k))[0] == f"l{k:02d}" for k in range(70)) >= 66
+
+
 def test_long_text_is_read_whole():
     m = language.Model(("a", "b"), np.random.default_rng(1).normal(size=(language.ROWS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
     m.table[0] = 0
