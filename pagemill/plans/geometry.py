@@ -122,54 +122,83 @@ def median_font(spark, sf_dir):
     return L.median_sizes(_sized(spark, sf_dir))
 
 
-@query("dominant_font", f"{_SQL} SELECT doc_id, page_no, font FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY n DESC, font) AS k FROM (SELECT doc_id, page_no, 'f' || (length(text) % 3) AS font, count(*) AS n FROM placed GROUP BY ALL)) WHERE k = 1")
-def dominant_font(spark, sf_dir):
-    return _sized(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.expr("mode() within group (order by font)").alias("font"))
+#: How far a glyph stands above its line's baseline, by its place in the line: none, a little, or a superscript.
+_RISE = "CASE WHEN k % 11 = 5 THEN 2.0 ELSE 0.25 * (k % 3) END"
 
 
 def glyphs(spark, sf_dir):
-    """Every word of lines as a glyph on baselines 12 points apart: a page is sixty lines, as wide as its longest needs."""
+    """Every word of lines as a glyph around baselines 12 points apart: a page is sixty lines, as wide as its longest needs."""
     b = lines(spark, sf_dir).where("text <> ''").select("doc_id", (F.floor(F.col("ord") / 60) + 1).cast("int").alias("page_no"), "ord", "text")
     # pages are dealt out as lines: words would take several times the room
     w = b.repartition("doc_id", "page_no").select("doc_id", "page_no", "ord", F.posexplode(F.split("text", " ")).alias("k", "s"))
-    y = 780.0 - 12.0 * F.pmod("ord", F.lit(60))
+    y = 780.0 - 12.0 * F.pmod("ord", F.lit(60)) + F.expr(_RISE).cast("double")
     size = F.when(F.col("ord") == 0, 16.0).otherwise(10.0)
-    return w.select("doc_id", "page_no", (F.shiftleft(F.col("ord").cast("long"), 32) + F.col("k")).alias("seq"), "s", (30.0 + 45.0 * F.col("k")).alias("x"), y.alias("y"), F.lit(40.0).alias("w"), F.lit("body").alias("font"), size.alias("font_size"))
+    font = F.when(F.col("k") % 4 == 3, "italic").otherwise("body")
+    return w.select("doc_id", "page_no", (F.shiftleft(F.col("ord").cast("long"), 32) + F.col("k")).alias("seq"), "s", (30.0 + 45.0 * F.col("k")).alias("x"), y.alias("y"), F.lit(40.0).alias("w"), font.alias("font"), size.alias("font_size"))
 
 
-@query("glyph_lines", """WITH block AS (
-  SELECT doc_id, ord - 1 AS ord, text FROM (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS ord, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE text <> ''
-), line AS (
-  SELECT doc_id, ord, CAST(ord // 60 + 1 AS INTEGER) AS page_no, trim(regexp_replace(array_to_string(string_split(text, ' ')[1:12], ' '), ' +', ' ', 'g')) AS text FROM block
-)
-SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY ord) - 1 AS INTEGER) AS line_no, text FROM line WHERE text <> ''""")
+#: The same glyphs, their lines, and these with their labels.
+_SQL_GLYPHS = f"""WITH block AS (
+  SELECT doc_id, ord - 1 AS ord, string_split(text, ' ') AS words FROM (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS ord, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE text <> ''
+), word AS (
+  SELECT doc_id, ord, CAST(ord // 60 + 1 AS INTEGER) AS page_no, unnest(range(len(words))) AS k, unnest(words) AS s FROM block
+), glyph AS (
+  SELECT *, 30.0 + 45.0 * k AS x, 780.0 - 12.0 * (ord % 60) + CAST({_RISE} AS DOUBLE) AS y, CASE WHEN ord = 0 THEN 16.0 ELSE 10.0 END AS size FROM word
+)"""
+_SQL_LINES = f"""{_SQL_GLYPHS}, line AS (
+  SELECT doc_id, page_no, ord, {X.sql_trimmed(r"regexp_replace(string_agg(s, ' ' ORDER BY k), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g')")} AS text,
+         min(x) AS l, max(x) + 40 AS r, max(y + size) AS t, min(y) AS b, CAST(any_value(size) AS DOUBLE) AS size
+  FROM glyph WHERE {X.sql_trimmed("s")} <> '' GROUP BY doc_id, page_no, ord
+)"""
+_SQL_LABELS = f"""{_SQL_LINES}, page AS (
+  SELECT doc_id, page_no, greatest(792.0, max(y + size + 18)) AS height FROM glyph GROUP BY doc_id, page_no
+), middle AS (
+  SELECT *, coalesce(median(CASE WHEN length(text) >= 3 THEN size END) OVER (PARTITION BY doc_id, page_no), 10.0) AS median FROM line JOIN page USING (doc_id, page_no)
+), labelled AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY ord) - 1 AS INTEGER) AS line_no, {L.sql_line_label("text", "size", "t", "b", "median", "height", "page_no")} AS label FROM middle
+)"""
+
+
+@query("glyph_lines", f"{_SQL_LINES} SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY ord) - 1 AS INTEGER) AS line_no, text, l AS \"left\", t AS top, r AS \"right\", b AS bottom FROM line")
 def glyph_lines(spark, sf_dir):
-    return L.build_lines(glyphs(spark, sf_dir)).select("doc_id", "page_no", "line_no", "text")
+    return L.build_lines(glyphs(spark, sf_dir)).select("doc_id", "page_no", "line_no", "text", "left", "top", "right", "bottom")
 
 
-@query("line_labels")
+@query("line_labels", f"{_SQL_LABELS} SELECT doc_id, page_no, line_no, label, median FROM labelled")
 def line_labels(spark, sf_dir):
     g = glyphs(spark, sf_dir)
     return L.labelled(L.build_lines(g), L.page_dimensions(g)).select("doc_id", "page_no", "line_no", "label", "median")
 
 
-@query("glyph_blocks")
+# all lines begin at one place, so a block's box beside and below is that of its last line
+@query("glyph_blocks", f"""{_SQL_LABELS}, stepped AS (
+  SELECT *, lag(b) OVER above - t AS gap, lag(label) OVER above AS label_above, lag(text) OVER above AS text_above, lead(text) OVER above AS text_below FROM labelled WINDOW above AS (PARTITION BY doc_id, page_no ORDER BY line_no)
+), marked AS (
+  SELECT *, CASE WHEN label = label_above AND label IN ('paragraph', 'list_item') AND gap BETWEEN -0.35 * median AND greatest(0.95 * median, 5) THEN 0 ELSE 1 END AS new FROM stepped
+), numbered AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS no, coalesce(lead(new) OVER (PARTITION BY doc_id, page_no ORDER BY line_no), 1) AS ends FROM marked
+), joined AS (
+  SELECT doc_id, page_no, no, any_value(label) AS label, min(l) AS "left", max(t) AS top, max(r) AS "right", min(b) AS bottom,
+         {X.sql_trimmed(r"string_agg(CASE WHEN ends = 0 AND ends_with(text, '-') AND regexp_matches(text_below, '^\p{Ll}') THEN left(text, length(text) - 1) WHEN ends = 0 THEN text || ' ' ELSE text END, '' ORDER BY line_no)")} AS text
+  FROM numbered GROUP BY doc_id, page_no, no
+)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, no) - 1 AS INTEGER) AS ord, page_no, label, text, "left", top, "right", bottom FROM joined""")
 def glyph_blocks(spark, sf_dir):
     g = glyphs(spark, sf_dir)
     b = L.group_lines(L.labelled(L.build_lines(g), L.page_dimensions(g)))
     return b.select("doc_id", "ord", "page_no", "label", "text", "bbox.left", "bbox.top", "bbox.right", "bbox.bottom")
 
 
-@query("page_dimensions", """WITH word AS (
-  SELECT doc_id, ord - 1 AS ord, text FROM (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS ord, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE text <> ''
-), glyph AS (
-  SELECT doc_id, CAST(ord // 60 + 1 AS INTEGER) AS page_no, 30.0 + 45.0 * (least(len(string_split(text, ' ')), 12) - 1) + 58 AS w, 780.0 - 12.0 * (ord % 60) + CASE WHEN ord = 0 THEN 16 ELSE 10 END + 18 AS h FROM word
-)
-SELECT doc_id, page_no, CAST(greatest(612, max(w)) AS DOUBLE) AS width, CAST(greatest(792, max(h)) AS DOUBLE) AS height FROM glyph GROUP BY doc_id, page_no""")
+@query("page_dimensions", f"{_SQL_GLYPHS} SELECT doc_id, page_no, CAST(greatest(612, max(x + 58)) AS DOUBLE) AS width, CAST(greatest(792, max(y + size + 18)) AS DOUBLE) AS height FROM glyph GROUP BY doc_id, page_no")
 def page_dimensions(spark, sf_dir):
     return L.page_dimensions(glyphs(spark, sf_dir))
 
 
+@query("dominant_font", f"{_SQL_GLYPHS}, counted AS (SELECT doc_id, page_no, ord, CASE WHEN k % 4 = 3 THEN 'italic' ELSE 'body' END AS font, count(*) AS n FROM glyph WHERE {X.sql_trimmed('s')} <> '' GROUP BY ALL) SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY ord) - 1 AS INTEGER) AS line_no, arg_min(font, (-n, font)) AS font FROM counted GROUP BY doc_id, page_no, ord")
+def dominant_font(spark, sf_dir):
+    return L.build_lines(glyphs(spark, sf_dir)).select("doc_id", "page_no", "line_no", "font")
+
+
 @query("processed_documents")
 def processed_documents(spark, sf_dir):
     b = placed(spark, sf_dir)

@@ -53,12 +53,12 @@ def folders(spark, sf_dir):
     return e.select(F.lit("outputs").alias("root"), F.col("event_id").cast("string").alias("name"), F.col("ts").alias("mtime"))
 
 
-@query("jobs_orphans", f"{_SQL} SELECT CAST(event_id AS VARCHAR) AS name, ts AS mtime FROM events e WHERE event_id < 400 AND ts < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR - INTERVAL 10 MINUTE AND NOT EXISTS (SELECT 1 FROM job j WHERE j.job_id = e.event_id)")
+@query("jobs_orphans", f"{_SQL} SELECT CAST(event_id AS VARCHAR) AS name, ts AS mtime FROM events e WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR - INTERVAL 10 MINUTE AND NOT EXISTS (SELECT 1 FROM job j WHERE j.job_id = e.event_id)")
 def jobs_orphans(spark, sf_dir):
     return J.orphans(folders(spark, sf_dir), latest(spark, sf_dir), NOW, 24).select("name", "mtime")
 
 
-@query("jobs_insert_if_absent", f"{_SQL} SELECT job_id, status FROM job UNION ALL SELECT event_id, 'completed' FROM events e WHERE event_id < 400 AND NOT EXISTS (SELECT 1 FROM job j WHERE j.job_id = e.event_id)")
+@query("jobs_insert_if_absent", f"{_SQL} SELECT job_id, status FROM job UNION ALL SELECT event_id, 'completed' FROM events e WHERE NOT EXISTS (SELECT 1 FROM job j WHERE j.job_id = e.event_id)")
 def jobs_insert_if_absent(spark, sf_dir):
     jobs = latest(spark, sf_dir).select("job_id", "status")
     new = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("job_id"), F.lit("completed").alias("status"))

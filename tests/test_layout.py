@@ -1,15 +1,12 @@
-import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import layout, lines, reading_order
-from pagemill.plans import catalog, geometry
+from pagemill.plans import geometry
 from pagemill.sources.blocks import BLOCKS
-from tests.compare import connection, rows_of, rows_of_sql
 
-SF = "/root/testdata/sf0.001"
 REGIONS = "doc_id long, kind string, page_no int, bbox struct<left:double,top:double,right:double,bottom:double>"
 SIZES = "doc_id long, page_no int, width double, height double"
 
@@ -123,20 +120,127 @@ def test_regions_are_deduplicated_against_kept_ones(spark):
     assert [x["seq"] for x in layout.deduplicated(r).orderBy("seq").collect()] == [0, 2]
 
 
+GLYPHS = "doc_id long, page_no int, seq long, s string, x double, y double, w double, font string, font_size double"
+
+
+def glyph_table(spark, pages):
+    """Pages of (s, x, y, w, size, font) as a table of glyphs."""
+    return spark.createDataFrame([(d, 1, i, s, float(x), float(y), w, font, float(size)) for d, page in pages.items() for i, (s, x, y, w, size, font) in enumerate(page)], GLYPHS)
+
+
 def glyph(s, x, y, w=5.0, size=10.0, font="f"):
-    return lines._Glyph(s, x, y, w, font, size)
+    return (s, x, y, w, size, font)
 
 
-def test_lines_from_glyphs():
-    g = [glyph("H", 0, 700), glyph("i", 5, 700.4), glyph("you", 20, 700), glyph("low", 0, 650), glyph("\0", 60, 650)]
-    assert [x["text"] for x in lines.lines_of(g)] == ["Hi you", "low"]
-    assert lines.lines_of([]) == [] and lines.lines_of([glyph("x", 0, 0, size=0)]) == []
+def texts_of(spark, page):
+    return [r["text"] for r in lines.build_lines(glyph_table(spark, {1: page})).orderBy("line_no").collect()]
 
 
-def test_blocks_from_lines():
-    line = lambda t, top, left=0.0, label="paragraph": {"text": t, "label": label, "left": left, "right": 100.0, "top": top, "bottom": top - 10, "font": "f", "font_size": 10.0}
-    got = lines.blocks_of([line("one hy-", 700.0), line("phen", 688.0), line("far", 600.0), line("Head", 588.0, label="section_header")], 10.0)
-    assert [b["text"] for b in got] == ["one hyphen", "far", "Head"]
+def test_lines_from_glyphs(spark):
+    g = [glyph("H", 0, 700), glyph("i", 5, 700.4), glyph("you", 20, 700), glyph("low", 0, 650), glyph("\0", 60, 650)]
+    assert texts_of(spark, g) == ["Hi you", "low"]
+    assert texts_of(spark, []) == [] and texts_of(spark, [glyph("x", 0, 0, size=0), glyph("y", float("nan"), 0), glyph(None, 0, 0), glyph("\n", 0, 0)]) == []
+    assert texts_of(spark, [glyph("zero", 0, 9, w=0.0), glyph("wide", 1, 9, w=0.0), glyph("!", 2, 9, w=0.0)]) == ["zero wide!"]
+    assert texts_of(spark, [glyph("E=mc", 0, 100, 20.0), glyph("2", 20, 103, 4.0, 7), glyph("holds", 30, 100, 20.0)]) == ["E=mc2 holds"]
+
+
+def plain_lines(page):
+    """(text, font, size, box) of each line, glyph after glyph."""
+    shown = [(i, g) for i, g in enumerate(page) if g[0] is not None and (g[0].strip() or g[0] in " \t") and g[4] > 0]
+    steps = {}
+    for i, g in shown:
+        steps.setdefault((-g[2], g[4], g[5]), []).append((i, g))
+    rows, last = [], None
+    for down, *_ in sorted(steps):
+        if last is None or down - last > 0.8:
+            rows.append(set())
+        rows[-1].add(down)
+        last = down
+    found = []
+    for no, row in enumerate(rows):
+        mine = sorted((min(g[1] for _, g in v), k[0], k[1], k[2], v) for k, v in steps.items() if k[0] in row)
+        for *_, size, _, members in mine:
+            for i, g in members:
+                best = None
+                for line in found[-5:]:
+                    away = abs(g[2] - sum(x[1][2] for x in line) / len(line))
+                    if away <= max(1.5, 0.32 * size) and (best is None or away <= best[0]):
+                        best = (away, line)
+                if best:
+                    best[1].append((i, g, no))
+                else:
+                    found.append([(i, g, no)])
+    out = []
+    for line in found:
+        own = sorted(line, key=lambda x: (x[1][1], x[2], x[0]))
+        text, before = "", None
+        for _, g, _ in own:
+            if before:
+                gap = g[1] - before[1] - max(before[3], 0)
+                if gap > max(0.75, 0.16 * min(before[4], g[4])) or (before[3] <= 0 and gap > 0.8 and before[0][-1].isalnum() and g[0][0].isalnum()):
+                    text += " "
+            text += g[0]
+            before = g
+        gs = [g for _, g, _ in own]
+        weight = sum(max(abs(g[3]), 1) for g in gs)
+        fonts = [g[5] for g in gs]
+        size = sum(g[4] * max(abs(g[3]), 1) for g in gs) / weight
+        if text.split():
+            out.append((" ".join(text.split()), min(fonts, key=lambda f: (-fonts.count(f), f)), round(size, 6), min(g[1] for g in gs), max(g[1] + max(g[3], 0) for g in gs), min(g[2] for g in gs), max(g[2] + g[4] for g in gs)))
+    return sorted(out, key=lambda x: (-x[5], x[3]))
+
+
+def plain_blocks(rows, median):
+    """Texts and boxes of blocks, line after line; rows are (text, label, left, right, bottom, top)."""
+    out = []
+    for text, label, left, right, bottom, top in rows:
+        b = out[-1] if out else None
+        same = b and b["label"] == label and label in ("paragraph", "list_item")
+        if same and -0.35 * median <= b["bottom"] - top <= max(0.95 * median, 5) and abs(b["left"] - left) <= max(24, 0.12 * max(b["right"] - b["left"], right - left)) and left <= b["right"] + max(18, 2 * median):
+            b["text"] = b["text"][:-1] + text if b["text"].endswith("-") and text[:1].islower() else b["text"] + " " + text
+            b.update(left=min(b["left"], left), right=max(b["right"], right), bottom=min(b["bottom"], bottom), top=max(b["top"], top))
+        else:
+            out.append({"text": text, "label": label, "left": left, "right": right, "bottom": bottom, "top": top})
+    return out
+
+
+def test_random_glyphs(spark):
+    rng = random.Random(9)
+    pages = {}
+    for d in range(60):
+        page, y = [], 760.0
+        for _ in range(rng.randrange(1, 8)):
+            x = rng.choice([30.0, 40.0, 300.0])
+            for _ in range(rng.randrange(1, 9)):
+                size = rng.choice([10.0, 10.0, 8.0, 14.0])
+                w = rng.choice([0.0, 5.0, 22.0])
+                page.append((rng.choice(["a", "B", "word", " ", "9", "-", "é", "(x)", "end-"]), x, y + rng.choice([0.0, 0.0, 0.0, 0.25, -0.5, 2.0, -2.5]), w, size, rng.choice(["f", "g"])))
+                x += rng.choice([w, w + 0.5, w + 1.0, w + 3.0, w + 30.0])
+            y -= rng.choice([11.0, 12.0, 14.0, 30.0])
+        rng.shuffle(page)
+        pages[d] = page
+    built = lines.build_lines(glyph_table(spark, pages)).cache()
+    got = {}
+    for r in built.orderBy("doc_id", "line_no").collect():
+        got.setdefault(r["doc_id"], []).append((r["text"], r["font"], round(r["font_size"], 6), r["left"], r["right"], r["bottom"], r["top"]))
+    want = {d: w for d, p in pages.items() if (w := plain_lines(p))}
+    assert got == want
+    sizes = spark.createDataFrame([(d, 1, 612.0, 792.0) for d in pages], SIZES)
+    marked = lines.labelled(built, sizes).cache()
+    rows, medians = {}, {}
+    for r in marked.orderBy("doc_id", "line_no").collect():
+        rows.setdefault(r["doc_id"], []).append((r["text"], r["label"], r["left"], r["right"], r["bottom"], r["top"]))
+        medians[r["doc_id"]] = r["median"]
+    blocks = {}
+    for r in lines.group_lines(marked).orderBy("doc_id", "ord").collect():
+        blocks.setdefault(r["doc_id"], []).append({"text": r["text"], "label": r["label"], **r["bbox"].asDict()})
+    assert blocks == {d: plain_blocks(v, medians[d]) for d, v in rows.items()}
+
+
+def test_blocks_from_lines(spark):
+    rows = [(1, 1, i, t, "f", 10.0, 0.0, 100.0, top - 10, top, top - 10, label, 10.0) for i, (t, top, label) in enumerate([("one hy-", 700.0, "paragraph"), ("phen", 688.0, "paragraph"), ("far", 600.0, "paragraph"), ("Head", 588.0, "section_header")])]
+    table = spark.createDataFrame(rows, "doc_id long, page_no int, line_no int, text string, font string, font_size double, left double, right double, baseline double, top double, bottom double, label string, median double")
+    assert [r["text"] for r in lines.group_lines(table).orderBy("ord").collect()] == ["one hyphen", "far", "Head"]
 
 
 @pytest.mark.parametrize(
@@ -192,10 +296,3 @@ def test_every_word_is_a_glyph(spark, tmp_path):
     assert geometry.line_labels(spark, str(tmp_path)).count() == len(own)
     wide = {r["page_no"]: r["width"] for r in geometry.page_dimensions(spark, str(tmp_path)).collect()}
     assert wide == {1: 30.0 + 45.0 * 201 + 40 + 18, 2: 612.0}
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", ["glyph_lines", "page_dimensions"])
-def test_glyphs_against_sql_of_whole_lines(spark, name):
-    sql = catalog.ORACLES[name].replace("[1:12]", "").replace("least(len(string_split(text, ' ')), 12)", "len(string_split(text, ' '))")
-    assert rows_of(catalog.QUERIES[name](spark, SF)) == rows_of_sql(connection(SF), sql)
