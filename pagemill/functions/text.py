@@ -1,7 +1,7 @@
 """Scalar text functions as Spark columns, with DuckDB SQL that computes the same.
 
 Each function ``f`` of columns has a twin ``sql_f`` of SQL expressions; the twins leave out NFKC,
-which neither engine has, and which only the Spark side gets from Python where a text needs it.
+which DuckDB doesn't have.
 """
 
 from __future__ import annotations
@@ -36,16 +36,9 @@ def sql_replaced(text: str, pattern: str, by: str, ignore_case: bool = False) ->
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC; only texts with a character that it may change go through Python."""
-
-    @F.pandas_udf("string")
-    def normal(s):
-        import unicodedata
-
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-    open_text = F.when(~text.rlike(rf"\A{_NFKC_SAFE}*+\z"), text)
-    return F.coalesce(normal(open_text), text)
+    """NFKC by the JVM's own tables, which Spark brings along; only texts with a character that it may change are passed on."""
+    normal = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(~text.rlike(rf"\A{_NFKC_SAFE}*+\z"), normal).otherwise(text)
 
 
 def normalized(text: Column, use_nfkc: bool = True) -> Column:
@@ -350,8 +343,7 @@ def truncated(text: Column, limit: int) -> Column:
 
 def sentences(text: Column) -> Column:
     """Cuts after . ! ? where a capital or a digit follows, blanks between or not."""
-    cut = F.regexp_replace(text, r"([.!?])[\s\x0B\x{85}\p{Z}]*(?=[\p{Lu}\p{Nd}])", "$1\u0001")
-    return F.filter(F.split(cut, "\u0001"), lambda s: s != "")
+    return F.filter(F.split(text, r"(?<=[.!?])[\s\x0B\x{85}\p{Z}]*(?=[\p{Lu}\p{Nd}])"), lambda s: s != "")
 
 
 def sql_sentences(text: str) -> str:

@@ -39,6 +39,12 @@ def with_furniture(blocks: DataFrame, o: Options = Options()) -> DataFrame:
     return blocks.withColumn("furniture", (F.col("norm") != "") & (F.char_length(key) <= o.furniture_chars) & (n >= o.furniture_count))
 
 
+def in_skipped_section(signal: Column) -> Column:
+    """Whether the latest signal up to a block of its document says so; blocks before any are in none."""
+    upto = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return F.coalesce(F.last(signal, ignorenulls=True).over(upto), F.lit(False))
+
+
 def classify(blocks: DataFrame, o: Options = Options()) -> DataFrame:
     """Blocks with ``norm``, ``rule`` (null if kept), ``bucket`` (label or rule), ``emitted`` and ``out``.
 
@@ -58,8 +64,7 @@ def classify(blocks: DataFrame, o: Options = Options()) -> DataFrame:
     heading = F.col("early").isNull() & F.col("label").isin(*P.HEADING_LABELS)
     b = b.withColumn("heading", F.when(heading, X.heading_class(F.col("norm"), o.drop_references, o.drop_acknowledgements, o.drop_appendices)))
     signal = F.when((F.col("norm") != "") & (F.col("label") == "reference"), True).when(F.col("heading") == "drop", True).when(F.col("heading").isin("keep", "unknown"), False)
-    before = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
-    b = b.withColumn("skipping", F.coalesce(F.last(signal, ignorenulls=True).over(before), F.lit(False)))
+    b = b.withColumn("skipping", in_skipped_section(signal))
     prose = F.when(F.col("skipping"), "section_skip")
     for name, fits, _ in X.PROSE_RULES:
         prose = prose.when(fits(F.col("norm")), name)
@@ -82,12 +87,19 @@ def drop_counts(classified: DataFrame) -> DataFrame:
 
 def stats(classified: DataFrame) -> DataFrame:
     """Counters of each document, and the drop counters as two maps."""
-    base = classified.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("emitted").alias("kept"), F.countDistinct(F.when(F.col("page_no") > 0, F.col("page_no"))).alias("pages"))
-    pairs = drop_counts(classified).groupBy("doc_id")
+    # kept blocks are the group without a rule, so one pass over the blocks counts everything
+    pages = F.collect_set(F.when(F.col("page_no") > 0, F.col("page_no")))
+    groups = classified.groupBy("doc_id", "bucket", "rule").agg(F.count(F.lit(1)).alias("n"), F.count_if("emitted").alias("kept"), pages.alias("pages"))
     of = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("bucket") == k, F.struct("rule", "n")))))
-    maps = pairs.agg(of("rule").alias("dropped_by_rule"), of("label").alias("dropped_by_label"))
-    none = F.create_map().cast("map<string,bigint>")
-    return base.join(maps, "doc_id", "left").select("doc_id", "total", "kept", (F.col("total") - F.col("kept")).alias("dropped"), "pages", F.coalesce("dropped_by_rule", none).alias("dropped_by_rule"), F.coalesce("dropped_by_label", none).alias("dropped_by_label"))
+    found = groups.groupBy("doc_id").agg(
+        F.sum("n").alias("total"),
+        F.sum("kept").alias("kept"),
+        (F.sum("n") - F.sum("kept")).alias("dropped"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).cast("bigint").alias("pages"),
+        of("rule").alias("dropped_by_rule"),
+        of("label").alias("dropped_by_label"),
+    )
+    return found
 
 
 def formatted_counts(counts: Column) -> Column:

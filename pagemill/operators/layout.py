@@ -27,19 +27,39 @@ def overlap(a: Column, b: Column) -> Column:
     return across & down
 
 
+def _grown(regions: DataFrame, margin: float, normalize_origin: bool) -> DataFrame:
+    return regions.select("doc_id", "page_no", expanded(F.col("bbox"), MARGIN if margin < 0 else margin, normalize_origin).alias("box"))
+
+
+def _near(box: Column, titled: Column, region: Column, normalize_origin: bool) -> Column:
+    return overlap(box, region) | (titled & overlap(box, expanded(region, TITLE_MARGIN, normalize_origin)))
+
+
+def _titled() -> Column:
+    text = X.trimmed(F.coalesce("text", F.lit("")))
+    return (F.char_length(text) <= TITLE_CHARS) & X.is_title_case(text)
+
+
 def keep_outside(blocks: DataFrame, regions: DataFrame, margin: float = MARGIN, normalize_origin: bool = False) -> DataFrame:
     """Blocks that overlap no region of their page: an anti-join on document and page.
 
     Regions grow by ``margin`` (12 if negative); for short title-case text by 30 more. A block without
     a page or a box stays.
     """
-    margin = MARGIN if margin < 0 else margin
-    r = regions.select(F.col("doc_id").alias("r_doc"), F.col("page_no").alias("r_page"), expanded(F.col("bbox"), margin, normalize_origin).alias("r_box"))
-    text = X.trimmed(F.coalesce("text", F.lit("")))
-    b = blocks.withColumn("_titled", (F.char_length(text) <= TITLE_CHARS) & X.is_title_case(text))
-    near = overlap(F.col("bbox"), F.col("r_box")) | (F.col("_titled") & overlap(F.col("bbox"), expanded(F.col("r_box"), TITLE_MARGIN, normalize_origin)))
+    grown = _grown(regions, margin, normalize_origin)
+    r = grown.select(F.col("doc_id").alias("r_doc"), F.col("page_no").alias("r_page"), F.col("box").alias("r_box"))
+    near = _near(F.col("bbox"), _titled(), F.col("r_box"), normalize_origin)
     on = (F.col("doc_id") == F.col("r_doc")) & (F.col("page_no") == F.col("r_page")) & (F.col("page_no") != 0) & F.col("bbox").isNotNull() & near
-    return b.join(r, on, "left_anti").drop("_titled")
+    return blocks.join(r, on, "left_anti")
+
+
+def with_inside(blocks: DataFrame, regions: DataFrame, margin: float = MARGIN, normalize_origin: bool = False) -> DataFrame:
+    """``blocks`` with ``inside``: whether ``keep_outside`` would drop them. A page's regions join as one small array."""
+    grown = _grown(regions.where(F.col("page_no") != 0), margin, normalize_origin)
+    pages = grown.groupBy("doc_id", "page_no").agg(F.collect_list("box").alias("_boxes"))
+    near = F.exists("_boxes", lambda r: _near(F.col("bbox"), F.col("_titled"), r, normalize_origin))
+    b = blocks.withColumn("_titled", _titled()).join(pages, ["doc_id", "page_no"], "left")
+    return b.withColumn("inside", F.coalesce(F.col("bbox").isNotNull() & near, F.lit(False))).drop("_titled", "_boxes")
 
 
 def iou(a: Column, b: Column) -> Column:

@@ -28,16 +28,26 @@ def y_of(box: Column, height: Column) -> Column:
     return F.when(box.isNull(), 0.0).when(box["top"] <= box["bottom"], box["top"]).otherwise(height - box["top"])
 
 
-def column_clusters(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, page_no, cluster, n, center) of pages with at least three candidates; single clusters too."""
-    b = blocks.where(F.col("bbox").isNotNull() & (F.col("page_no") != 0)).join(sizes.where("width > 0 and height > 0"), _PAGE)
+def _clustered(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks of pages of known size, with ``cluster`` for those that are narrow enough for a column, if the page has three of them."""
+    b = blocks.where(F.col("page_no") != 0).join(sizes.where("width > 0 and height > 0"), _PAGE)
     width = F.col("bbox.right") - F.col("bbox.left")
-    c = b.where((width > 0) & (width < NARROW_SHARE * F.col("width"))).select(*_PAGE, "ord", "width", ((F.col("bbox.left") + F.col("bbox.right")) / 2).alias("mid"))
-    order = W.partitionBy(*_PAGE).orderBy("mid", "ord")
+    narrow = F.coalesce((width > 0) & (width < NARROW_SHARE * F.col("width")), F.lit(False))
+    c = b.select(*_PAGE, "ord", "width", "height", narrow.alias("_narrow"), ((F.col("bbox.left") + F.col("bbox.right")) / 2).alias("mid"))
+    order = W.partitionBy(*_PAGE, "_narrow").orderBy("mid", "ord")
     gap = F.col("mid") - F.lag("mid").over(order)
-    c = c.withColumn("_new", F.when(gap >= GAP_SHARE * F.col("width"), 1).otherwise(0)).withColumn("cluster", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    c = c.withColumn("_all", F.count(F.lit(1)).over(W.partitionBy(*_PAGE))).where("_all >= 3")
-    return c.groupBy(*_PAGE, "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("mid").alias("total")).select(*_PAGE, F.col("cluster").cast("int").alias("cluster"), "n", (F.col("total") / F.col("n")).alias("center"), "total")
+    c = c.withColumn("_new", F.when(gap >= GAP_SHARE * F.col("width"), 1).otherwise(0)).withColumn("_cluster", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    n = F.count(F.lit(1)).over(W.partitionBy(*_PAGE, "_narrow"))
+    return c.withColumn("cluster", F.when(F.col("_narrow") & (n >= 3), F.col("_cluster").cast("int")))
+
+
+def _by_cluster(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    return _clustered(blocks, sizes).groupBy(*_PAGE, "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("mid").alias("total"), F.first("width").alias("width"), F.first("height").alias("height"))
+
+
+def column_clusters(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, page_no, cluster, n, center) of pages with at least three candidates; single clusters too."""
+    return _by_cluster(blocks, sizes).where("cluster is not null").select(*_PAGE, "cluster", "n", (F.col("total") / F.col("n")).alias("center"))
 
 
 def _merged_clusters(clusters: Column) -> Column:
@@ -55,11 +65,18 @@ def _merged_clusters(clusters: Column) -> Column:
     return F.aggregate(rounds, clusters, merge)
 
 
+def pages_of(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, page_no, width, height, centers) of pages of known size that have blocks; no centers without two columns."""
+    own = F.filter(F.sort_array(F.collect_list(F.struct("cluster", "total", "n"))), lambda x: x["cluster"].isNotNull())
+    c = _by_cluster(blocks, sizes).groupBy(*_PAGE).agg(own.alias("c"), F.first("width").alias("width"), F.first("height").alias("height"))
+    bare = F.transform("c", lambda x: F.struct(x["total"].alias("total"), x["n"].alias("n")))
+    centers = F.transform(_merged_clusters(bare), lambda x: x["total"] / x["n"])
+    return c.select(*_PAGE, "width", "height", F.when(F.size("c") > 1, centers).alias("centers"))
+
+
 def columns_of(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     """(doc_id, page_no, centers): the columns of pages that have two or more."""
-    c = column_clusters(blocks, sizes).groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct("cluster", "total", "n"))).alias("c")).where(F.size("c") > 1)
-    bare = F.transform("c", lambda x: F.struct(x["total"].alias("total"), x["n"].alias("n")))
-    return c.select(*_PAGE, F.transform(_merged_clusters(bare), lambda x: x["total"] / x["n"]).alias("centers"))
+    return pages_of(blocks, sizes).where("centers is not null").select(*_PAGE, "centers")
 
 
 def nearest_column(centers: Column, mid: Column) -> Column:
@@ -77,7 +94,7 @@ def repaired(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
 
     Unknown pages come last; pages without a size, or without any box, keep the input's order.
     """
-    b = blocks.join(sizes.where("width > 0 and height > 0 and page_no <> 0"), _PAGE, "left").join(columns_of(blocks, sizes), _PAGE, "left")
+    b = blocks.join(pages_of(blocks, sizes), _PAGE, "left")
     page = W.partitionBy(*_PAGE)
     b = b.withColumn("_boxes", F.count("bbox").over(page)).withColumn("_y", y_of(F.col("bbox"), F.col("height")))
     multi, boxed = F.col("centers").isNotNull(), F.col("bbox").isNotNull()

@@ -125,11 +125,8 @@ _SIGNALS = "CASE WHEN ord % 11 = 3 THEN true WHEN ord % 7 = 5 THEN false END"
 
 @query("section_skip_state", f"WITH {SQL_LINES} SELECT doc_id, ord, coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS skipping FROM (SELECT doc_id, ord, {_SIGNALS} AS signal FROM line)")
 def section_skip_state(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    b = lines(spark, sf_dir).select("doc_id", "ord", F.expr(_SIGNALS).alias("signal"))
-    before = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return b.select("doc_id", "ord", F.coalesce(F.last("signal", ignorenulls=True).over(before), F.lit(False)).alias("skipping"))
+    b = lines(spark, sf_dir)
+    return b.select("doc_id", "ord", clean.in_skipped_section(F.expr(_SIGNALS)).alias("skipping"))
 
 
 _PAGE_RULES = f"""WITH {_LABELLED}, counted AS (

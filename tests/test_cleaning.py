@@ -1,3 +1,7 @@
+import random
+import re
+import unicodedata
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -134,21 +138,98 @@ def test_fold(spark):
     assert got == "An overlap of two and (more Text)\n\nHeading Here\n\nsmall start.\n\nNext."
 
 
-def test_chunks():
+def plain_chunks(text, limit):
+    """The rule as a procedure over one text."""
+
+    def pack(pieces):
+        out = []
+        for p in pieces:
+            if out and len(out[-1]) + 1 + len(p) <= limit:
+                out[-1] += " " + p
+            else:
+                out.append(p)
+        return out
+
+    def words(t):
+        return pack([w[i : i + limit] for w in t.split() for i in range(0, len(w), limit)])
+
+    text = re.sub("\n{3,}", "\n\n", text.strip())
+    if len(text) <= limit:
+        return [text] if text else []
+    sentences = [""]
+    for i, c in enumerate(text):
+        sentences[-1] += c
+        after = text[i + 1 :].lstrip()
+        if c in ".!?" and after and (after[0].isupper() or after[0].isdecimal()):
+            sentences.append("")
+    out = []
+    for c in pack([s.strip() for s in sentences if s.strip()]):
+        if len(c) <= limit:
+            out.append(c)
+            continue
+        clauses = pack([x.strip() for x in re.split(r"(?<=[,;:])\s+", c) if x.strip()])
+        out += clauses[:-1] + (words(clauses[-1]) if len(clauses[-1]) > limit else clauses[-1:])
+    return out
+
+
+def chunks(spark, texts, limit):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunk.chunks_of(F.col("t"), limit).alias("c"))
+    return [r["c"] for r in df.orderBy("i").collect()]
+
+
+def test_chunks(spark):
     text = "This sentence stands here again. " * 30
-    assert all(len(c) <= 120 for c in chunk.chunks_of(text, 120))
-    assert [len(c) for c in chunk.chunks_of("é" * 301, 100)] == [100, 100, 100, 1]
-    assert chunk.chunks_of("", 100) == [] and chunk.chunks_of("short", 100) == ["short"]
-    assert chunk.sentences("It is 98.5 now. Yes") == ["It is 98.", "5 now.", "Yes"]
-    long_clause = "a" * 30 + ", b"
-    assert chunk.clauses_within(long_clause, 20) == ["a" * 30 + ",", "b"]
-
-
-@settings(deadline=None, max_examples=60, suppress_health_check=[HealthCheck.too_slow])
-@given(st.text(alphabet="ab .,;A1é\n", max_size=400), st.integers(5, 60))
-def test_chunks_lose_nothing(text, limit):
-    own = " ".join(text.split())
-    assert "".join("".join(chunk.chunks_of(own, limit)).split()) == "".join(own.split())
+    got = chunks(spark, [text, "é" * 301, "", "short", "a" * 130 + ", b", "  \n "], 100)
+    assert all(len(c) <= 100 for c in got[0]) and [len(c) for c in got[1]] == [100, 100, 100, 1]
+    assert got[2:] == [[], ["short"], ["a" * 130 + ",", "b"], []]  # a long clause that isn't the last stays whole
+    assert chunks(spark, ["a" * 30 + ", b"], 20) == [["a" * 30 + ",", "b"]]
+    assert chunks(spark, ["It is 98.5 now. Yes"], 10) == [["It is 98.", "5 now. Yes"]]
+    assert chunks(spark, ["x" * 900], 0) == [["x" * 900]]
+
+
+def test_chunks_against_plain_version(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab  .,;A1é\n:!") for _ in range(rng.randrange(0, 400))) for _ in range(400)]
+    texts += [" ".join(rng.choice(["word", "Then", "it,", "end.", "9", "so;"]) for _ in range(3000))]
+    for limit in (5, 23, 60):
+        got = chunks(spark, texts, limit)
+        assert got == [plain_chunks(t, limit) for t in texts]
+        assert ["".join("".join(c).split()) for c in got] == ["".join(t.split()) for t in texts]
+
+
+def plain_fold(parts):
+    """Paragraphs, part after part."""
+    out = []
+    for p in (x.strip() for x in parts):
+        if not p:
+            continue
+        a = out[-1] if out else ""
+        lower = p[0].islower()
+        names = [w.strip("()[]{}:;,\"") for w in a.split()]
+        heading = len(a) <= 80 and not re.search("[.!?]", a) and 1 <= len(names) <= 8 and all(w[:1].isupper() or "/" in w or w.lower() == "of" or (re.search("[A-Za-z]", w) and not re.search("[a-z]", w)) for w in names)
+        if a and a.endswith("-") and lower:
+            out[-1] = a[:-1] + p
+        elif a and (a.count("(") > a.count(")") or (lower and not heading and not re.search(r"[.?!][)\]}'\"]*$", a))):
+            out[-1] = a + " " + p
+        else:
+            out.append(p)
+    return "\n\n".join(out)
+
+
+def test_fold_against_plain_version(spark):
+    rng = random.Random(5)
+    words = ["word", "Head", "of", "(open", "close)", "end.", "over-", "UP", "9", "small", "Big Title", "a/b", "said.)"]
+    docs = [[" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 1, 2, 3, 9, 20]))) for _ in range(rng.randrange(0, 30))] for _ in range(200)]
+    docs.append([rng.choice(words) for _ in range(2000)])
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, p array<string>").select("i", fold.merged(F.col("p")).alias("t"))
+    assert [r["t"] for r in df.orderBy("i").collect()] == [plain_fold(d) for d in docs]
+
+
+def test_nfkc_is_the_standard_one(spark):
+    rows = [(c, f"a{chr(c)}b{chr(c)}") for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    got = spark.createDataFrame(rows, "c int, s string").select("c", "s", X.nfkc(F.col("s")).alias("n")).collect()
+    assert [hex(r["c"]) for r in got if r["n"] != unicodedata.normalize("NFKC", r["s"])] == []
+    assert one(spark, X.nfkc, None) is None
 
 
 @settings(deadline=None, max_examples=15, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
