@@ -89,7 +89,7 @@ def rectangle_regions(rects: DataFrame, sizes: DataFrame) -> DataFrame:
 def deduplicated(regions: DataFrame, most: float = 0.92) -> DataFrame:
     """The first of regions that are almost alike; one is compared with those kept before it only.
 
-    Regions of a page are folded in order of ``seq``: whether a region stays depends on earlier decisions.
+    Regions of a page are folded in order of ``seq`` (then of kind and box): whether a region stays depends on earlier decisions.
     """
     pages = regions.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "bbox"))).alias("all"))
     none = F.filter(F.col("all"), lambda x: F.lit(False))

@@ -20,9 +20,12 @@ line AS (
 )"""
 
 _RULES = " ".join(f"WHEN {sql('norm')} THEN '{name}'" for name, _, sql in X.PROSE_RULES)
-#: The whole cascade for blocks that are all paragraphs.
-SQL_CASCADE = f"""{SQL_LINES}, counted AS (
-  SELECT *, count(*) OVER (PARTITION BY doc_id, lower(norm)) AS n FROM normal
+
+
+def sql_cascade(source: str) -> str:
+    """The whole cascade for blocks (doc_id, ord, norm) that are all paragraphs, as DuckDB queries up to ``classified``."""
+    return f"""counted AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, lower(norm)) AS n FROM {source}
 ), ruled AS (
   SELECT doc_id, ord, norm, CASE WHEN norm = '' THEN 'empty' WHEN length(norm) <= 90 AND n >= 3 THEN 'repeated_furniture' {_RULES} END AS rule0,
          {X.sql_normalized(X.sql_without_citations("norm"))} AS bare
@@ -32,6 +35,9 @@ SQL_CASCADE = f"""{SQL_LINES}, counted AS (
 )"""
 
 
+SQL_CASCADE = f"{SQL_LINES}, {sql_cascade('normal')}"
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -173,13 +179,16 @@ _HYPHEN = f"ends_with({_OPEN}, '-') AND regexp_matches(x, '^\\p{{Ll}}')"
 _GOES_ON = f"({_HYPHEN}) OR {X.sql_count_of(_OPEN, '(')} > {X.sql_count_of(_OPEN, ')')} OR (regexp_matches(x, '^\\p{{Ll}}') AND NOT {X.sql_is_short_heading(_OPEN)} AND NOT {X.sql_ends_sentence(_OPEN)})"
 
 
-@query("cleaned_text", f"""WITH {SQL_CASCADE}, parts AS (
+#: Texts of ``classified`` blocks.
+SQL_TEXTS = f"""parts AS (
   SELECT doc_id, list({X.sql_trimmed("out")} ORDER BY ord) FILTER (rule IS NULL) AS p FROM classified GROUP BY doc_id
 ), folded AS (
   SELECT doc_id, CASE WHEN p IS NULL THEN '' ELSE list_reduce(p, lambda acc, x: CASE WHEN {_HYPHEN} THEN left(acc, length(acc) - 1) || x WHEN {_GOES_ON} THEN acc || ' ' || x ELSE acc || chr(2) || x END) END AS t FROM parts
 ), joined AS (
   SELECT doc_id, {X.sql_trimmed("regexp_replace(replace(t, chr(2), chr(10) || chr(10)), chr(10) || '{3,}', chr(10) || chr(10), 'g')")} AS text FROM folded
-)
-SELECT doc_id, text, {X.sql_detected_language("text")} AS language FROM joined""")
+)"""
+
+
+@query("cleaned_text", f"WITH {SQL_CASCADE}, {SQL_TEXTS} SELECT doc_id, text, {X.sql_detected_language('text')} AS language FROM joined")
 def cleaned_text(spark, sf_dir):
     return fold.cleaned_text(classified(spark, sf_dir))

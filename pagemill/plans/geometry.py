@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as X
 from pagemill.operators import document, layout, reading_order
 from pagemill.operators import lines as L
-from pagemill.plans.cleaning import lines
+from pagemill.plans.cleaning import SQL_TEXTS, lines, sql_cascade
 from pagemill.plans.registry import query
 from pagemill.sources import blocks as B
 
@@ -22,8 +22,11 @@ def _near(margin: str) -> str:
     return f"b.r > 180 - {margin} AND 400 + {margin} > b.l AND b.b > 300 - {margin} AND 400 + {margin} > b.t"
 
 
-@query("layout_anti_join", f"""{_SQL} SELECT doc_id, ord, page_no FROM placed b WHERE NOT ((doc_id + page_no) % 3 = 0 AND (({_near("12")})
-  OR (length({X.sql_trimmed("text")}) <= 60 AND {X.sql_is_title_case(X.sql_trimmed("text"))} AND {_near("42")})))""")
+_INSIDE = f"""((doc_id + page_no) % 3 = 0 AND (({_near("12")})
+  OR (length({X.sql_trimmed("text")}) <= 60 AND {X.sql_is_title_case(X.sql_trimmed("text"))} AND {_near("42")})))"""
+
+
+@query("layout_anti_join", f"{_SQL} SELECT doc_id, ord, page_no FROM placed b WHERE NOT {_INSIDE}")
 def layout_anti_join(spark, sf_dir):
     b = placed(spark, sf_dir)
     return layout.keep_outside(b, B.picture_regions(b)).select("doc_id", "ord", "page_no")
@@ -58,15 +61,20 @@ def nearest_column(spark, sf_dir):
     return x.select("doc_id", "ord", reading_order.nearest_column(F.col("centers"), mid).alias("nearest"), reading_order.spans_columns(F.col("bbox"), F.col("centers"), F.lit(612.0)).alias("spans"))
 
 
-@query("reading_order", f"""{_CLUSTERS}, multi AS (SELECT doc_id, page_no, min(center) AS c0, max(center) AS c1 FROM col GROUP BY doc_id, page_no HAVING count(*) = 2
+#: Every block's place in reading order.
+_ORDERED = f"""{_CLUSTERS}, multi AS (SELECT doc_id, page_no, min(center) AS c0, max(center) AS c1 FROM col GROUP BY doc_id, page_no HAVING count(*) = 2
 ), item AS (
   SELECT p.*, c0 IS NOT NULL AS multi, c0 IS NOT NULL AND ((r - l >= 0.6 * 612) OR (c0 BETWEEN l - 4 AND r + 4 AND c1 BETWEEN l - 4 AND r + 4)) AS span,
          CASE WHEN c0 IS NOT NULL AND abs(c1 - (l + r) / 2) < abs(c0 - (l + r) / 2) THEN 1 ELSE 0 END AS col
   FROM placed p LEFT JOIN multi USING (doc_id, page_no)
 ), keyed AS (
   SELECT i.*, (SELECT count(*) FROM item s WHERE s.doc_id = i.doc_id AND s.page_no = i.page_no AND s.span AND CASE WHEN i.span THEN (s.t, s.ord) < (i.t, i.ord) ELSE s.t <= i.t + 3 END) AS seg FROM item i
-)
-SELECT doc_id, ord, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, CASE WHEN multi THEN seg ELSE 0 END, CASE WHEN span THEN 2 ELSE CASE WHEN multi THEN col ELSE 0 END END, t, ord) - 1 AS INTEGER) AS new_ord FROM keyed""")
+), ordered AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, CASE WHEN multi THEN seg ELSE 0 END, CASE WHEN span THEN 2 ELSE CASE WHEN multi THEN col ELSE 0 END END, t, ord) - 1 AS INTEGER) AS new_ord FROM keyed
+)"""
+
+
+@query("reading_order", f"{_ORDERED} SELECT doc_id, ord, new_ord FROM ordered")
 def reading_order_query(spark, sf_dir):
     b = placed(spark, sf_dir)
     return reading_order.repaired(b, B.page_sizes(b)).select("doc_id", "ord", "new_ord")
@@ -104,7 +112,16 @@ def region_iou(spark, sf_dir):
     return x.join(y, "doc_id").where("a < b").select("doc_id", "a", "b", F.round(layout.iou(F.col("p"), F.col("q")), 9).alias("iou"))
 
 
-@query("region_dedup")
+# one region after the other, compared with those kept so far
+@query("region_dedup", f"""{_SQL_RECTS.replace("WITH rect", "WITH RECURSIVE rect")}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, l, b + h, l + w, b) AS k FROM large
+), kept AS (
+  SELECT doc_id, k, [{{'seq': seq, 'l': l, 'b': b, 'w': w, 'h': h}}] AS own FROM placed WHERE k = 1
+  UNION ALL
+  SELECT p.doc_id, p.k, CASE WHEN len(list_filter(own, lambda q: {_AREA} / (p.w * p.h + q.w * q.h - {_AREA}) > 0.92)) > 0 THEN own ELSE list_append(own, {{'seq': p.seq, 'l': p.l, 'b': p.b, 'w': p.w, 'h': p.h}}) END
+  FROM kept JOIN placed p ON p.doc_id = kept.doc_id AND p.k = kept.k + 1
+)
+SELECT doc_id, 1 AS page_no, unnest(own).seq AS seq FROM (SELECT doc_id, arg_max(own, k) AS own FROM kept GROUP BY doc_id)""")
 def region_dedup(spark, sf_dir):
     r = _rects(spark, sf_dir)
     return layout.deduplicated(layout.rectangle_regions(r, B.page_sizes(r))).select("doc_id", "page_no", "seq")
@@ -199,7 +216,22 @@ def dominant_font(spark, sf_dir):
     return L.build_lines(glyphs(spark, sf_dir)).select("doc_id", "page_no", "line_no", "font")
 
 
-@query("processed_documents")
+_SQL_PROCESSED = f"""{_ORDERED}, pictured AS (
+  SELECT doc_id, count(DISTINCT page_no) AS regions FROM placed WHERE (doc_id + page_no) % 3 = 0 GROUP BY doc_id
+), every AS (
+  SELECT doc_id, count(*) AS n, count(DISTINCT page_no) AS pages FROM placed GROUP BY doc_id
+), outside AS (
+  SELECT doc_id, new_ord AS ord, {X.sql_normalized("text")} AS norm FROM ordered b WHERE NOT {_INSIDE}
+), {sql_cascade("outside")}, {SQL_TEXTS}, counts AS (
+  SELECT doc_id, count(*) AS total, count(*) FILTER (rule IS NULL) AS kept FROM classified GROUP BY doc_id
+), spoken AS (
+  SELECT doc_id, text, coalesce(nullif({X.sql_detected_language("text")}, 'unknown'), 'en') AS effective_language FROM joined
+)
+SELECT doc_id, text, effective_language, pages, total, kept, total - kept AS dropped, n - total AS layout_dropped, coalesce(regions, 0) AS regions, 0 AS reviewed, 0 AS review_dropped
+FROM spoken JOIN counts USING (doc_id) JOIN every USING (doc_id) LEFT JOIN pictured USING (doc_id)"""
+
+
+@query("processed_documents", _SQL_PROCESSED)
 def processed_documents(spark, sf_dir):
     b = placed(spark, sf_dir)
     d = document.processed(b, B.page_sizes(b), B.picture_regions(b))
