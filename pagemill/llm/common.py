@@ -41,12 +41,37 @@ def map_arrow(df: DataFrame, f: Callable, schema: T.StructType | str) -> DataFra
     return df.mapInArrow(f, schema)
 
 
+#: Folders of work tables that this process has made and not deleted, with what deletes them.
+_open: dict[str, tuple] = {}
+
+
+def release() -> None:
+    """Delete all work tables of this process. No result that was returned before may be read after it.
+
+    It also runs when the process ends: a result is lazy and may read its tables until then.
+    """
+    for root, (jvm, conf) in list(_open.items()):
+        try:
+            _delete_path(jvm, conf, root)
+        except Exception:  # noqa: BLE001 - at the end of the process the JVM may be gone, and its tables with the folder
+            pass
+        _open.pop(root, None)
+
+
+atexit.register(release)
+
+
 class WorkTables:
-    """Parquet tables in the shared folder: they cut lineage and survive lost executors."""
+    """Parquet tables in the shared folder: they cut lineage and survive lost executors.
+
+    An operator drops a table once no later step reads it. Those that its lazy result still reads
+    stay until ``release``, or the end of the process.
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        _open[self.root] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
         self._n = 0
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 
@@ -59,6 +84,9 @@ class WorkTables:
         self._paths[id(kept)] = (kept, path)
         return kept
 
+    def frames(self) -> list[DataFrame]:
+        return [df for df, _ in self._paths.values()]
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for df in frames:
@@ -71,13 +99,17 @@ class WorkTables:
 
     def drop_all(self) -> None:
         _delete(self.spark, self.root)
+        _open.pop(self.root, None)
         self._paths.clear()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
+    _delete_path(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def _delete_path(jvm, conf, path: str) -> None:
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

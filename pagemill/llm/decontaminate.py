@@ -2,26 +2,29 @@
 
 Texts and items are normalised alike: A-Z becomes a-z, every other ASCII character that is no digit
 or letter separates words. A window is ``width`` consecutive words of an item; an item of fewer
-words, but not none, is one window. Each text is scanned once, and every occurrence of a window is
-mapped back to words, and from words to characters of the original text.
-
-Items go to the executors in blocks of at most ``block_bytes`` normalised bytes, whatever the size
-of the benchmark: the usual one fits into one block; a larger one makes one pass over the texts for
-each block, with the intervals found so far kept in a work table in between.
+words, but not none, is one window. The automaton's letters are words, by their place in the
+items' vocabulary; all words that no item holds are one letter. Each text is scanned once, and
+every occurrence of a window is mapped back to characters of the original text. A letter is a character of
+the library's strings, which it reads several times faster than tuples of numbers.
+
+What bounds an automaton is its number of windows, so items go to the executors in blocks of about
+``block_windows``, one block at a time on the driver too; the usual benchmark fits into one block. A larger
+one makes one pass over the texts for each block, with the intervals found so far kept in a work
+table in between. An item of many words is dealt out in overlapping parts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WorkTables, append_struct, fresh_name, utf8
+from pagemill.llm.common import WorkTables, append_struct, fresh_name, map_arrow, slices, utf8
 
 #: Bytes as a normalised text has them: a-z and digits stay, A-Z is lowered, what is not ASCII stays.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -40,44 +43,55 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [] if text is None else text.translate(_BYTES).split()
 
 
-def windows(words: list[bytes], width: int) -> list[bytes]:
-    if len(words) <= width:
-        return [b" ".join(words)] if words else []
-    return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
+#: Windows of an item's part.
+PART_WINDOWS = 10_000
+
+
+#: Characters that may stand for a word: all but 0, which stands for words of no item, and the surrogates.
+MOST_LETTERS = 0x110000 - 0x800 - 1
 
 
 class Scanner:
-    """The automaton of one block of items."""
+    """The automaton of one block of items' parts, each (item, normalised words joined by blanks)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
+    def __init__(self, parts: list[tuple[str, bytes]], width: int, most_letters: int = MOST_LETTERS):
         import ahocorasick
 
-        owners: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for w in windows(words_of(text), width):
-                owners.setdefault(w, set()).add(item)
+        self.items = sorted({item for item, _ in parts})
+        number = {item: k for k, item in enumerate(self.items)}
+        self.letters: dict[bytes, str] = {}
         self.found = ahocorasick.Automaton()
-        for w, who in owners.items():
-            self.found.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, sorted(who)))
-        self.empty = not owners
-        if owners:
+        self.rest: Scanner | None = None
+        for at, (item, text) in enumerate(parts):
+            own = text.split()
+            if at and len(self.letters) + len(own) > most_letters:  # more words than characters: a second automaton
+                self.rest = Scanner(parts[at:], width, most_letters)
+                break
+            for w in own:
+                if w not in self.letters:
+                    c = len(self.letters) + 1
+                    self.letters[w] = chr(c if c < 0xD800 else c + 0x800)
+            line, k, n = "".join([self.letters[w] for w in own]), number[item], min(width, len(own))
+            for i in range(len(own) - n + 1 if n else 0):
+                window = line[i : i + n]
+                known = self.found.get(window, None)
+                if known is None:
+                    self.found.add_word(window, (n, k))
+                elif known[-1] != k:
+                    self.found.add_word(window, (*known, k))
+        self.empty = not len(self.found)
+        if not self.empty:
             self.found.make_automaton()
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Intervals of words inside some window, merged, and the items whose windows occur."""
-        if self.empty or not words:
-            return [], set()
-        text = f" {b' '.join(words).decode('latin-1')} "
-        ends, items, spans = None, set(), []
-        for at, (n, who) in self.found.iter(text):
-            if ends is None:
-                ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-            last = int(np.searchsorted(ends, at)) + 1
-            if spans and last - n <= spans[-1][1]:
-                spans[-1] = (min(spans[-1][0], last - n), max(spans[-1][1], last))
-            else:
-                spans.append((last - n, last))
-            items.update(who)
+        spans, items = ([], set()) if self.rest is None else self.rest.hits(words)
+        if not self.empty and words:
+            letter, who = self.letters.get, set()
+            for at, (n, *own) in self.found.iter("".join([letter(w, "\0") for w in words])):
+                spans.append((at + 1 - n, at + 1))
+                who.update(own)
+            items |= {self.items[k] for k in who}
         return merged(spans), items
 
 
@@ -99,21 +113,15 @@ def characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [(a, b, at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-_scanners: dict[bytes, Scanner] = {}
+_scanners: dict[str, Scanner] = {}
 
 
-def _scanner(items: list[tuple[str, bytes]], width: int) -> Scanner:
-    """One block's automaton for each Python process; the last one made is kept."""
-    key = hashlib.sha256(repr((width, items)).encode()).digest()
-    if key not in _scanners:
-        _scanners.clear()
-        _scanners[key] = Scanner(items, width)
-    return _scanners[key]
-
-
-def _pass(items: list[tuple[str, bytes]], width: int) -> Callable:
+def _pass(shared, token: str, width: int) -> Callable:
     def make() -> Callable:
-        scanner = _scanner(items, width)
+        if token not in _scanners:  # one automaton for each Python process; the last one made is kept
+            _scanners.clear()
+            _scanners[token] = Scanner(shared.value, width)
+        scanner = _scanners[token]
 
         def f(text, *before) -> list[tuple]:
             was = before[0].to_pylist() if before else [None] * len(text)
@@ -133,16 +141,39 @@ def _pass(items: list[tuple[str, bytes]], width: int) -> Callable:
     return make
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items, in blocks of bounded size. Only the items are gathered, one block at a time."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-int(total) // block_bytes))
-    blocks = []
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        blocks.append(sorted((r["item"], r["text"].encode("utf-8")) for r in part.collect()))
-    return blocks
+def _parts(width: int):
+    """(item, part, n, text): an item's normalised words in parts that share ``width - 1`` words, with their number of windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                words = words_of(text)
+                for k, i in enumerate(range(0, max(len(words) - width + 1, min(len(words), 1)), PART_WINDOWS)):
+                    own = words[i : i + PART_WINDOWS + width - 1]
+                    rows.append((item, k, max(len(own) - width + 1, 1), b" ".join(own)))
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["item", "part", "n", "words"])
+
+    return run
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_windows: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many blocks the items' parts make, and the blocks one after the other; no two are held at a time."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("item is not null and text is not null")
+    work = WorkTables(benchmark.sparkSession, "decontaminate-items")
+    # rows that repeat an item's words are one
+    parts = work.keep(map_arrow(items, _parts(width), "item string, part int, n bigint, words binary").distinct(), "parts")
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    n = max(1, -(-int(total) // block_windows))
+
+    def blocks() -> Iterator[list[tuple[str, bytes]]]:
+        for k in range(n):
+            own = parts if n == 1 else parts.where(F.pmod(F.xxhash64("item", "part", "words"), F.lit(n)) == k)
+            yield sorted((r["item"], bytes(r["words"])) for r in own.select("item", "words").collect())
+        work.drop_all()
+
+    return n, blocks()
 
 
 def scan(
@@ -153,24 +184,31 @@ def scan(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = 10,
-    block_bytes: int = 8_000_000,
+    block_windows: int = 64_000,
 ) -> tuple[DataFrame, str]:
     """``docs`` with a struct column of words, spans and items; also that column's name.
 
-    A null or empty text has no words and no spans. Items with a null id or text are left out; rows
-    that repeat an item count once; an empty benchmark finds nothing. Texts are scanned whole.
+    A null or empty text has no words and no spans; texts are scanned whole, however long. Items with
+    a null id or text, or without words, are left out; rows that repeat an item count once, and an id with several
+    texts has the windows of all; an empty benchmark finds nothing. Rows of ``docs`` that repeat, or
+    repeat an id, are scanned each. The struct's name clashes with no column.
     """
+    spark = docs.sparkSession
     work, name = None, None
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    n, blocks = item_blocks(benchmark, item_col, item_text_col, width, block_windows)
     for k, block in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(block)  # a block's words: some megabytes, whatever the benchmark's size
         inputs = [text_col] if name is None else [text_col, name]
-        found, new = append_struct(docs, inputs, _pass(block, width), RESULT, "scan")
+        found, new = append_struct(docs, inputs, _pass(shared, uuid.uuid4().hex, width), RESULT, "scan")
         if name is not None:
             found = found.drop(name)
         docs, name = found, new
-        if k + 1 < len(blocks):
-            work = work or WorkTables(docs.sparkSession, "decontaminate")
+        if k + 1 < n:
+            work = work or WorkTables(spark, "decontaminate")
+            before = work.frames()
             docs = work.keep(docs, "scanned")
+            work.drop(*before)
+            shared.destroy()
     return docs, name
 
 

@@ -3,7 +3,10 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -453,8 +456,8 @@ def plain_hits(text, items, width=10):
     return len(w), hit, sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [10**6, 300])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("block_windows", [10**6, 9])
+def test_decontamination(spark, block_windows):
     rng = random.Random(12)
     items = [(i, sentence(rng, n)) for i, n in enumerate((30, 12, 10, 3, 15, 9))] + [(6, None), (None, "w1 w2"), (7, ""), (8, "É-é w1"), (1, "w0 w0 w0")]
     texts = [None, "", "...", "w1"] + [sentence(rng, 120) for _ in range(10)]
@@ -464,7 +467,7 @@ def test_decontamination(spark, block_bytes):
     texts += ["a é-É. w1", "prefixw0 w0 w0 w0x"]
     d = docs(spark, texts)
     b = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    found, name = decontaminate.scan(d, b, block_bytes=block_bytes)
+    found, name = decontaminate.scan(d, b, block_windows=block_windows)
     for r in found.collect():
         n, hit, ids = plain_hits(r["text"], items)
         own = r[name]
@@ -473,7 +476,7 @@ def test_decontamination(spark, block_bytes):
         for s in own["spans"]:
             part = r["text"][s["char_from"] : s["char_to"]]
             assert len(plain_hits(part, [])) and plain_hits(part, [])[0] == s["word_to"] - s["word_from"]
-    clean = decontaminate.clean_only(d, b, block_bytes=block_bytes)
+    clean = decontaminate.clean_only(d, b, block_windows=block_windows)
     assert clean.columns == d.columns and {r["doc_id"] for r in clean.collect()} == {i for i, t in enumerate(texts) if not plain_hits(t, items)[1]}
     cut = {r["doc_id"]: r["text"] for r in decontaminate.redacted(d, b, mask="#").collect()}
     assert cut[0] is None and all((cut[i] == t) == (not plain_hits(t, items)[1]) for i, t in enumerate(texts))
@@ -482,6 +485,47 @@ def test_decontamination(spark, block_bytes):
     assert none.where(f"size({name}.spans) > 0").count() == 0
 
 
+def test_decontamination_by_very_long_items_and_texts(spark):
+    rng = random.Random(13)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    long = [rng.choice(vocabulary) for _ in range(25_000)]  # three parts of an item
+    other = " ".join(rng.choice(vocabulary) for _ in range(60_000))
+    at = (5, 9_994, 9_999, 19_995, 24_980)
+    texts = [f"zz {' '.join(long[i : i + 12])} yy" for i in at] + [f"{other} {' '.join(long[100:140])} {other}", " ".join(long[:9]), other]
+    b = spark.createDataFrame([(1, " ".join(long)), (2, "Only three words")], "item_id long, text string")
+    for most in (10**6, 7_000):
+        found, name = decontaminate.scan(docs(spark, texts), b, block_windows=most)
+        got = {r["doc_id"]: [(s["word_from"], s["word_to"]) for s in r[name]["spans"]] for r in found.collect()}
+        assert got == {**{k: [(1, 13)] for k in range(len(at))}, len(at): [(60_000, 60_040)], len(at) + 1: [], len(at) + 2: []}
+
+
+def test_more_words_than_letters():
+    rng = random.Random(14)
+    parts = [(str(k), " ".join(f"u{rng.randrange(400)}" for _ in range(12)).encode()) for k in range(40)]
+    whole, cut = decontaminate.Scanner(parts, 10), decontaminate.Scanner(parts, 10, most_letters=60)
+    assert cut.rest is not None and whole.rest is None
+    for _, t in parts:
+        words = b"x".join([b"z ", t, b" z " + parts[3][1]]).split()
+        assert whole.hits(words) == cut.hits(words)
+
+
+def test_a_block_of_items_fits_into_a_worker():
+    """The memory that an automaton of a default block takes, in a process of its own."""
+    code = """
+import inspect, random, resource
+from pagemill.llm import decontaminate
+most = inspect.signature(decontaminate.scan).parameters["block_windows"].default
+rng = random.Random(1)
+voc = [b"word%x" % i for i in range(60_000)]
+parts = [(str(k), b" ".join(rng.choices(voc, k=509))) for k in range(most // 500)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert len(decontaminate.Scanner(parts, 10).found) >= most * 0.99
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) < 300  # MB
+
+
 def test_digest_of_no_items_is_that_of_nothing(spark):
     assert spark.range(1).select(F.sha2(F.concat_ws(",", F.array().cast("array<string>")).cast("binary"), 256).alias("h")).first()["h"] == hashlib.sha256(b"").hexdigest()
 
