@@ -4,8 +4,10 @@ Texts and items are normalised alike: A-Z becomes a-z, every other ASCII charact
 or letter separates words. A window is ``width`` consecutive words of an item; an item of fewer
 words, but not none, is one window. The automaton's letters are words, by their place in the
 items' vocabulary; all words that no item holds are one letter. Each text is scanned once, and
-every occurrence of a window is mapped back to characters of the original text. A letter is a character of
-the library's strings, which it reads several times faster than tuples of numbers.
+every occurrence of a window is mapped back to characters of the original text.
+
+A word's number is written as three digits, each place with an alphabet of its own: so a node has 64 children
+at most, which the library searches one by one, and matches begin and end with words.
 
 What bounds an automaton is its number of windows, so items go to the executors in blocks of about
 ``block_windows``, one block at a time on the driver too; the usual benchmark fits into one block. A larger
@@ -47,8 +49,14 @@ def words_of(text: bytes | None) -> list[bytes]:
 PART_WINDOWS = 10_000
 
 
-#: Characters that may stand for a word: all but 0, which stands for words of no item, and the surrogates.
-MOST_LETTERS = 0x110000 - 0x800 - 1
+#: Words that three digits can tell apart, and what stands for words of no item.
+MOST_LETTERS = 1 << 18
+_NO_LETTER = "\xff\xff\xff"
+
+
+def letter(k: int) -> str:
+    """The three digits of a number below ``MOST_LETTERS``."""
+    return chr(k & 63) + chr(64 + (k >> 6 & 63)) + chr(128 + (k >> 12))
 
 
 class Scanner:
@@ -64,16 +72,15 @@ class Scanner:
         self.rest: Scanner | None = None
         for at, (item, text) in enumerate(parts):
             own = text.split()
-            if at and len(self.letters) + len(own) > most_letters:  # more words than characters: a second automaton
+            if at and len(self.letters) + len(own) > most_letters:  # more words than letters: a second automaton
                 self.rest = Scanner(parts[at:], width, most_letters)
                 break
             for w in own:
                 if w not in self.letters:
-                    c = len(self.letters) + 1
-                    self.letters[w] = chr(c if c < 0xD800 else c + 0x800)
+                    self.letters[w] = letter(len(self.letters))
             line, k, n = "".join([self.letters[w] for w in own]), number[item], min(width, len(own))
             for i in range(len(own) - n + 1 if n else 0):
-                window = line[i : i + n]
+                window = line[3 * i : 3 * (i + n)]
                 known = self.found.get(window, None)
                 if known is None:
                     self.found.add_word(window, (n, k))
@@ -87,9 +94,10 @@ class Scanner:
         """Intervals of words inside some window, merged, and the items whose windows occur."""
         spans, items = ([], set()) if self.rest is None else self.rest.hits(words)
         if not self.empty and words:
-            letter, who = self.letters.get, set()
-            for at, (n, *own) in self.found.iter("".join([letter(w, "\0") for w in words])):
-                spans.append((at + 1 - n, at + 1))
+            known, who = self.letters.get, set()
+            for at, (n, *own) in self.found.iter("".join([known(w, _NO_LETTER) for w in words])):
+                last = at // 3 + 1
+                spans.append((last - n, last))
                 who.update(own)
             items |= {self.items[k] for k in who}
         return merged(spans), items
