@@ -189,20 +189,21 @@ def test_fisher_yates():
 
 
 def plain_top(rows, k, every):
+    long = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
     ok = [(i, [int(np.floor(64.0 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in ok if i % every == 0}):
         v = min(v for i, v in ok if i == q)
-        scores = sorted((-sum(a * b for a, b in zip(v, c, strict=True)), i) for i, c in ok if i != q and len(c) == len(v))[:k]
+        scores = sorted((-long(sum(a * b for a, b in zip(v, c, strict=True))), i) for i, c in ok if i != q and len(c) == len(v))[:k]
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"query_bytes": 200}, {"block": 7}])
+@pytest.mark.parametrize("how", [{}, {"group_bytes": 9000, "query_rows": 2}, {"block": 7}, {"group_bytes": 500}])
 def test_top_k(spark, how):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=40)]) for i in range(90)]
-    rows += [(200, rows[0][1]), (201, rows[0][1]), (20, rows[20][1]), (202, None), (203, [float("nan")] * 40), (204, [None] * 40), (205, [1.0]), (220, [2.0]), (None, rows[1][1]), (240, [1e12] * 40)]
+    rows += [(200, rows[0][1]), (201, rows[0][1]), (20, rows[20][1]), (202, None), (203, [float("nan")] * 40), (204, [None] * 40), (205, [1.0]), (220, [2.0]), (None, rows[1][1]), (240, [1e12] * 40), (260, []), (261, []), (262, [3e16, 1.0]), (280, [1e16, -5e15])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     got = sorted(tuple(r) for r in topk.top_k(df, k=6, every=20, **how).collect())
     assert got == plain_top(rows, 6, 20)
@@ -216,10 +217,32 @@ def test_top_k_of_nothing(spark):
 def test_bounds_keep_ties():
     c = np.ones((500, 64), np.int64)
     best = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    topk.search_block(np.ones((1, 64), np.int64), c, np.array([3]), np.arange(500), 5, best)
+    topk.search_block(np.ones((1, 64), np.int64), np.array([3]), topk.Block(np.arange(500), c), 5, best)
     assert best[0][1].tolist() == [0, 1, 2, 4, 5]
 
 
+@pytest.mark.parametrize("bits", [20, 28, 40])
+def test_bounds_are_safe_beyond_doubles(bits):
+    """Scores on either side of 2 ** 53 that differ by little; dimensions that weigh much come first."""
+    rng = np.random.default_rng(bits)
+    c = rng.integers(-(1 << bits), 1 << bits, (600, 48)) >> np.arange(48) % 12
+    c[300:] = c[:300] + rng.integers(-1, 2, (300, 48))
+    q = c[::100].copy()
+    best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(q)
+    for part in (slice(0, 250), slice(250, 600)):
+        topk.search_block(q, np.arange(0, 600, 100), topk.Block(np.arange(600)[part], c[part]), 7, best)
+    limit = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    for i in range(len(q)):
+        want = sorted((-limit(sum(int(a) * int(b) for a, b in zip(q[i], c[j], strict=True))), j) for j in range(600) if j != 100 * i)[:7]
+        assert list(zip((-best[i][0]).tolist() if bits < 30 else [-int(x) for x in best[i][0]], best[i][1].tolist(), strict=True)) == want
+
+
+def test_top_k_of_a_third_with_one_id(spark):
+    rng = np.random.default_rng(8)
+    rows = [(20 if i % 3 == 0 else i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=9, group_bytes=4000)
+    assert sorted(tuple(r) for r in got.collect()) == plain_top(rows, 9, 20)
+
 # -- URL rules ------------------------------------------------------------------------------------
 
 RULES = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("block", "a.org", "/x*y*z"), url_filter.Rule("block", "q.net", "")]
