@@ -9,8 +9,11 @@ vertices are compared exhaustively on 64-coordinate sketches; larger nodes branc
 candidate links, never all pairs of a node; its components hold every true link with both ends.
 
 Then each component's documents are read once, whole, and every link between parts that are not yet
-connected is decided on the full sets. A component whose sets are too many for one task is cut into
-blocks, of which each pair is one task.
+connected is decided on the full sets. Of a component whose sets are too many for one task, first one
+candidate link of each vertex, to its neighbour with most links, is decided; what these links connect is one
+part. What is not in the largest part is cut into blocks, and so is the largest part; each pair of
+blocks is one task, but those inside the largest part, where nothing is left to decide. So a template
+that millions of pages share sends each page twice, and only its exceptions meet all of them.
 
 Recall, for a pair just at the threshold of 0.75: the 16 roots miss it with probability
 0.25 ** 16 = 2e-10, the sketch (28 of 64 coordinates at least) with about 1e-7; each level of
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WorkTables, append_struct, map_arrow, slices
+from pagemill.llm.common import WorkTables, append_struct, map_arrow, slices, utf8
 
 WIDTH = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -103,6 +106,10 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(h)
 
 
+def digest_of(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """The minwise token of each coordinate."""
     least = np.full(COORDINATES, _ALL, np.uint64)
@@ -116,16 +123,15 @@ _PARSED = "doc_id bigint, n_shingles bigint, digest binary, roots binary, branch
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        text = b.column(1)
         out: list[tuple] = []
-        for t in text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()).to_pylist():
+        for t in utf8(b.column(1)):
             words = words_of(t)
             if not words:
                 out.append((0, None, None, None, None))
                 continue
             s = shingles(words)
             sig = signature(s)
-            out.append((len(s), hashlib.blake2b(b" ".join(words), digest_size=16).digest(), sig[:TREES].tobytes(), (sig[TREES:] >> np.uint64(32)).astype(np.uint32).tobytes(), (sig >> np.uint64(40)).astype(np.uint8).tobytes()))
+            out.append((len(s), digest_of(words), sig[:TREES].tobytes(), (sig[TREES:] >> np.uint64(32)).astype(np.uint32).tobytes(), (sig >> np.uint64(40)).astype(np.uint8).tobytes()))
         columns = [b.column(0)] + [pa.array([r[k] for r in out], pa.int64() if k == 0 else pa.binary()) for k in range(5)]
         yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _PARSED.split(", ")])
 
@@ -199,25 +205,35 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
 
-def decide(sets: list[np.ndarray], sketch: np.ndarray) -> np.ndarray:
-    """The parts into which true links connect the sets; a pair already in one part isn't decided again."""
+def linked(a: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets are true links of the set ``a``; none is empty."""
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
+    both = np.add.reduceat((a[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return 100 * both >= PERCENT * (sizes + len(a) - both)
+
+
+def decide(sets: list[np.ndarray], sketch: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """The parts into which true links connect the sets; a pair already in one part isn't decided again.
+
+    ``known`` are the parts that are connected to begin with.
+    """
     k = len(sets)
     n = np.array([len(s) for s in sets])
-    part = np.arange(k)
-    for i in range(k - 1):
-        other = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
-        if not len(other):
-            continue
+    part = np.arange(k) if known is None else np.unique(known, return_inverse=True)[1].astype(np.int64)
+    # a pair has an end outside the largest part, or is in it already
+    outside = np.flatnonzero(part != np.bincount(part).argmax())
+    met = np.zeros(k, bool)
+    for i in outside:
+        met[i] = True
+        other = np.flatnonzero((part != part[i]) & ~met)
         other = other[(100 * np.minimum(n[other], n[i]) >= PERCENT * np.maximum(n[other], n[i]))]
         other = other[(sketch[other] == sketch[i]).sum(axis=1) >= LEAST_EQUAL]
         for c in range(0, len(other), 256):
             some = other[c : c + 256]
-            flat = np.concatenate([sets[j] for j in some])
-            at = np.minimum(np.searchsorted(sets[i], flat), n[i] - 1)
-            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(n[some])[:-1]]))
-            linked = some[100 * both >= PERCENT * (n[some] + n[i] - both)]
-            if len(linked):
-                part[np.isin(part, np.unique(part[linked]))] = part[i]
+            true = some[linked(sets[i], [sets[j] for j in some])]
+            if len(true):
+                part[np.isin(part, np.unique(part[true]))] = part[i]
     return part
 
 
@@ -232,29 +248,48 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return None
         own = sorted(rows.values(), key=lambda r: (r[1], r[0]))  # by the smallest document
-        part = decide([r[2] for r in own], np.frombuffer(b"".join(r[3] for r in own), np.uint8).reshape(-1, COORDINATES))
+        part = decide([r[2] for r in own], np.frombuffer(b"".join(r[3] for r in own), np.uint8).reshape(-1, COORDINATES), np.array([r[5] for r in own]))
         parts, first = np.unique(part, return_index=True)
         root = dict(zip(parts.tolist(), first.tolist(), strict=True))
         to = [own[root[p]] for p in part.tolist()]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int64()), pa.array([r[0] for r in to], pa.int64()), pa.array([r[1] for r in to], pa.int64()), pa.array([r[4] == 1 for r in own], pa.bool_())], names=["vid", "root", "root_id", "last"])
 
     for b in slices(batches):
-        columns = [b.column(c).to_pylist() for c in ("label", "low", "high", "vid", "rep_id", "digest", "sketch", "blocks")]
-        text = b.column("text")
-        texts = text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary())
-        for i, (label, low, high, vid, rep, digest, sketch, blocks) in enumerate(zip(*columns, strict=True)):
+        columns = [b.column(c).to_pylist() for c in ("label", "low", "high", "vid", "rep_id", "digest", "sketch", "blocks", "part")]
+        texts = utf8(b.column("text"))
+        for i, (label, low, high, vid, rep, digest, sketch, blocks, part) in enumerate(zip(*columns, strict=True)):
             if (label, low, high) != key:
                 if (out := done()) is not None:
                     yield out
                 key, rows = (label, low, high), {}
             if vid not in rows:
-                words = words_of(texts[i].as_py())
-                if hashlib.blake2b(b" ".join(words), digest_size=16).digest() == digest:  # an id may repeat with another text
-                    rows[vid] = (vid, rep, shingles(words), sketch, blocks)
+                words = words_of(texts[i])
+                if digest_of(words) == digest:  # an id may repeat with another text
+                    rows[vid] = (vid, rep, shingles(words), sketch, blocks, part)
     if (out := done()) is not None:
         yield out
 
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The true links of hubs: a group is a hub's text and then, one after the other, those that may be linked with it."""
+    key, hub = None, None
+    for b in slices(batches):
+        columns = [b.column(c).to_pylist() for c in ("hub", "chunk", "vid", "spoke", "digest")]
+        out, texts = [], utf8(b.column("text"))
+        for i, (own, chunk, vid, spoke, digest) in enumerate(zip(*columns, strict=True)):
+            if (own, chunk) != key:
+                key, hub = (own, chunk), None
+            words = words_of(texts[i])
+            if (spoke and hub is None) or digest_of(words) != digest:
+                continue
+            s = shingles(words)
+            if not spoke:
+                hub = s
+            elif linked(hub, [s])[0]:
+                out.append((vid, own))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
 def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices of the edges a-b and the smallest vertex of each one's component."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -339,28 +374,62 @@ def _candidates(work: WorkTables, reps: DataFrame, small: int, dense: float, mos
     return edges if edges is not None else spark.createDataFrame([], "a bigint, b bigint")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    small: int = 4096,
-    dense: float = 0.6,
-    most_levels: int = 40,
-    block_shingles: int = 1_500_000,
-    broadcast_rows: int = 400_000,
-) -> DataFrame:
+#: What a row of ``members`` takes when it is broadcast, at most: three numbers, a digest, a sketch, and their table.
+_MEMBER_BYTES = 250
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Each document's component: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * intersection >= 75 * union of their sets. A component's id is
     its smallest doc_id, whose document is kept. A null text, or one without words, has an empty set
-    and is linked with nothing. A row with a null id takes no part: its component is null and it is
-    kept. Rows that repeat an id get a row each; rows with equal id and text are one document.
+    and is linked with nothing; an empty table gives an empty result. A row with a null id takes no part: its component is null and it is
+    kept. Rows that repeat an id get a row each; rows with equal id and text are one document. Texts are read
+    whole: a long one is hashed in parts, which changes nothing. No other column is read, so none clashes.
+
+    ``how``: ``small`` (4096), the vertices of a node that is compared exhaustively; ``dense`` (0.6), the
+    share of its parent's vertices from which a node is joined as a whole; ``most_levels`` (40) of branching, below which nodes are
+    joined as a whole too; ``block_shingles`` (1.5 million), what a task holds of a component, twice;
+    ``broadcast_bytes`` (64 MB), up to which the members of components go to the texts and not the other way.
     """
-    return _judged(docs, id_col, text_col, small, dense, most_levels, block_shingles, broadcast_rows).drop("digest", "stands")
+    return _judged(docs, id_col, text_col, **how).drop("digest", "stands")
+
 
+def _contracted(work: WorkTables, edges: DataFrame, large: DataFrame, texts, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """True links (a, b) that connect much of the large components, and the tasks for what they leave open.
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, small: int = 4096, dense: float = 0.6, most_levels: int = 40, block_shingles: int = 1_500_000, broadcast_rows: int = 400_000) -> DataFrame:
+    ``texts`` joins rows with a ``rep_id`` with their texts.
+    """
+    spark = work.spark
+    own = large.select("vid")
+    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(own, F.col("a") == own["vid"], "left_semi").distinct()
+    both = work.keep(both, "large-edges")
+    degree = both.groupBy("b").agg(F.count(F.lit(1)).alias("links"))
+    hubs = both.join(degree, "b").groupBy(F.col("a").alias("vid")).agg(F.max_by("b", F.struct("links", -F.col("b"))).alias("hub"))
+    spokes = large.select("vid", "rep_id", "digest", "n_shingles").join(hubs, "vid")
+    chunks = spokes.groupBy("hub").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("chunks"))
+    spokes = spokes.join(chunks, "hub").select("hub", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int").alias("chunk"), "vid", F.lit(True).alias("spoke"), "rep_id", "digest")
+    centers = chunks.join(large.select(F.col("vid").alias("hub"), "rep_id", "digest"), "hub")
+    centers = centers.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("vid"), F.lit(False).alias("spoke"), "rep_id", "digest")
+    asked = texts(work.keep(spokes.unionByName(centers), "spokes"))
+    keys = ["hub", "chunk"]
+    true = map_arrow(asked.select(*keys, "vid", "spoke", "digest", "text").repartition(*keys).sortWithinPartitions(*keys, "spoke"), _verify, "a bigint, b bigint")
+    true = work.keep(true, "verified")
+    parts = components(work, true).select("vid", F.col("label").alias("part"))
+    m = work.keep(large.join(parts, "vid", "left").withColumn("part", F.coalesce("part", "vid")), "parted")
+    sizes = m.groupBy("label", "part").agg(F.sum("n_shingles").alias("n"))
+    whole = sizes.groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    count = lambda n: F.greatest(F.ceil(n / block_shingles), F.lit(1)).cast("int")
+    whole = whole.select("label", "largest", count(F.col("all") - F.col("most")).alias("rest_blocks"), count(F.col("most")).alias("largest_blocks"))
+    m = m.join(whole, "label")
+    inside = F.col("part") == F.col("largest")
+    place = F.xxhash64("vid")
+    block = F.when(inside, F.col("rest_blocks") + F.pmod(place, F.col("largest_blocks"))).otherwise(F.pmod(place, F.col("rest_blocks"))).cast("int")
+    partners = F.when(inside, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("largest_blocks"))
+    return true, m.select("label", "vid", "rep_id", "digest", "sketch", F.lit(0).alias("blocks"), "part", block.alias("block"), F.explode(F.sequence(F.lit(0), partners - 1)).alias("with"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, small: int = 4096, dense: float = 0.6, most_levels: int = 40, block_shingles: int = 1_500_000, broadcast_bytes: int = 64_000_000) -> DataFrame:
     """``near_duplicates`` with the digest of a row's words, and whether these words with this id stand for their component."""
     spark = docs.sparkSession
     work = WorkTables(spark, "neardup")
@@ -371,26 +440,37 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, small: int = 4096, dens
     reps = parsed.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(best)
     reps = reps.select("digest", F.col("r.doc_id").alias("rep_id"), "r.n_shingles", "r.roots", "r.branches", "r.sketch", F.monotonically_increasing_id().alias("vid"))
     reps = work.keep(reps, "reps")
-    labels = work.keep(components(work, _candidates(work, reps, small, dense, most_levels)), "labels")
+    edges = _candidates(work, reps, small, dense, most_levels)
+    labels = work.keep(components(work, edges), "labels")
     members = labels.join(reps.select("vid", "rep_id", "digest", "n_shingles", "sketch"), "vid")
     total = members.groupBy("label").agg(F.sum("n_shingles").alias("total"))
-    blocks = total.select("label", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
-    members = work.keep(members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")).drop("n_shingles"), "members")
-    n_members = members.count()
-    small_side = F.broadcast(members) if n_members <= broadcast_rows else members
-    texts = source.join(small_side, source["doc_id"] == small_side["rep_id"])
-    tasks = texts.select("label", "vid", "rep_id", "digest", "sketch", "blocks", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    tasks = tasks.select("label", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "vid", "rep_id", "digest", "sketch", "blocks", "text")
+    members = work.keep(members.join(total, "label"), "members")
+
+    def texts(rows: DataFrame) -> DataFrame:
+        """Rows with the text of their ``rep_id``; of rows that repeat an id, the reader takes those with the right digest."""
+        side = F.broadcast(rows) if rows.count() * _MEMBER_BYTES <= broadcast_bytes else rows
+        return source.join(side, source["doc_id"] == side["rep_id"])
+
+    large = members.where(F.col("total") > block_shingles)
+    several = not large.isEmpty()
+    little = members.where(F.col("total") <= block_shingles)
+    # a small component is one task, whose decisions are the last
+    tasks = little.select("label", "vid", "rep_id", "digest", "sketch", F.lit(1).alias("blocks"), F.col("vid").alias("part"), F.lit(0).alias("block"), F.lit(0).alias("with"))
+    if several:
+        true, more = _contracted(work, edges, large, texts, block_shingles)
+        tasks = tasks.unionByName(more)
+    asked = texts(work.keep(tasks, "tasks"))
+    tasks = asked.select("label", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "vid", "rep_id", "digest", "sketch", "blocks", "part", "text")
     keys = ["label", "low", "high"]
     decided = work.keep(map_arrow(tasks.repartition(*keys).sortWithinPartitions(*keys), _decide, _DECIDED), "decided")
     final = decided.where("last").select("vid", "root", F.col("root_id").alias("component"))
-    cut = decided.where("not last")
-    if several := not cut.isEmpty():
-        whole = components(work, cut.select(F.col("vid").alias("a"), F.col("root").alias("b"))).join(reps.select("vid", "rep_id"), "vid")
+    if several:
+        cut = decided.where("not last").select(F.col("vid").alias("a"), F.col("root").alias("b")).unionAll(true).where("a <> b")
+        whole = components(work, work.keep(cut, "links")).join(reps.select("vid", "rep_id"), "vid")
         least = whole.groupBy("label").agg(F.min(F.struct("rep_id", "vid")).alias("least")).select("label", F.col("least.vid").alias("root"), F.col("least.rep_id").alias("component"))
         final = final.unionAll(whole.join(least, "label").select("vid", "root", "component"))
-    if not several:
-        work.keep_only(parsed, reps, decided)
+    final = work.keep(final, "final")
+    work.keep_only(parsed, reps, final)
     found = reps.select("digest", "vid", "rep_id").join(final, "vid", "left").select("digest", F.coalesce("component", "rep_id").alias("component"), F.coalesce(F.col("root") == F.col("vid"), F.lit(True)).alias("first"))
     out = parsed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -398,29 +478,33 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, small: int = 4096, dens
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "digest", (kept & F.coalesce("first", F.lit(True))).alias("stands"))
 
 
+#: What an id takes when it is broadcast, at most.
+_MARKED_BYTES = 64
 _DIGEST = T.StructType([T.StructField("digest", T.BinaryType())])
 
 
 def _digests():
     def f(text: pa.Array) -> list[tuple]:
-        words = (words_of(t) for t in text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()).to_pylist())
-        return [(hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else b"",) for w in words]
+        words = (words_of(t) for t in utf8(text))
+        return [(digest_of(w) if w else b"",) for w in words]
 
     return f
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000, **how) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64_000_000, **how) -> DataFrame:
     """One document of each component, that with the smallest id, with its own columns.
 
     Rows that repeat an id are decided by id and words each: of those with equal id and words one row
-    stays, if any does, and of near copies with one id too. Rows with a null id all stay.
+    stays, if any does, and of near copies with one id too; which row is left open. Rows with a null id all stay, and so
+    does a null text or one without words; of rows that repeat an id with such texts, one stays. An empty table gives an empty one.
+    ``how`` goes to ``near_duplicates``.
     """
     work = WorkTables(docs.sparkSession, "neardup-drop")
     judged = _judged(docs, id_col, text_col, **how).where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.coalesce("digest", F.lit(b"")).alias("_digest"), "stands")
     judged = work.keep(judged, "judged")
     by_id = judged.groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("stands").alias("n_kept"))
     marked = work.keep(by_id.where("n > 1 or n_kept = 0").select("_id", (F.col("n_kept") > 0).alias("some")), "marked")
-    side = F.broadcast(marked) if marked.count() <= broadcast_rows else marked
+    side = F.broadcast(marked) if marked.count() * _MARKED_BYTES <= broadcast_bytes else marked
     own = F.col(f"`{id_col}`").cast("bigint")
     plain = docs.join(side, own == side["_id"], "left_anti")
     some = marked.where("some").select("_id")

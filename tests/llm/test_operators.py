@@ -73,7 +73,7 @@ def corpus(rng):
     return list(zip(ids, rows, strict=True))
 
 
-@pytest.mark.parametrize("how", [{}, {"small": 3}, {"block_shingles": 200, "broadcast_rows": 0}])
+@pytest.mark.parametrize("how", [{}, {"small": 3}, {"block_shingles": 200, "broadcast_bytes": 0}])
 def test_near_duplicates(spark, how):
     rows = corpus(random.Random(11))
     got = neardup.near_duplicates(docs(spark, [t for _, t in rows], [d for d, _ in rows]), **how).collect()
@@ -85,6 +85,46 @@ def test_near_duplicates(spark, how):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_a_template_of_many_pages_is_cut_into_blocks(spark):
+    rng = random.Random(21)
+    base = sentence(rng, 60)
+    rows = []
+    for i in range(220):  # most pages link with each other, some with none or with a few
+        edits = rng.choice([0, 1, 1, 2, 2, 3, 4, 6, 9])
+        rows.append((i, varied(rng, base, edits)))
+    for how in ({"block_shingles": 900}, {"block_shingles": 3000, "broadcast_bytes": 0}):
+        got = neardup.near_duplicates(docs(spark, [t for _, t in rows], [d for d, _ in rows]), **how).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(rows)
+
+
+def branched(rng, pairs, shared=24, own=60):
+    """Texts that share a passage, and so their roots' tokens; of each pair one is the other's copy, at a similarity just above the threshold."""
+    passage = [f"p{i}" for i in range(shared)]
+    texts = []
+    for k in range(pairs):
+        words = [f"t{k}x{i}" for i in range(own)]
+        other = list(words)
+        n = shared + own - 4
+        for at in rng.sample(range(5, own - 5, 5), 9):  # each change costs about five shingles of either text
+            copy = [*other[:at], f"c{k}x{at}", *other[at + 1 :]]
+            common = len(set(zip(*[(passage + words)[i:] for i in range(5)])) & set(zip(*[(passage + copy)[i:] for i in range(5)])))  # noqa: B905
+            if 100 * common < 75 * (2 * n - common):
+                break
+            other = copy
+        texts += [" ".join(passage + words), " ".join(passage + other)]
+    return texts
+
+
+def test_recall_of_deep_branching(spark):
+    texts = branched(random.Random(22), 1500)
+    order = list(range(len(texts)))
+    random.Random(23).shuffle(order)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, [texts[i] for i in order], order), small=12).collect()}
+    found = sum(got[2 * k] == got[2 * k + 1] for k in range(1500))
+    assert found >= 0.99 * 1500
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+
+
 def test_near_duplicates_of_little(spark):
     assert neardup.near_duplicates(docs(spark, []).limit(0)).count() == 0
     got = neardup.near_duplicates(docs(spark, ["a b c d e f"] * 3 + [None], [7, 7, 9, None])).collect()
