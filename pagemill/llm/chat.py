@@ -2,12 +2,16 @@
 
 Messages quote earlier ones by lines that begin with ``>``, once for each level. A quoted passage is
 a run of lines of one level in one message. Its text is normalised (marks gone, ASCII letters
-lower-cased, white space as single spaces) and hashed; so are every line, every whole body and those
-runs of consecutive lines of the messages of the same conversation that begin as a passage does and
-are as long; blank lines don't count. A passage belongs to the latest earlier message that holds it
-whole. Only if none does, the latest that holds its first line is taken instead. The level-1 passage that is linked to the
-latest message makes that message the parent; a message without linked quotes answers the one
-before it, and the first of a conversation answers none.
+lower-cased, white space as single spaces, no blank lines) and hashed, by lines and by words. A passage is linked to the
+latest earlier message of its conversation that holds it: as a run of whole lines; else, if it has
+three words or more, as a run of words, however lines are wrapped, or as the whole body; and only if none does, the latest that
+holds its first line. Of the messages only those runs are hashed that begin as some passage of the
+conversation does and are as long. Hashes that decide a link have 128 bits and are taken of texts.
+
+The level-1 passage that is linked to the latest message makes that message the parent; a message
+without linked quotes answers the one before it, and the first of a conversation answers none. Reply
+order is that of the tree of answers: after a message come its answers, the earliest first, each
+with all that answers it.
 
 Everything is DataFrame functions; no conversation is gathered into one row or one task.
 """
@@ -23,6 +27,11 @@ from pagemill.llm.common import WorkTables
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Quote marks at the beginning of a line, with single blanks between them.
 _MARKS = r"^((?:[ \t]{0,3}>)+)[ \t]?"
+#: Kinds of runs, and how many units a run begins with that has to be looked for.
+_LINES, _WORDS = "l", "w"
+_BEGIN = {_LINES: 2, _WORDS: 3}
+#: Ways to be linked, the best last: by the first line, as a run of words, as a run of lines.
+_FIRST, _BY_WORDS, _BY_LINES = 0, 1, 2
 
 
 def normalised(text: Column) -> Column:
@@ -38,10 +47,18 @@ def unquoted(line: Column) -> Column:
     return F.regexp_replace(line, _MARKS, "")
 
 
-def line_hashes(text: Column) -> Column:
-    """Array of the hashes of a text's lines that aren't blank."""
-    lines = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
-    return F.transform(lines, lambda x: F.xxhash64(x))
+def line_units(text: Column) -> Column:
+    """Array of a text's normalised lines that aren't blank."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+
+
+def word_units(text: Column) -> Column:
+    """Array of a text's normalised words."""
+    return F.filter(F.split(normalised(text), " "), lambda x: x != "")
+
+
+def run_hash(kind: str, units: Column) -> Column:
+    return F.md5(F.concat(F.lit(kind), F.array_join(units, "\n" if kind == _LINES else " ")).cast("binary"))
 
 
 def lines_of(text: Column) -> Column:
@@ -51,17 +68,20 @@ def lines_of(text: Column) -> Column:
 
 
 def passages_of(lines: Column) -> Column:
-    """Array of (level, text) of the runs of quoted lines of one level."""
-    start = F.array().cast("array<struct<level:int,text:string>>")
+    """Array of (no, level, text) of the runs of quoted lines of one level; ``no`` is the first line's."""
 
-    def step(acc: Column, line: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        same = F.coalesce(last["level"] == line["level"], F.lit(False))
-        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(line["level"].alias("level"), F.concat_ws("\n", last["text"], line["text"]).alias("text"))))
-        return F.when(same, longer).otherwise(F.concat(acc, F.array(F.struct(line["level"].alias("level"), line["text"].alias("text")))))
+    def field(name: str) -> Column:
+        return F.transform(lines, lambda x: x[name])
 
-    quoted = F.exists(lines, lambda x: x["level"] > 0)
-    runs = F.when(quoted, F.aggregate(lines, start, step)).otherwise(start)
+    def cut(x: Column) -> Column:
+        begins = F.filter(x["no"], lambda i: (i == 0) | (F.get(x["level"], i) != F.get(x["level"], i - 1)))
+        until = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(x["no"]))
+        run = lambda at: F.transform(at, lambda i, k: F.struct(i.alias("no"), F.get(x["level"], i).alias("level"), F.array_join(F.slice(x["text"], i + 1, until(at, k) - i), "\n").alias("text")))
+        return F.element_at(F.transform(F.array(begins), run), 1)
+
+    none = F.array().cast("array<struct<no:int,level:int,text:string>>")
+    columns = F.struct(*[field(c).alias(c) for c in ("no", "level", "text")])
+    runs = F.when(F.exists(lines, lambda x: x["level"] > 0), F.element_at(F.transform(F.array(columns), cut), 1)).otherwise(none)
     return F.filter(runs, lambda p: (p["level"] > 0) & (normalised(p["text"]) != ""))
 
 
@@ -76,11 +96,15 @@ def link_quotes(
     """One row for each message, with its parent and its place in reply order.
 
     Columns: conv_id, turn, role, body (the text without quoted lines), n_passages, n_linked,
-    max_level, reply_to (the parent's turn), thread (the turn that began this run of answers, each to
-    the message before it), root (the conversation's first turn) and depth. Reply order is by thread,
-    then turn: threads stand one after the other, and each message after the one that it answers. A null text
-    is an empty body. A null conversation or turn stands for itself: such rows link to nothing.
-    Repeated (conversation, turn) rows are kept each and share the links.
+    max_level, links (an array of level, source and whole: the linked passages in order, the turn each is
+    linked to, and whether that message holds all of it), reply_to (the parent's turn), thread (the turn that began
+    this run of answers, each to the message before it), root (the conversation's first turn), depth and
+    reply_order (from 0, without gaps over a conversation's turns).
+
+    A null or empty text is an empty body. A null conversation or turn stands for itself: such rows link to nothing.
+    Repeated (conversation, turn) rows are kept each and share the links and the place. Messages that hold a passage
+    alike are told apart by their turn: the latest counts. Texts are read whole; an empty table
+    gives an empty result; other columns are not read.
     """
     spark = messages.sparkSession
     work = WorkTables(spark, "chat")
@@ -108,37 +132,32 @@ def link_quotes(
     )
     parsed = work.keep(parsed, "parsed")
     keyed = parsed.where("conv_id is not null and turn is not null")
-    quoted = keyed.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("no", "p")).select(
-        "conv_id",
-        "turn",
-        "no",
-        F.col("p.level").alias("level"),
-        F.xxhash64(normalised(F.col("p.text"))).alias("whole"),
-        F.xxhash64(normalised(F.split(F.col("p.text"), "\n")[0])).alias("first"),
-        line_hashes(F.col("p.text")).alias("run"),
-    )
-    # only passages' hashes need partners; wholes, single lines and runs of lines share one index
-    pieces = F.array_distinct(F.array_append(F.split("body", "\n"), F.col("body")))
-    quoting = keyed.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
-    index = quoting.select("conv_id", F.col("turn").alias("source"), F.explode(pieces).alias("piece")).select("conv_id", "source", normalised(F.col("piece")).alias("piece")).where("piece <> ''").select("conv_id", "source", F.xxhash64("piece").alias("h"))
-    index = index.unionByName(_runs(quoting, quoted)).distinct()
-    # way 0, by the first line alone, is the last resort
-    ways = F.array(*[F.struct(F.lit(way).alias("way"), h.alias("h")) for way, h in ((1, F.col("whole")), (1, F.xxhash64("run")), (0, F.col("first")))])
-    wanted = quoted.select("conv_id", "turn", "no", "level", F.explode(ways).alias("w")).select("conv_id", "turn", "no", "level", "w.way", "w.h")
+    quoted = keyed.where(F.size("passages") > 0).select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", F.col("p.no").alias("no"), F.col("p.level").alias("level"), line_units(F.col("p.text")).alias("lines"), word_units(F.col("p.text")).alias("words")).distinct()
+    quoted = work.keep(quoted, "quoted")
+    quoting = keyed.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", F.col("turn").alias("source"), line_units(F.col("body")).alias("lines"), word_units(F.col("body")).alias("words")).distinct()
+    own = quoting.select("conv_id", "source", F.explode(F.array_append(F.transform("lines", lambda x: run_hash(_LINES, F.array(x))), run_hash(_WORDS, F.col("words")))).alias("h"))
+    index = own.unionByName(_runs(quoting, quoted, _LINES, "lines")).unionByName(_runs(quoting, quoted, _WORDS, "words")).distinct()
+    ways = F.array(*[F.struct(F.lit(way).alias("way"), h.alias("h")) for way, h in ((_BY_LINES, run_hash(_LINES, F.col("lines"))), (_BY_WORDS, run_hash(_WORDS, F.col("words"))), (_FIRST, run_hash(_LINES, F.slice("lines", 1, 1))))])
+    passage = F.struct("no", "level", run_hash(_WORDS, F.col("words")).alias("text"))
+    wanted = quoted.select("conv_id", "turn", passage.alias("passage"), F.explode(ways).alias("w")).select("conv_id", "turn", "passage", "w.way", "w.h")
     # an as-of pass over sources and questions together: it makes no pairs
     asked = wanted.select("conv_id", "h").distinct()
-    sources = index.join(asked, ["conv_id", "h"], "left_semi").select("conv_id", "h", F.col("source").alias("at"), F.col("source").alias("value"), F.lit(None).cast("int").alias("no"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("way"))
-    asks = wanted.select("conv_id", "h", F.col("turn").alias("at"), F.lit(None).cast("long").alias("value"), "no", "level", "way")
-    linked = _latest_before(sources.unionByName(asks), ["conv_id", "h"], "source")
-    linked = linked.where(F.col("value").isNull() & F.col("source").isNotNull()).withColumnRenamed("at", "turn")
-    linked = linked.groupBy("conv_id", "turn", "no", "level").agg(F.max(F.struct("way", "source"))["source"].alias("source"))
-    links = linked.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("source"))).alias("quoted_turn"))
+    nothing = {"passage": wanted.schema["passage"].dataType, "way": "int"}
+    sources = index.join(asked, ["conv_id", "h"], "left_semi").select("conv_id", "h", F.col("source").alias("at"), F.col("source").alias("value"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    asks = wanted.select("conv_id", "h", F.col("turn").alias("at"), F.lit(None).cast("long").alias("value"), "passage", "way")
+    found = _latest_before(sources.unionByName(asks), ["conv_id", "h"], "source")
+    found = found.where(F.col("value").isNull() & F.col("source").isNotNull()).withColumnRenamed("at", "turn")
+    found = found.groupBy("conv_id", "turn", "passage").agg(F.max(F.struct("way", "source")).alias("best"))
+    link = F.struct(F.col("passage.no").alias("no"), F.col("passage.level").alias("level"), F.col("passage.text").alias("text"), F.col("best.source").alias("source"), (F.col("best.way") > _FIRST).alias("whole"))
+    in_order = F.transform(F.sort_array(F.collect_list(link)), lambda x: F.struct(x["level"].cast("long").alias("level"), x["source"].alias("source"), x["whole"].alias("whole")))
+    links = found.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked"), F.max(F.when(F.col("passage.level") == 1, F.col("best.source"))).alias("quoted_turn"), in_order.alias("links"))
     links = work.keep(links, "links")
     turns = keyed.select("conv_id", F.col("turn").alias("at"), F.col("turn").alias("value")).distinct()
     follow = _latest_before(turns, ["conv_id"], "before").select("conv_id", F.col("at").alias("turn"), "before")
-    parents = follow.join(links, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "before", F.coalesce("quoted_turn", "before").alias("reply_to"))
+    parents = follow.join(links.select("conv_id", "turn", "quoted_turn"), ["conv_id", "turn"], "left").select("conv_id", "turn", "before", F.coalesce("quoted_turn", "before").alias("reply_to"))
     tree = _threads(work, work.keep(parents, "parents"))
-    out = parsed.join(tree, ["conv_id", "turn"], "left")
+    out = parsed.join(work.keep(tree, "tree"), ["conv_id", "turn"], "left").join(links.drop("quoted_turn"), ["conv_id", "turn"], "left")
+    none = F.array().cast(links.schema["links"].dataType)
     return out.select(
         "conv_id",
         "turn",
@@ -147,25 +166,29 @@ def link_quotes(
         F.size("passages").cast("long").alias("n_passages"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.coalesce("max_level", F.lit(0)).cast("long").alias("max_level"),
+        F.coalesce("links", none).alias("links"),
         "reply_to",
         F.coalesce("thread", "turn").alias("thread"),
         F.coalesce("root", "turn").alias("root"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("reply_order", F.lit(0)).cast("long").alias("reply_order"),
     )
 
 
-def _runs(messages: DataFrame, quoted: DataFrame) -> DataFrame:
-    """(conv_id, source, h): runs of two lines and more, where a passage of their conversation has their first line and length.
+def _runs(messages: DataFrame, quoted: DataFrame, kind: str, units: str) -> DataFrame:
+    """(conv_id, source, h): runs of a message's lines or words, where a passage of their conversation begins alike and is as long.
 
-    Lines meet the distinct lengths of passages that begin with them, never the passages; a message's
-    runs are hashed where its lines are.
+    Places meet the distinct beginnings and lengths of passages, never the passages; a message's runs are
+    hashed where its lines are.
     """
-    lengths = quoted.where(F.size("run") > 1).select("conv_id", F.element_at("run", 1).alias("line"), F.size("run").alias("m")).distinct()
-    own = messages.select("conv_id", F.col("turn").alias("source"), line_hashes(F.col("body")).alias("hashes")).where(F.size("hashes") > 1)
-    own = own.withColumn("key", F.xxhash64("hashes")).distinct()
-    lines = own.select("conv_id", "source", "key", F.size("hashes").alias("n"), F.posexplode("hashes").alias("i", "line"))
-    found = lines.join(lengths, ["conv_id", "line"]).where("i + m <= n").groupBy("conv_id", "source", "key").agg(F.collect_list(F.struct("i", "m")).alias("at"))
-    h = F.transform("at", lambda x: F.xxhash64(F.slice("hashes", x["i"] + 1, x["m"])))
+    n = _BEGIN[kind]
+    begin = lambda xs: F.xxhash64(F.slice(xs, 1, n))
+    lengths = quoted.where(F.size(units) >= n).select("conv_id", begin(F.col(units)).alias("begin"), F.size(units).alias("m")).distinct()
+    own = messages.where(F.size(units) >= n).select("conv_id", "source", units, F.xxhash64(units).alias("key")).distinct()
+    begins = F.transform(F.sequence(F.lit(0), F.size(units) - n), lambda i: F.xxhash64(F.slice(units, i + 1, F.lit(n))))
+    places = own.select("conv_id", "source", "key", F.size(units).alias("n"), F.posexplode(begins).alias("i", "begin"))
+    found = places.join(lengths, ["conv_id", "begin"]).where("i + m <= n").groupBy("conv_id", "source", "key").agg(F.collect_list(F.struct("i", "m")).alias("at"))
+    h = F.transform("at", lambda x: run_hash(kind, F.slice(units, x["i"] + 1, x["m"])))
     return own.join(found, ["conv_id", "source", "key"]).select("conv_id", "source", F.explode(F.array_distinct(h)).alias("h"))
 
 
@@ -198,7 +221,7 @@ def _either(how, a: Column, b: Column) -> Column:
 
 
 def _threads(work: WorkTables, parents: DataFrame) -> DataFrame:
-    """Thread, root and depth of every message.
+    """Thread, root, depth and place in reply order of every message.
 
     Most messages answer the one before them; such runs are threads, and only threads are followed up
     to their roots, by pointer doubling: each round doubles the distance known, for what is still open.
@@ -218,5 +241,46 @@ def _threads(work: WorkTables, parents: DataFrame) -> DataFrame:
         moved = work.keep(open_.join(above, ["conv_id", "up"]).select("conv_id", "thread", "root", "next", (F.col("depth") + F.col("more")).alias("depth")), "moved")
         done = done.unionAll(moved.where("root is not null").select("conv_id", "thread", "root", "depth"))
         open_ = moved.where("root is null").select("conv_id", "thread", F.col("next").alias("up"), "depth")
-    found = rows.join(done.select("conv_id", "thread", "root", F.col("depth").alias("above")), ["conv_id", "thread"])
-    return found.select("conv_id", "turn", "n_linked", "reply_to", "thread", "root", (F.col("above") + F.col("place")).alias("depth"))
+    sizes = rows.groupBy("conv_id", "thread").agg(F.count(F.lit(1)).alias("size"))
+    hung = first.where("reply_to is not null").join(parent.drop("up_depth"), ["conv_id", "reply_to"]).select("conv_id", "thread", "up", "reply_to")
+    hung = work.keep(hung, "hung")
+    if not hung.isEmpty():
+        starts = _preorder(work, hung, sizes)
+        found = rows.join(starts, ["conv_id", "thread"], "left").withColumn("begin", F.coalesce("begin", F.lit(0)))
+    else:
+        found = rows.withColumn("begin", F.lit(0))
+    found = found.join(done.select("conv_id", "thread", "root", F.col("depth").alias("above")), ["conv_id", "thread"])
+    return found.select("conv_id", "turn", "reply_to", "thread", "root", (F.col("above") + F.col("place")).alias("depth"), (F.col("begin") + F.col("place")).alias("reply_order"))
+
+
+def _preorder(work: WorkTables, hung: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(conv_id, thread, begin): the place of each thread's first message in reply order, in conversations of several threads.
+
+    ``hung``: the threads that begin at a message of another, ``up``: that which has the turn ``reply_to``. Below a message its thread goes
+    on first, so threads that hang on later messages of a thread come before those on earlier ones,
+    and those on one message by their turn. The walk around the tree, into each thread and out of it, is a list; what is
+    still to come from each of its places is summed by pointer doubling.
+    """
+    # the next on the same message is the smallest turn above; with signs turned, the latest before
+    along = hung.select("conv_id", "reply_to", "up", (-F.col("thread")).alias("at"), (-F.col("thread")).alias("value"))
+    along = _latest_before(along, ["conv_id", "reply_to"], "next").select("conv_id", "reply_to", "up", (-F.col("at")).alias("thread"), (-F.col("next")).alias("next"))
+    firsts = hung.groupBy("conv_id", "up", "reply_to").agg(F.min("thread").alias("first"))
+    lower = _latest_before(firsts.select("conv_id", "up", F.col("reply_to").alias("at"), F.col("reply_to").alias("value")), ["conv_id", "up"], "lower").select("conv_id", "up", F.col("at").alias("reply_to"), F.col("lower"))
+    lower = lower.join(firsts.select("conv_id", "up", F.col("reply_to").alias("lower"), F.col("first").alias("below")), ["conv_id", "up", "lower"]).select("conv_id", "up", "reply_to", "below")
+    siblings = along.join(lower, ["conv_id", "up", "reply_to"], "left").select("conv_id", "thread", "up", F.coalesce("next", "below").alias("sibling"))
+    children = firsts.groupBy("conv_id", F.col("up").alias("thread")).agg(F.max_by("first", "reply_to").alias("child"))
+    threads = sizes.join(hung.select("conv_id").distinct(), "conv_id", "left_semi").join(siblings, ["conv_id", "thread"], "left").join(children, ["conv_id", "thread"], "left")
+    threads = work.keep(threads, "siblings")
+    step = lambda out, to, to_out, size: F.struct(F.lit(out).alias("out"), to.alias("to"), to_out.alias("to_out"), size.alias("left"))
+    into = step(False, F.coalesce("child", "thread"), F.col("child").isNull(), F.col("size"))
+    back = step(True, F.coalesce("sibling", "up"), F.col("sibling").isNull(), F.lit(0).cast("long"))
+    walk = threads.select("conv_id", "thread", F.explode(F.array(into, back)).alias("s")).select("conv_id", "thread", "s.out", "s.to", "s.to_out", "s.left")
+    walk = work.keep(walk, "walk")
+    while not (ahead := walk.where("to is not null")).isEmpty():
+        further = walk.select("conv_id", F.col("thread").alias("to"), F.col("out").alias("to_out"), F.col("to").alias("to2"), F.col("to_out").alias("to_out2"), F.col("left").alias("more"))
+        moved = ahead.join(further, ["conv_id", "to", "to_out"]).select("conv_id", "thread", "out", F.col("to2").alias("to"), F.col("to_out2").alias("to_out"), (F.col("left") + F.col("more")).alias("left"))
+        before, walk = walk, work.keep(walk.where("to is null").unionAll(moved), "walk")
+        work.drop(before)
+    begun = walk.where("not out").select("conv_id", "thread", "left")
+    total = begun.groupBy("conv_id").agg(F.max("left").alias("total"))
+    return begun.join(total, "conv_id").select("conv_id", "thread", (F.col("total") - F.col("left")).alias("begin"))

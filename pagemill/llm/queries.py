@@ -151,4 +151,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_quotation_linking", oracle.QUOTATION_LINKING)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without its quotes, with the message that it answers and its place in the thread."""
-    return chat.link_quotes(_table(spark, sf_dir, "conversations"))
+    found = chat.link_quotes(_table(spark, sf_dir, "conversations"))
+    # the links as text: level, source, and whether that message holds the passage whole
+    one = lambda x: F.concat_ws(":", x["level"].cast("string"), x["source"].cast("string"), F.when(x["whole"], "whole").otherwise("first"))
+    return found.withColumn("links", F.array_join(F.transform("links", one), ","))

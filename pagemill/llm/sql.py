@@ -82,6 +82,8 @@ FROM doc d LEFT JOIN size s ON s.doc_id = d.doc_id JOIN (SELECT x, min(y) AS com
 #: Marks of quotes at the beginning of a line.
 _MARKS = r"^((?:[ \t]{0,3}>)+)[ \t]?"
 _NORMAL = r"trim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+#: Normalised lines that aren't blank.
+_UNITS = "list_filter(list_transform({x}, lambda z: " + _NORMAL.format(x="z") + "), lambda z: z <> '')"
 
 QUOTATION_LINKING = rf"""
 WITH RECURSIVE message AS (
@@ -92,34 +94,42 @@ WITH RECURSIVE message AS (
 ), run AS (
   SELECT *, i - row_number() OVER (PARTITION BY k, level ORDER BY i) AS g FROM line
 ), passage AS (
-  SELECT k, conv_id, turn, level, min(i) AS no, {_NORMAL.format(x="string_agg(t, chr(10) ORDER BY i)")} AS whole, {_NORMAL.format(x="arg_min(t, i)")} AS first
+  SELECT k, conv_id, turn, level, min(i) AS no, {_UNITS.format(x="list(t ORDER BY i)")} AS lines, {_NORMAL.format(x="string_agg(t, chr(10) ORDER BY i)")} AS words
   FROM run WHERE level > 0 GROUP BY k, conv_id, turn, level, g HAVING {_NORMAL.format(x="string_agg(t, chr(10) ORDER BY i)")} <> ''
 ), own AS (
   SELECT m.k, m.conv_id, m.turn, m.role, coalesce(regexp_replace(string_agg(t, chr(10) ORDER BY i) FILTER (level = 0), '^[ \t\n]+|[ \t\n]+$', '', 'g'), '') AS body, max(level) AS max_level
   FROM message m JOIN line l ON l.k = m.k GROUP BY m.k, m.conv_id, m.turn, m.role
-), piece AS (
-  SELECT DISTINCT conv_id, turn, {_NORMAL.format(x="t")} AS t FROM (SELECT conv_id, turn, unnest(list_append(string_split(body, chr(10)), body)) AS t FROM own) WHERE {_NORMAL.format(x="t")} <> ''
+), said AS (
+  SELECT DISTINCT conv_id, turn, array_to_string({_UNITS.format(x="string_split(body, chr(10))")}, chr(10)) AS lines, {_NORMAL.format(x="body")} AS words FROM own
+), asked AS (
+  SELECT DISTINCT conv_id, turn, no, level, array_to_string(lines, chr(10)) AS lines, words, lines[1] AS first FROM passage
 ), linked AS (
-  SELECT p.conv_id, p.turn, p.no, p.level, coalesce(
-    (SELECT max(s.turn) FROM piece s WHERE s.conv_id = p.conv_id AND s.turn < p.turn AND s.t = p.whole),
-    (SELECT max(s.turn) FROM piece s WHERE s.conv_id = p.conv_id AND s.turn < p.turn AND s.t = p.first)) AS source
-  FROM (SELECT DISTINCT conv_id, turn, no, level, whole, first FROM passage) p
+  SELECT p.conv_id, p.turn, p.no, p.level, p.words,
+    (SELECT max(s.turn) FROM said s WHERE s.conv_id = p.conv_id AND s.turn < p.turn AND contains(chr(10) || s.lines || chr(10), chr(10) || p.lines || chr(10))) AS by_lines,
+    (SELECT max(s.turn) FROM said s WHERE s.conv_id = p.conv_id AND s.turn < p.turn AND (s.words = p.words OR (len(string_split(p.words, ' ')) > 2 AND contains(' ' || s.words || ' ', ' ' || p.words || ' ')))) AS by_words,
+    (SELECT max(s.turn) FROM said s WHERE s.conv_id = p.conv_id AND s.turn < p.turn AND contains(chr(10) || s.lines || chr(10), chr(10) || p.first || chr(10))) AS by_first
+  FROM asked p
 ), link AS (
-  SELECT conv_id, turn, count(*) AS n_linked, max(source) FILTER (level = 1) AS quoted FROM linked WHERE source IS NOT NULL GROUP BY conv_id, turn
+  SELECT conv_id, turn, count(*) AS n_linked, max(coalesce(by_lines, by_words, by_first)) FILTER (level = 1) AS quoted,
+         string_agg(level || ':' || coalesce(by_lines, by_words, by_first) || CASE WHEN coalesce(by_lines, by_words) IS NULL THEN ':first' ELSE ':whole' END, ',' ORDER BY no, level, md5('w' || words)) AS links
+  FROM linked WHERE coalesce(by_lines, by_words, by_first) IS NOT NULL GROUP BY conv_id, turn
 ), follow AS (
   SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM message WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
 ), parent AS (
-  SELECT f.conv_id, f.turn, coalesce(n_linked, 0) AS n_linked, before, coalesce(quoted, before) AS reply_to FROM follow f LEFT JOIN link l ON l.conv_id = f.conv_id AND l.turn = f.turn
+  SELECT f.conv_id, f.turn, coalesce(n_linked, 0) AS n_linked, links, before, coalesce(quoted, before) AS reply_to FROM follow f LEFT JOIN link l ON l.conv_id = f.conv_id AND l.turn = f.turn
 ), threaded AS (
   SELECT *, max(CASE WHEN reply_to = before THEN NULL ELSE turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS thread FROM parent
-), tree(conv_id, turn, root, depth) AS (
-  SELECT conv_id, turn, turn, 0 FROM threaded WHERE reply_to IS NULL
+), tree(conv_id, turn, root, depth, path) AS (
+  SELECT conv_id, turn, turn, 0, [turn] FROM threaded WHERE reply_to IS NULL
   UNION ALL
-  SELECT c.conv_id, c.turn, t.root, t.depth + 1 FROM tree t JOIN threaded c ON c.conv_id = t.conv_id AND c.reply_to = t.turn
+  SELECT c.conv_id, c.turn, t.root, t.depth + 1, list_append(t.path, c.turn) FROM tree t JOIN threaded c ON c.conv_id = t.conv_id AND c.reply_to = t.turn
+), walked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS reply_order FROM tree
 ), counted AS (
   SELECT k, count(*) AS n FROM passage GROUP BY k
 )
 SELECT o.conv_id, o.turn, o.role, o.body, CAST(coalesce(c.n, 0) AS BIGINT) AS n_passages, CAST(coalesce(h.n_linked, 0) AS BIGINT) AS n_linked, CAST(o.max_level AS BIGINT) AS max_level,
-       h.reply_to, coalesce(h.thread, o.turn) AS thread, coalesce(t.root, o.turn) AS root, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth
-FROM own o LEFT JOIN threaded h ON h.conv_id = o.conv_id AND h.turn = o.turn LEFT JOIN tree t ON t.conv_id = o.conv_id AND t.turn = o.turn LEFT JOIN counted c ON c.k = o.k
+       h.reply_to, coalesce(h.thread, o.turn) AS thread, coalesce(t.root, o.turn) AS root, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth,
+       coalesce(h.links, '') AS links, CAST(coalesce(t.reply_order, 0) AS BIGINT) AS reply_order
+FROM own o LEFT JOIN threaded h ON h.conv_id = o.conv_id AND h.turn = o.turn LEFT JOIN walked t ON t.conv_id = o.conv_id AND t.turn = o.turn LEFT JOIN counted c ON c.k = o.k
 """

@@ -626,6 +626,26 @@ def test_part_of_a_message_is_quoted(spark):
     assert [got[2, t] for t in range(3, 6)] == [0, 1, 2]
 
 
+def test_links_and_reply_order(spark):
+    rows = [(1, 0, "u", "Intro\nHi,\nthe answer is 42\nbye"), (1, 1, "a", "Hi,\nsomething else"), (1, 2, "u", "> Hi,\n> the answer is 42\nthanks"), (1, 3, "a", "> answer is 42\n> nowhere to be found\nno"), (1, 4, "u", ">> Hi, the answer\n>> is 42 bye\n> is 42\nyes")]
+    rows += [(1, 5, "u", "> the ANSWER is\nwhat"), (1, 6, "a", "> something\n> else and more"), (1, 7, "a", "> Hi,\n> gone")]
+    got = linked(spark, rows)
+    links = {t: [tuple(x) for x in got[1, t]["links"]] for t in range(8)}
+    assert links == {0: [], 1: [], 2: [(1, 0, True)], 3: [], 4: [(2, 0, True)], 5: [(1, 0, True)], 6: [], 7: [(1, 1, False)]}
+    assert [got[1, t]["reply_to"] for t in range(8)] == [None, 0, 0, 2, 3, 0, 5, 1]
+    assert [got[1, t]["reply_order"] for t in range(8)] == [0, 1, 3, 4, 5, 6, 7, 2]
+
+
+def test_very_long_messages(spark):
+    rng = random.Random(15)
+    long = "\n".join(sentence(rng, 9) for _ in range(6000))
+    part = "\n".join(f"> {x}" for x in long.split("\n")[2000:5000])
+    wrapped = "> " + " ".join(long.replace("\n", " ").split(" ")[777:30_000])
+    got = linked(spark, [(1, 0, "u", long), (1, 1, "a", "short"), (1, 2, "u", part + "\nagreed"), (1, 3, "a", wrapped + "\nso it is"), (1, 4, "u", "> " * 40 + "deep")])
+    assert [got[1, t]["reply_to"] for t in range(5)] == [None, 0, 0, 0, 3] and got[1, 4]["max_level"] == 40
+    assert [got[1, t]["body"] for t in (2, 3)] == ["agreed", "so it is"]
+
+
 def test_parts_against_plain_search(spark):
     rng = random.Random(31)
     rows, want = [], {}
@@ -659,9 +679,15 @@ def test_threads_against_plain_following(spark):
         depth[t] = 0 if parent[t] is None else depth[parent[t]] + 1
     got = linked(spark, rows + [(2, 0, "u", "alone"), (2, 0, "u", "alone")])
     assert all(got[1, t]["reply_to"] == p and got[1, t]["depth"] == depth[t] and got[1, t]["root"] == 0 for t, p in parent.items())
-    order = sorted(parent, key=lambda t: (got[1, t]["thread"], t))
-    place = {t: i for i, t in enumerate(order)}
-    assert all(p is None or place[p] < place[t] for t, p in parent.items())
+    answers = {}
+    for t, p in parent.items():
+        answers.setdefault(p, []).append(t)
+    order, stack = [], answers[None][::-1]
+    while stack:
+        order.append(stack.pop())
+        stack += answers.get(order[-1], [])[::-1]
+    assert [got[1, t]["reply_order"] for t in order] == list(range(len(order)))
+    assert order != sorted(order) and got[2, 0]["reply_order"] == 0
 
 
 def test_no_messages(spark):
@@ -674,21 +700,30 @@ def test_chat_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_quotes_against_sql(spark):
+def test_quotes_against_sql(spark, tmp_path):
     import duckdb
 
-    from pagemill.llm import sql
+    from pagemill.llm import queries, sql
     from tests.compare import rows_of, rows_of_sql
 
     rng = random.Random(14)
     rows = []
-    for c in range(12):
+    for c in range(40):
         said = []
         for t in range(0, rng.randrange(2, 25), rng.choice([1, 1, 3])):
             text = []
             for _ in range(rng.randrange(0, 3)):
                 if said and rng.random() < 0.6:
-                    text += ["> " * rng.randrange(1, 3) + x for x in rng.choice(said).split("\n")]
+                    source = rng.choice(said).split("\n")
+                    part = rng.randrange(5)
+                    if part == 1:  # some of its lines
+                        source = source[rng.randrange(len(source)) :]
+                    elif part == 2:  # words from its middle, wrapped anew
+                        words = " ".join(source).split()[rng.randrange(3) :]
+                        source = [" ".join(words[i : i + 4]) for i in range(0, len(words), 4)]
+                    elif part == 3:
+                        source = [*source, "and what nobody said"]
+                    text += ["> " * rng.randrange(1, 3) + x for x in source]
                 elif rng.random() < 0.2:
                     text += [">", ">> nothing of the kind"]
             own = "\n".join(sentence(rng, rng.randrange(1, 5)) for _ in range(rng.randrange(0, 3)))
@@ -697,6 +732,9 @@ def test_quotes_against_sql(spark):
     con = duckdb.connect()
     con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
     con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
-    names, got = rows_of(chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    names, got = rows_of(queries.op10(spark, str(tmp_path)))
+    at = names.index("links")
+    assert sum("whole" in r[at] for r in got) > 20 and sum("first" in r[at] for r in got) > 2
     want_names, want = rows_of_sql(con, sql.QUOTATION_LINKING)
     assert names == want_names and got == want
