@@ -477,7 +477,10 @@ def test_toxicity(spark):
             w.insert(rng.randrange(len(w)), rng.choice(["grumpf", "grumpel", "zorkx"]))
         rows.append((i, " ".join(w)))
         labels.append((i, int(bad)))
-    rows += [(900, None), (901, ""), (902, "you 1d10t, you mоrоn"), (903, "put it in the trash can")]
+    for i in range(500, 512):  # an entry's word is harmless here
+        rows.append((i, f"{sentence(rng, 20)} grumpf bush {sentence(rng, 20)}"))
+        labels.append((i, 0))
+    rows += [(900, None), (901, ""), (902, "you GRUMPEL, you z0rкx"), (903, "behind the grumpf bush"), (904, "grumpf, bush or no grumpf")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxicity", F.lit("x"))
     lab = spark.createDataFrame(labels + [(900, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(d, lab)
@@ -485,12 +488,46 @@ def test_toxicity(spark):
     found, name = toxicity.score(d, model)
     s = {r["doc_id"]: r[name]["score"] for r in found.collect()}
     assert all((s[i] >= 0.7) == bool(t) for i, t in labels)
-    assert s[900] == s[901] == min(s.values()) and s[902] >= 0.7 > s[903]
+    assert s[900] == s[901] == min(s.values()) and min(s[902], s[904]) >= 0.7 > s[903]
+    assert "grumpf bush" in model.exceptions and not any("bush" in e for e, _ in model.entries)
     assert found.columns == [*d.columns, name]
     assert toxicity.score(d.limit(0), model)[0].count() == 0
     alone = toxicity.fit(d, lab.limit(0))
-    assert len(alone.entries) == len(toxicity.BASE_WORDS)
-    assert toxicity.fit(d, lab).entries == model.entries
+    assert alone == toxicity.NOTHING
+    assert len({r["x"]["score"] for r in toxicity.score(d, alone)[0].withColumnRenamed("toxicity_1", "x").collect()}) == 1
+    assert toxicity.fit(d.limit(0), lab) == toxicity.NOTHING and toxicity.fit(d, lab) == model
+    d2 = d.unionAll(d)  # repeated rows count once, and have one score
+    assert toxicity.fit(d2, lab).entries == model.entries
+
+
+def plain_weight(entries, exceptions, text):
+    """Hits by looking at each word in turn."""
+    words = toxicity.folded(text or "")
+    spared = {k + j for e in exceptions for k in range(len(words)) if words[k : k + len(e.split())] == e.split() for j in range(len(e.split()))}
+    fits = lambda w, e: w == e[:-1] if e.endswith(" ") else w.startswith(e)
+    total = sum(max((x for e, x in entries if fits(w, e)), default=0.0) for k, w in enumerate(words) if k not in spared)
+    return total, 100 * total / (len(words) + 20) if words else 0.0, len(words)
+
+
+def test_weights_against_plain_search():
+    rng = random.Random(16)
+    words = ["ab", "abc", "abcd", "b", "bc", "CAB", "4bc", "d"]
+    for _ in range(300):
+        entries = tuple({(rng.choice(["ab", "abc ", "abcd", "b ", "bc", "cab", "d "]), float(rng.randrange(1, 9))) for _ in range(3)})
+        entries = tuple(dict(entries).items())
+        exceptions = tuple({" ".join(rng.choice(["ab", "abc", "b", "bc"]) for _ in range(rng.choice([2, 2, 3]))) for _ in range(rng.randrange(3))})
+        text = rng.choice([" ", ", "]).join(rng.choice(words) for _ in range(rng.randrange(30)))
+        model = toxicity.Model(entries, exceptions, (0.0, 1.0, 1.0))
+        assert toxicity.weigh(model.automaton(), text) == pytest.approx(plain_weight(entries, exceptions, text)), (entries, exceptions, text)
+        got = toxicity.phrases_of(model.automaton(), own := toxicity.folded(text))
+        hit = {k for k, w in enumerate(own) if any(w == e[:-1] if e.endswith(" ") else w.startswith(e) for e, _ in entries)}
+        assert got == {f"{own[i]} {own[i + 1]}" for i in range(len(own) - 1) if {i, i + 1} & hit}
+
+
+def test_a_very_long_text_is_weighed_whole():
+    model = toxicity.Model((("bad", 2.0),), ("bad luck",), (0.0, 1.0, 1.0))
+    text = "bad luck or not " * 200_000 + "bad end"
+    assert toxicity.weigh(model.automaton(), text)[0] == 2.0 and toxicity.weigh(model.automaton(), text)[2] == 800_002
 
 
 def test_folding():
