@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions.shipping import ship
@@ -112,6 +113,22 @@ def _delete_path(jvm, conf, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory, over all its columns."""
+
+    def of(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            return F.octet_length(c)
+        if isinstance(t, T.ArrayType) and not isinstance(t.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            return F.greatest(F.size(c), F.lit(0)) * 8
+        if isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(c)) if not isinstance(t, T.ArrayType) else F.octet_length(F.to_json(F.struct(c)))
+        return F.lit(8)
+
+    own = [F.coalesce(of(F.col(f"`{f.name}`"), f.dataType).cast("long"), F.lit(0)) for f in df.schema.fields]
+    return sum(own, F.lit(64).cast("long"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in smaller parts: a part's texts as Python objects, and what is made of them, bound a worker's memory."""
     for b in batches:

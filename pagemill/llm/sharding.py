@@ -1,6 +1,6 @@
 """Two-pass external shuffle into shards.
 
-First pass: every row goes to one of as many buckets as the table's bytes need at ``bucket_bytes``
+First pass: every row goes to one of as many buckets as the table's bytes, over all its columns, need at ``bucket_bytes``
 each, by a seeded hash of its place in the scan; so rows that repeat, and keys that a third of all
 rows share, spread evenly. Second pass: each bucket, which fits into memory, is put into a fixed
 order, shuffled by Fisher-Yates from a seed of its own, and written to a work table. The buckets in
@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WorkTables, fresh_name, map_arrow
+from pagemill.llm.common import WorkTables, fresh_name, map_arrow, row_bytes
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -58,19 +58,18 @@ def shuffle_shards(
     shards: int = 8,
     seed: int = 20,
     bucket_bytes: int = 16_000_000,
-    text_col: str = "text",
     small_buckets: int = 1_000_000,
 ) -> tuple[DataFrame, str]:
     """All rows of ``docs`` with a struct column (shard, slot), and that column's name.
 
     ``docs`` must give its rows in the same order whenever a task is run again, as a scan does; hand
     over a written table where it doesn't. Slots have no gaps and start at 0 in each shard. Repeated
-    rows stay as often as they stand; null texts are rows like others; an empty table gives an empty
-    result. A single row larger than a bucket gets no other treatment than to make its bucket larger.
+    rows stay as often as they stand; nulls are values like others; an empty table gives an empty
+    result. A row larger than a bucket, as one with a very long text, gets no other treatment than to make its bucket larger.
     """
     spark = docs.sparkSession
     work = WorkTables(spark, "sharding")
-    total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 64), F.lit(0)).alias("n")).first()["n"]
+    total = docs.agg(F.coalesce(F.sum(row_bytes(docs)), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-int(total) // bucket_bytes))
     bucket, tie = fresh_name(docs.columns, "bucket"), fresh_name(docs.columns, "tie")
     place, name = fresh_name(docs.columns, "place"), fresh_name(docs.columns, "sharded")
@@ -80,9 +79,7 @@ def shuffle_shards(
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField(bucket, T.IntegerType()), T.StructField(place, T.LongType())]
     shuffled = work.keep(map_arrow(exchanged, _shuffle(bucket, place, tie, seed), T.StructType(fields)), "buckets")
     counts = shuffled.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
-    # one row for each bucket; each bucket is bucket_bytes of data
-    earlier = F.coalesce(F.sum("n").over(W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col(bucket).alias("b"), earlier.alias("earlier"))
+    offsets = _earlier(counts.select(F.col(bucket).alias("b"), "n"))
     if buckets <= small_buckets:
         offsets = F.broadcast(offsets)
     at = F.col(place) + F.col("earlier")
@@ -91,6 +88,15 @@ def shuffle_shards(
     return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], where.alias(name)), name
 
 
+def _earlier(counts: DataFrame, at_once: int = 4096) -> DataFrame:
+    """(b, earlier): the rows of all buckets before each, over groups of buckets and inside them."""
+    grouped = counts.withColumn("g", F.floor(F.col("b") / at_once))
+    # one row for each 4096 buckets, which hold some ten gigabytes each
+    before = grouped.groupBy("g").agg(F.sum("n").alias("n")).select("g", F.coalesce(F.sum("n").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("g").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return grouped.select("b", "g", inside.alias("inside")).join(before, "g").select("b", (F.col("base") + F.col("inside")).alias("earlier"))
+
+
 def write_shards(docs: DataFrame, path: str, *, shards: int = 8, **how) -> None:
     """Write the shuffled rows, one folder for each shard, in the order of their slots inside each file."""
     columns = docs.columns
