@@ -29,6 +29,10 @@ from pagemill.llm.tokens import encoder
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, part int, local_rank bigint"
 
 
+#: Parts of a length's ranks in which its slots are looked for.
+RANK_BLOCKS = 64
+
+
 @dataclass(frozen=True)
 class Slots:
     """``count`` pieces of one length, from rank ``rank_from``, each in a sequence of its own."""
@@ -117,11 +121,14 @@ def pack(
 ) -> DataFrame:
     """Pieces of documents with the sequences they go into.
 
+    Of equal lengths, pieces take slots in the order of their tasks and of the scan; which of two alike goes
+    where has no effect on how full sequences are.
+
     Columns: doc_id, piece, start, length, ids (binary, unsigned 32-bit little-endian), ids_crc32,
     sequence_id, offset. A null or empty text is its end id alone. Only documents longer than
     ``capacity`` are cut; their first piece is the short one, so that all others fill a sequence.
     Repeated rows are packed as often as they stand; a null id stays null. An empty table gives an
-    empty result.
+    empty result. Texts are encoded whole, however long; other columns are not read.
     """
     spark = docs.sparkSession
     work = WorkTables(spark, "packing")
@@ -131,11 +138,16 @@ def pack(
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = work.keep(counts.select("length", "part", "n", before.alias("earlier")), "counts")
     histogram = {r["length"]: int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.createDataFrame([(s.length, s.rank_from, s.rank_from + s.count, s.sequence_from, s.offset) for s in plan(histogram, capacity)], "length bigint, rank_from bigint, rank_to bigint, sequence_from bigint, offset bigint")
-    offsets = counts.select("length", "part", "earlier")
-    if offsets.count() <= small_rows:  # else an ordinary join on length and part
+    # slots of a length lie one behind the other over its ranks; a piece looks among those of its block of ranks only
+    steps = {n: max(1, -(-count // RANK_BLOCKS)) for n, count in histogram.items()}
+    cut = [(s.length, k, s.rank_from, s.rank_from + s.count, s.sequence_from, s.offset) for s in plan(histogram, capacity) for k in range(s.rank_from // steps[s.length], (s.rank_from + s.count - 1) // steps[s.length] + 1)]
+    slots = spark.createDataFrame(cut, "slot_length bigint, slot_block bigint, rank_from bigint, rank_to bigint, sequence_from bigint, offset bigint")
+    step = spark.createDataFrame(sorted(steps.items()), "length bigint, step bigint")
+    offsets = counts.select("length", "part", "earlier").join(F.broadcast(step), "length")
+    if counts.count() <= small_rows:  # else an ordinary join on length and part
         offsets = F.broadcast(offsets)
     ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("local_rank") + F.col("earlier"))
     # the plan has a bounded number of rows for each length, whatever the number of documents
-    placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (ranked["rank"] >= slots["rank_from"]) & (ranked["rank"] < slots["rank_to"]))
-    return placed.select("doc_id", "piece", "start", ranked["length"], "ids", "ids_crc32", (F.col("sequence_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")
+    same = (F.col("length") == F.col("slot_length")) & (F.floor(F.col("rank") / F.col("step")) == F.col("slot_block"))
+    placed = ranked.join(F.broadcast(slots), same & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+    return placed.select("doc_id", "piece", "start", "length", "ids", "ids_crc32", (F.col("sequence_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")
