@@ -143,7 +143,8 @@ def fit(
 
     The sample is drawn by a hash of ``order_cols``, which serve for nothing else. Executors turn each
     sampled text, whole, into counts of its subwords; a bag has ``ROWS`` entries at most, however long
-    the text. Rows without a label are left out; no labelled row is an error.
+    the text. Rows without a label are left out, and texts without a letter teach nothing; repeated rows are drawn
+    together. Where no row is left, ``NothingToLearn`` is raised; ``NO_LANGUAGES`` is the model for that case.
     """
     rows = labelled.where(F.col(lang_col).isNotNull())
     n = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -202,8 +203,9 @@ _RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("sc
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with a struct column (lang, score, rejected), and that column's name.
 
-    A text that is null or has no letter is ``und`` with score 0, and rejected. Nothing but the text
-    is read.
+    A text that is null, empty or has no letter is ``und`` with score 0, and rejected. Of languages that are as likely the
+    first by name counts. Texts are read whole, however long; nothing else is read, and rows that repeat are judged each,
+    alike. An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS x languages floats
 

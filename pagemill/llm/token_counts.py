@@ -64,7 +64,8 @@ def count_tokens(
 
     Null counts as the empty text, which has no tokens. Equal texts are encoded once, however many
     rows hold them: rows are combined by digest before and after the exchange, so a text held by a
-    third of all rows costs one row a task. ``cache_path`` None makes a cache for this call alone.
+    third of all rows costs one row a task. Texts are encoded whole, however long. A null or repeated id plays no part: every row
+    gets its count. An empty table gives an empty one. ``cache_path`` None makes a cache for this call alone.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)

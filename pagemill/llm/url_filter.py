@@ -132,7 +132,8 @@ def judge(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", default:
 
     The longest rule that fits decides; without one the verdict is ``default`` and the rule null. A
     null URL, or one without ``://``, has an empty host and path and fits no rule. Rules that repeat
-    count once. Rows that repeat are judged each.
+    count once; of rules that fit and are as long, the one with the longer host decides, then the last by name and verdict. Rows that repeat are judged
+    each; URLs are read whole, however long; an empty table gives an empty one.
     """
     columns = pages.columns
     h, p = fresh_name(columns, "host"), fresh_name(columns, "path")

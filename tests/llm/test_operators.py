@@ -205,6 +205,40 @@ def test_shards(spark, bucket_bytes):
     order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r[name]["slot"], r[name]["shard"]))]
     assert order != sorted(order)
     assert same_shards(spark, d, bucket_bytes, rows, name)
+    assert [(r["doc_id"], *r[name]) for r in sorted(rows, key=lambda r: r["doc_id"])] == sorted(plain_shards(d, bucket_bytes, 8, 20))
+
+
+def plain_shards(d, bucket_bytes, shards, seed):
+    """The shuffle as a procedure: rows in the scan's order into buckets, each swapped from its end, and dealt."""
+    size = sum(64 + 4 * 8 + len((r["text"] or "").encode()) + len("en") + len("x") - 8 for r in d.collect())
+    n = max(1, -(-size // bucket_bytes))
+    tie = F.monotonically_increasing_id()
+    buckets = [[] for _ in range(n)]
+    for r in sorted(d.select("doc_id", tie.alias("tie"), F.pmod(F.xxhash64(F.lit(seed), tie), F.lit(n)).alias("b")).collect(), key=lambda r: r["tie"]):
+        buckets[r["b"]].append(r["doc_id"])
+    dealt = []
+    for k, own in enumerate(buckets):
+        picks = np.random.default_rng((seed, k)).integers(0, np.arange(1, len(own) + 1)) if own else []
+        for i in range(len(own) - 1, 0, -1):
+            own[i], own[picks[i]] = own[picks[i]], own[i]
+        dealt += own
+    return [(x, i % shards, i // shards) for i, x in enumerate(dealt)]
+
+
+def test_buckets_count_all_columns(spark):
+    from pagemill.llm.common import row_bytes
+
+    df = spark.createDataFrame([("é", [1.0, 2.0], b"xyz", 7, ["ab"]), (None, None, None, None, None)], "a string, b array<double>, c binary, `d.e` int, f array<string>")
+    assert [r["n"] for r in df.select(row_bytes(df).alias("n")).collect()] == [64 + 2 + 16 + 3 + 8 + len('{"f":["ab"]}'), 64 + 8 + 2]
+
+
+def test_a_very_long_row_is_shuffled(spark):
+    d = docs(spark, ["x" * 3_000_000, None, "y"])
+    found, name = sharding.shuffle_shards(d, shards=2, bucket_bytes=1000)
+    assert sorted((r["doc_id"], len(r["text"] or "")) for r in found.collect()) == [(0, 3_000_000), (1, 0), (2, 1)]
+    many = spark.range(10_000).select(F.col("id").cast("int").alias("b"), (F.col("id") % 7).alias("n"))
+    got = sharding._earlier(many, at_once=64).orderBy("b").collect()
+    assert [r["earlier"] for r in got] == np.cumsum([0] + [i % 7 for i in range(9_999)]).tolist()
 
 
 def same_shards(spark, d, bucket_bytes, rows, name):
@@ -314,6 +348,15 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), RULES)[0].count() == 0 and url_filter.judge(df, [])[0].where(f"{name}.verdict = 'block'").count() == 0
 
 
+def test_a_very_long_url(spark):
+    url = "https://deep.example.com/en/" + "7/" * 40_000
+    d = spark.createDataFrame([(1, url, "x"), (1, url, "x"), (2, "://" + "a." * 9000 + "com/en/", "y"), (3, "", None)], "page_id long, url string, host string")
+    found, name = url_filter.judge(d, RULES)
+    got = sorted((r["page_id"], len(r[name]["path"]), r[name]["rule"], r[name]["verdict"]) for r in found.collect())
+    assert got == [(1, 80_004, "example.com/en/7", "allow")] * 2 + [(2, 4, "com/en/", "block"), (3, 0, None, "allow")] and found.columns == [*d.columns, name]
+    assert url_filter.judge(d.limit(0), RULES)[0].count() == 0
+
+
 def test_many_rules_over_word_borders():
     rng = random.Random(5)
     rules = [url_filter.Rule("block", "".join(rng.choices("ab", k=rng.randrange(1, 4))) + ".c", "/" + "".join(rng.choices("ab", k=rng.randrange(0, 5)))) for _ in range(60)]
@@ -352,6 +395,70 @@ def test_language(spark):
         language.fit(d.limit(0))
 
 
+def plain_rows(text):
+    """The table's rows of a text's subwords, one character after the other, in plain integers."""
+    line, out = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ", []
+    for n in (2, 3, 4):
+        for i in range(len(line) - n + 1):
+            h = 0
+            for c in line[i : i + n]:
+                h = (h * 0x01000193 + (0 if c == " " else ord(c))) & 0xFFFFFFFF
+            h = (h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language.BITS)
+            if h:
+                out.append(h)
+    return out
+
+
+def test_scores_against_plain_scorer():
+    rng = random.Random(17)
+    table = np.random.default_rng(2).normal(size=(language.ROWS, 3)).astype(np.float32)
+    table[0] = 0
+    model = language.Model(("a", "b", "c"), table, np.array([0.1, -0.2, 0.0]), 1.7, 0.5)
+    for text in [*ODD, *(sentence(rng, rng.randrange(1, 40)) for _ in range(20)), None]:
+        rows = plain_rows(text or "")
+        if not any(c.isalpha() for c in text or ""):
+            assert model.predict(text) == ("und", 0.0, True)
+            continue
+        z = [(sum(float(table[h][k]) for h in rows) / max(len(rows), 1) + model.bias[k]) / 1.7 for k in range(3)]
+        e = [np.exp(x - max(z)) for x in z]
+        lang, score, rejected = model.predict(text)
+        assert lang == "abc"[z.index(max(z))] and score == pytest.approx(max(e) / sum(e)) and rejected == (score < 0.5)
+
+
+def test_training_against_plain_descent():
+    """The same draws and steps, with the gradient written out for each embedding and weight."""
+    rng, dim, k = np.random.default_rng(4), 3, 2
+    bags = [(np.sort(rng.choice(np.arange(1, 50), 8, replace=False)).astype("<i4"), np.cumsum(rng.integers(1, 4, 8)).astype(float), int(i % 2)) for i in range(12)]
+    model = language.train(bags, ("a", "b"), dim=dim, epochs=2, rate=0.5, false_rejects=0.001, seed=3)
+    draw = np.random.default_rng(3)
+    own = [b for i, b in enumerate(bags) if i % 10 != 9]
+    e, w, bias = draw.uniform(-1 / dim, 1 / dim, (language.ROWS, dim)).astype(np.float32).astype(float), np.zeros((dim, k)), np.zeros(k)
+    t = 0
+    for _ in range(2):
+        for i in draw.permutation(len(own)):
+            at, upto, y = own[i]
+            m = int(draw.choice((12, 24, 60, 150, 300)))
+            drawn = [int(at[np.searchsorted(upto, x, side="right")]) for x in draw.random(m) * upto[-1]]
+            v = [sum(e[h][j] for h in drawn) / m for j in range(dim)]
+            z = [sum(v[j] * w[j][c] for j in range(dim)) + bias[c] for c in range(k)]
+            p = [np.exp(x - max(z)) for x in z]
+            g = [x / sum(p) - (c == y) for c, x in enumerate(p)]
+            rate = 0.5 * (1 - t / (2 * len(own)))
+            down = [sum(w[j][c] * g[c] for c in range(k)) for j in range(dim)]
+            for j in range(dim):
+                for c in range(k):
+                    w[j][c] -= rate * v[j] * g[c]
+            for c in range(k):
+                bias[c] -= rate * 0.1 * g[c]
+            for h in drawn:
+                for j in range(dim):
+                    e[h][j] -= rate * down[j] * 8 / m
+            t += 1
+    want = e @ w
+    want[0] = 0
+    assert np.allclose(model.table, want, atol=1e-4) and np.allclose(model.bias, bias, atol=1e-4) and np.abs(want).max() > 0.01
+
+
 def test_every_label_is_learned(spark):
     rng = random.Random(70)
     text = lambda k: " ".join("".join(chr(0x4E00 + 8 * k + rng.randrange(8)) for _ in range(rng.randrange(2, 6))) for _ in range(20))
@@ -464,6 +571,20 @@ def test_packing_nothing(spark):
     assert packing.pack(docs(spark, []).limit(0)).count() == 0
 
 
+def test_packing_of_many_short_and_one_very_long(spark, library):
+    """Many ranks of one length, in blocks; a text of some hundred thousand ids."""
+    long = " ".join(f"word{i}" for i in range(60_000))
+    texts = [None] * 1500 + ["ab cd"] * 300 + [long] + [f"t {'x ' * (i % 90)}" for i in range(400)]
+    rows = packing.pack(docs(spark, texts).repartition(4), capacity=128).select("doc_id", "piece", "length", "sequence_id", "offset").collect()
+    assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows) and {r["doc_id"] for r in rows} == set(range(len(texts)))
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1800) == len(library.ids(long)) + 1
+    used = collections.defaultdict(list)
+    for r in rows:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(u)] == [sum(n for _, n in sorted(u)[:k]) for k in range(len(u))] and sum(n for _, n in u) <= 128 for u in used.values())
+    assert len(used) <= plain_best_fit(collections.Counter(r["length"] for r in rows), 128)
+
+
 # -- toxicity -------------------------------------------------------------------------------------
 
 
