@@ -296,6 +296,7 @@ def _abbreviations() -> list[tuple[str, str, str]]:
 
 def _spoken_steps() -> tuple[list[tuple[str, str, bool]], list[tuple[str, str, bool]]]:
     """Rewrites before and after the abbreviations, in order, as (pattern, replacement with $ groups, any case)."""
+    # What each rewrite looks for, and what is said instead.
     steps = [
         (r"([\p{L}\p{N}_]+)-\s*\n\s*([\p{L}\p{N}_]+)", "$1$2", False),
         (r"(\d+)\s*[×xX]\s*(\d+)", "$1 by $2", False),
@@ -374,12 +375,27 @@ def length_scale(rate: Column) -> Column:
     return F.round(1 / F.least(F.greatest(rate, F.lit(0.7)), F.lit(1.4)), 3)
 
 
-def preview(text: Column, most_bytes: int = 20_000, mark: str = "\n…") -> Column:
+#: Fixed value: what stands behind a shortened preview.
+PREVIEW_MARK = "\n\n[… preview truncated …]"
+
+
+def preview(text: Column, most_bytes: int = 20_000, mark: str = PREVIEW_MARK) -> Column:
     """As many characters of a text as fit into so many bytes, with a mark if there is more."""
     # a character has four bytes at most, so the cut lies among few candidates; an invalid end is cut off
     raw = F.substring(text.cast("binary"), 1, most_bytes)
     return F.when(F.octet_length(text) > most_bytes, F.concat(F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\uFFFD+\\z", ""), F.lit(mark))).otherwise(text)
 
 
+def tail(text: Column, most_bytes: int = 32_768) -> Column:
+    """A text's last characters that fit into so many bytes."""
+    raw = F.substring(text.cast("binary"), -most_bytes, most_bytes)
+    return F.when(F.octet_length(text) > most_bytes, F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\\A\uFFFD+", "")).otherwise(text)
+
+
+def speed(rate: Column) -> Column:
+    """The other engine takes the rate itself, between 0.5 and 2."""
+    return F.least(F.greatest(rate, F.lit(0.5)), F.lit(2.0))
+
+
 def safe_ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))

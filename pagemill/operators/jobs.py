@@ -49,6 +49,22 @@ def listed(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), F.desc("job_id"))
 
 
+def newest(jobs: DataFrame) -> DataFrame:
+    """The job that is shown first: the newest, if there is any."""
+    return listed(jobs).limit(1)
+
+
+def status_text(status: Column, progress: Column) -> Column:
+    # What a state is called.
+    named = F.when(status == "completed", "Completed").when(status == "failed", "Failed")
+    return named.when(status == "running", F.format_string("Running · %.0f%%", F.bround(progress * 100, 0))).otherwise("Queued")
+
+
+def new_job_id() -> Column:
+    """128 random bits as hexadecimal digits; a different one for each row and each run."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
 def active_count(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count_if(F.col("status").isin(*ACTIVE)).alias("active"), F.count(F.lit(1)).alias("jobs"))
 

@@ -38,6 +38,26 @@ def prepared(texts: DataFrame, *, limit: int = chunk.DEFAULT_LIMIT, engine: str
     return chunk.with_pauses(chunk.split_text(spoken, limit=longest), engine, pause_ms, rate)
 
 
+_REQUEST = "output_path string, chunks array<string>, speech_rate double, speed double, language string, voice string"
+
+
+def requests(lines: DataFrame, engine: str = "piper") -> DataFrame:
+    """Requests to an engine, one JSON object in each ``value``: trimmed chunks without blank ones, and the engine's own rate.
+
+    ``error`` is set where the object can't be read or has no chunks left.
+    """
+    r = F.from_json("value", _REQUEST)
+    chunks = F.filter(F.transform(F.coalesce(r["chunks"], F.array().cast("array<string>")), lambda c: X.trimmed(F.coalesce(c, F.lit("")))), lambda c: c != "")
+    rate = X.speed(F.coalesce(r["speed"], F.lit(1.0))) if engine == "kokoro" else X.length_scale(F.coalesce(r["speech_rate"], F.lit(1.0)))
+    rows = lines.withColumn("chunks", chunks).withColumn("rate", rate).withColumn("output_path", r["output_path"])
+    return rows.withColumn("error", F.when(F.col("output_path").isNull(), "no request").when(F.size("chunks") == 0, "no chunks"))
+
+
+def engine_voice(language: Column) -> Column:
+    """The one-letter language that one engine takes."""
+    return F.when(F.lower(language).startswith("pt"), "p").otherwise("a")
+
+
 def synthesized(chunks: DataFrame, say: Callable[[str], bytes], *, rate: int = 22050, channels: int = 1) -> DataFrame:
     """One WAV for each document, with silence after each chunk but the last. Blank chunks are left out.
 

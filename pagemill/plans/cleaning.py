@@ -155,6 +155,50 @@ def classified_pages(spark, sf_dir):
     return clean.classify(html_blocks(spark, sf_dir)).select("doc_id", "ord", "label", "rule")
 
 
+#: A label of every kind for the lines of documents, and headings that switch sections.
+_KINDS = "CASE ord % 19 WHEN 2 THEN 'section_header' WHEN 5 THEN ' Reference ' WHEN 8 THEN 'title' WHEN 9 THEN 'footnote' WHEN 11 THEN 'odd' WHEN 13 THEN 'list_item' WHEN 14 THEN 'Table' WHEN 17 THEN '' ELSE 'paragraph' END"
+_HEADINGS = "CASE WHEN ord % 19 IN (2, 8) THEN CASE (doc_id + ord) % 5 WHEN 0 THEN 'References' WHEN 1 THEN '2. Methods' WHEN 2 THEN 'Research Article' WHEN 3 THEN 'Data availability statement' ELSE text END WHEN ord % 19 = 11 AND doc_id % 2 = 0 THEN '12 %' ELSE text END"
+
+
+def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).withColumn("text", F.expr(_HEADINGS)).withColumn("label", F.expr(_KINDS))
+
+
+def _sql_labelled(keep_headings: bool) -> str:
+    return f"""WITH {SQL_LINES}, kind AS (
+  SELECT doc_id, ord, lower(trim({_KINDS})) AS label, {X.sql_normalized(f"({_HEADINGS})")} AS norm FROM line
+), counted AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, lower(norm)) AS n FROM kind
+), early AS (
+  SELECT *, CASE WHEN norm = '' THEN 'empty' WHEN label IN {P.DROP_LABELS} THEN label WHEN label <> '' AND label NOT IN {P.KEEP_LABELS} AND {X.sql_is_non_prose("norm")} THEN 'non_prose:' || label
+         WHEN length(norm) <= 90 AND n >= 3 THEN 'repeated_furniture' END AS rule1, CASE WHEN label IN ('title', 'section_header') THEN {X.sql_heading_class("norm")} END AS class FROM counted
+), carried AS (
+  SELECT *, coalesce(last_value(CASE WHEN norm <> '' AND label = 'reference' THEN true WHEN rule1 IS NULL AND class = 'drop' THEN true WHEN rule1 IS NULL AND class IN ('keep', 'unknown') THEN false END IGNORE NULLS)
+    OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS skipping FROM early
+), ruled AS (
+  SELECT *, coalesce(rule1, CASE WHEN class IN ('drop', 'drop_heading_only') THEN 'section_heading_drop' WHEN class IS NULL THEN CASE WHEN skipping THEN 'section_skip' {_RULES} END END,
+    CASE WHEN class IS NULL AND {X.sql_normalized(X.sql_without_citations("norm"))} = '' THEN 'citations_only' END) AS rule FROM carried
+)
+SELECT doc_id, ord, label, skipping, rule, CASE WHEN rule IS NOT NULL THEN CASE WHEN rule = label THEN 'label' ELSE 'rule' END END AS bucket, rule IS NULL AND ({"true" if keep_headings else "class IS NULL"}) AS emitted FROM ruled"""
+
+
+@query("classified_labels", _sql_labelled(True))
+def classified_labels(spark, sf_dir):
+    return clean.classify(labelled_lines(spark, sf_dir)).select("doc_id", "ord", "label", "skipping", "rule", "bucket", "emitted")
+
+
+@query("classified_without_headings", _sql_labelled(False))
+def classified_without_headings(spark, sf_dir):
+    return clean.classify(labelled_lines(spark, sf_dir), clean.Options(keep_headings=False)).select("doc_id", "ord", "label", "skipping", "rule", "bucket", "emitted")
+
+
+@query("structural_headings", f"WITH {SQL_LINES} SELECT doc_id, ord, {_KINDS} IN ('section_header', 'title') AND {X.sql_matches(X.sql_trimmed('(' + _HEADINGS + ')'), P.STRUCTURAL_HEADING, True)} AS structural FROM line")
+def structural_headings(spark, sf_dir):
+    from pagemill.operators import classifier
+
+    return labelled_lines(spark, sf_dir).select("doc_id", "ord", classifier.is_structural(F.col("label"), F.col("text")).alias("structural"))
+
+
 @query("detect_language", f"SELECT doc_id, {X.sql_detected_language('text')} AS language FROM documents")
 def detect_language(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.detected_language(F.col("text")).alias("language"))

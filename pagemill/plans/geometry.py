@@ -80,6 +80,52 @@ def reading_order_query(spark, sf_dir):
     return reading_order.repaired(b, B.page_sizes(b)).select("doc_id", "ord", "new_ord")
 
 
+def in_many_columns(spark, sf_dir):
+    """The same lines in one to seven columns, by document, with a wide block now and then."""
+    b = lines(spark, sf_dir)
+    n, k = F.pmod("doc_id", F.lit(7)) + 1, F.pmod("ord", F.lit(20))
+    left = 10.0 + 84.0 * F.pmod(k * 3, n)
+    box = F.struct(left.alias("left"), (40.0 + 30.0 * k).alias("top"), F.when(k == 13, 600.0).otherwise(left + 60.0).alias("right"), (60.0 + 30.0 * k).alias("bottom"))
+    return b.withColumn("page_no", (F.floor(F.col("ord") / 20) + 1).cast("int")).withColumn("bbox", box)
+
+
+# clusters are joined pair by pair until four are left; with centers 84 points apart the first pair is always the nearest
+_MANY = f"""WITH RECURSIVE {B.SQL_GEOMETRY.split("), placed AS")[0]}), placed AS (
+  SELECT doc_id, ord, CAST(ord // 20 + 1 AS INTEGER) AS page_no, 10.0 + 84.0 * ((ord % 20 * 3) % (doc_id % 7 + 1)) AS l, CASE WHEN ord % 20 = 13 THEN 600.0 ELSE 70.0 + 84.0 * ((ord % 20 * 3) % (doc_id % 7 + 1)) END AS r, 40.0 + 30.0 * (ord % 20) AS t FROM block
+), narrow AS (
+  SELECT doc_id, page_no, CAST((l + r) / 2 AS DOUBLE) AS mid, count(*) OVER (PARTITION BY doc_id, page_no) AS n_all FROM placed WHERE r - l < 306
+), col AS (
+  SELECT doc_id, page_no, mid, count(*) AS n FROM narrow WHERE n_all >= 3 GROUP BY doc_id, page_no, mid
+), merging AS (
+  SELECT doc_id, page_no, list({{'total': mid * n, 'n': CAST(n AS DOUBLE)}} ORDER BY mid) AS c FROM col GROUP BY doc_id, page_no
+  UNION ALL
+  SELECT doc_id, page_no, list_concat(c[1 : p - 1], [{{'total': c[p].total + c[p + 1].total, 'n': c[p].n + c[p + 1].n}}], c[p + 2 :]) AS c FROM (
+    SELECT *, list_position(gaps, list_min(gaps)) AS p FROM (SELECT *, list_transform(range(1, len(c)), lambda i: c[i + 1].total / c[i + 1].n - c[i].total / c[i].n) AS gaps FROM merging WHERE len(c) > 4))
+), multi AS (
+  SELECT doc_id, page_no, list_transform(c, lambda x: x.total / x.n) AS centers FROM merging WHERE len(c) BETWEEN 2 AND 4
+), away AS (
+  SELECT p.*, centers, r - l >= 0.6 * 612 OR len(list_filter(centers, lambda c: c BETWEEN l - 4 AND r + 4)) >= 2 AS wide, list_transform(centers, lambda c: abs(c - (l + r) / 2)) AS d FROM placed p LEFT JOIN multi USING (doc_id, page_no)
+), item AS (
+  SELECT *, centers IS NOT NULL AS multi, centers IS NOT NULL AND wide AS span, CASE WHEN centers IS NOT NULL THEN list_position(d, list_min(d)) - 1 END AS nearest FROM away
+), keyed AS (
+  SELECT i.*, (SELECT count(*) FROM item s WHERE s.doc_id = i.doc_id AND s.page_no = i.page_no AND s.span AND CASE WHEN i.span THEN (s.t, s.ord) < (i.t, i.ord) ELSE s.t <= i.t + 3 END) AS seg FROM item i
+)"""
+
+
+@query("many_columns", f"{_MANY} SELECT doc_id, page_no, len(centers) AS n, round(list_sum(centers), 6) AS total FROM multi")
+def many_columns(spark, sf_dir):
+    b = in_many_columns(spark, sf_dir)
+    c = F.col("centers")
+    return reading_order.columns_of(b, B.page_sizes(b)).select("doc_id", "page_no", F.size(c).cast("bigint").alias("n"), F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("reading_order_of_many_columns", f"""{_MANY}
+SELECT doc_id, ord, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, CASE WHEN multi THEN seg ELSE 0 END, CASE WHEN span THEN 9 WHEN multi THEN nearest ELSE 0 END, t, ord) - 1 AS INTEGER) AS new_ord FROM keyed""")
+def reading_order_of_many_columns(spark, sf_dir):
+    b = in_many_columns(spark, sf_dir)
+    return reading_order.repaired(b, B.page_sizes(b)).select("doc_id", "ord", "new_ord")
+
+
 def _rects(spark, sf_dir):
     """Rectangles made of order lines: a document's page is an order, a line a rectangle."""
     r = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

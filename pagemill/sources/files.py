@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.functions import text as X
 from pagemill.functions.shipping import ship
@@ -39,26 +41,31 @@ def accepted(files: DataFrame, most_bytes: int = MOST_BYTES) -> tuple[DataFrame,
     return small.where(is_pdf(F.col("content"))), large.unionByName(small.where(~is_pdf(F.col("content"))).select("path", "length", F.lit("no PDF").alias("reason")))
 
 
-def extracted(files: DataFrame, extractor: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
-    """Rows that a pluggable extractor makes of each file's content, for glyphs or blocks.
+def extracted(files: DataFrame, extractor: Callable[[bytes], Iterable[Callable[[], list[dict]]]], schema: str) -> DataFrame:
+    """Rows that a pluggable extractor makes of each file's pages: path, page_no, error, and the columns of ``schema``.
 
-    The extractor yields a dictionary for each row; a page or file that it can't read yields none.
+    The extractor gives a function for each page, in order, and that function its rows. A page that can't be read
+    gives one row with its error and nothing else, as does a file, with page 0; the other pages are not lost.
     """
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames):
         import pandas as pd
 
-        names = [c.split()[0] for c in schema.split(", ")]
         for pdf in frames:
-            rows = []
             for path, content in zip(pdf.path, pdf.content, strict=True):
+                rows, at = [], 0
                 try:
-                    rows += [{"path": path, **r} for r in extractor(bytes(content))]
-                except Exception:  # noqa: BLE001 - a malformed file is an empty one
-                    continue
-            yield pd.DataFrame(rows, columns=["path", *names])
+                    for at, page in enumerate(extractor(bytes(content)), 1):  # noqa: B007
+                        try:
+                            rows += [{"path": path, "page_no": at, **r} for r in page()]
+                        except Exception as x:  # noqa: BLE001 - a malformed page is an empty one
+                            rows.append({"path": path, "page_no": at, "error": f"{type(x).__name__}: {x}"})
+                except Exception as x:  # noqa: BLE001 - a malformed file is an empty one
+                    rows.append({"path": path, "page_no": 0, "error": f"{type(x).__name__}: {x}"})
+                yield pd.DataFrame(rows, columns=["path", "page_no", "error", *names])
 
-    return files.select("path", "content").mapInPandas(run, f"path string, {schema}")
+    return files.select("path", "content").mapInPandas(run, f"path string, page_no int, error string, {schema}")
 
 
 def page_limited(pages: DataFrame, most_pages: int = MOST_PAGES) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +103,12 @@ def with_duration(files: DataFrame) -> DataFrame:
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """metadata.json of every folder below ``path``, with the folder's name; unreadable ones have nulls."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").text(path, wholetext=True)
-    return raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder"), F.from_json("value", METADATA).alias("m"))
+    return parsed_metadata(raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder"), "value"))
+
+
+def parsed_metadata(raw: DataFrame) -> DataFrame:
+    """(folder, m) of rows (folder, value), the latter JSON."""
+    return raw.select("folder", F.from_json("value", METADATA).alias("m"))
 
 
 def restored(meta: DataFrame, audio: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,23 +176,104 @@ class ProcessingOptions:
     def __post_init__(self) -> None:
         if not 0.5 <= self.speech_rate <= 2.0:
             raise ValueError("speech rate out of range")
-        if self.use_classifier and not self.classifier_url:
+        if self.use_classifier and not self.classifier_url.strip():
             raise ValueError("the classifier needs a URL")
-        for name, default in (("chunk_max_chars", 900), ("pause_ms", 220)):
-            if getattr(self, name) <= 0:
-                object.__setattr__(self, name, default)
+        if self.chunk_max_chars <= 0:
+            object.__setattr__(self, "chunk_max_chars", 900)
+        if self.pause_ms < 0:
+            object.__setattr__(self, "pause_ms", 0)
 
     def public(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "classifier_key"}
 
 
+def checked_options(rows: DataFrame, rate_min: float = 0.5, rate_max: float = 2.0, classifier_url: str = "") -> DataFrame:
+    """Options of jobs (speech_rate, chunk_max_chars, pause_ms, use_classifier, classifier_url, created_at) with defaults, and ``error``.
+
+    ``created_at`` is the time of the run where it is absent. ``classifier_url`` is the setting that serves where a job has none.
+    """
+    url = F.coalesce(F.nullif(X.trimmed(F.coalesce("classifier_url", F.lit(""))), F.lit("")), F.lit(classifier_url))
+    rate = F.coalesce(F.col("speech_rate").between(rate_min, rate_max), F.lit(False))
+    error = F.when(~rate, "speech rate out of range").when(F.coalesce("use_classifier", F.lit(False)) & (url == ""), "the classifier needs a URL")
+    checked = rows.withColumn("error", error).withColumn("classifier_url", url)
+    checked = checked.withColumn("chunk_max_chars", F.when(F.col("chunk_max_chars") > 0, F.col("chunk_max_chars")).otherwise(900))
+    checked = checked.withColumn("pause_ms", F.greatest(F.coalesce("pause_ms", F.lit(0)), F.lit(0)))
+    return checked.withColumn("created_at", F.coalesce(F.nullif("created_at", F.lit("")), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
+
+
+def listed_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(root, name, mtime) of the folders right below ``root``, for ``jobs.orphans``; none if it doesn't exist.
+
+    One listing by the driver, as many rows as jobs are kept; works for any file system that Spark knows.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(conf)
+    found = [(root, s.getPath().getName(), s.getModificationTime()) for s in (fs.listStatus(top) if fs.exists(top) else []) if s.isDirectory()]
+    return spark.createDataFrame(found, "root string, name string, ms bigint").select("root", "name", F.timestamp_millis("ms").cast("timestamp_ntz").alias("mtime"))
+
+
+def delete_folders(spark: SparkSession, roots: list[str], names: list[str]) -> list[str]:
+    """Delete the folders of jobs below each root, and give back those that were there. An unsafe name is an error, before anything is deleted."""
+    if bad := [n for n in names if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", n)]:
+        raise ValueError(f"unsafe job id: {bad[0]}")
+    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for root in roots:
+        for name in names:
+            p = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+            if p.getFileSystem(conf).delete(p, True):
+                gone.append(f"{root.rstrip('/')}/{name}")
+    return gone
+
+
+def export_file(spark: SparkSession, source: str, target: str) -> None:
+    """Copy one file as it is; a file that stands at ``target`` is replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
 def write_texts(texts: DataFrame, path: str) -> DataFrame:
-    """Write cleaned texts (doc_id, text), trimmed and with a final newline; give back those without any."""
-    own = texts.withColumn("text", X.trimmed(F.col("text")))
-    own.where("text <> ''").select("doc_id", F.concat("text", F.lit("\n")).alias("text")).write.mode("overwrite").parquet(path)
-    return own.where("text = ''").select("doc_id", F.lit("no narrative text remained after cleanup").alias("reason"))
+    """Write cleaned texts (doc_id, text), trimmed and with a final newline; give back those without any.
+
+    What is given back reads what was written, so the texts are made once.
+    """
+    spark = texts.sparkSession
+    own = texts.select("doc_id", X.trimmed(F.coalesce("text", F.lit(""))).alias("text"))
+    marked = own.select("doc_id", F.when(F.col("text") != "", F.concat("text", F.lit("\n"))).alias("text"), (F.col("text") == "").cast("int").alias("empty"))
+    marked.write.mode("overwrite").partitionBy("empty").parquet(path)
+    whole = spark.read.schema("doc_id bigint, text string, empty int").parquet(path)
+    return whole.where("empty = 1").select("doc_id", F.lit("no narrative text remained after cleanup").alias("reason"))
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, text) of what ``write_texts`` wrote."""
+    return spark.read.schema("doc_id bigint, text string, empty int").parquet(path).where("empty = 0").select("doc_id", "text")
+
+
+#: The one column that holds a secret.
+SECRET = "classifier_key"
+
+
+def public_metadata(rows: DataFrame) -> DataFrame:
+    """(job_id, stage, json): one JSON object for each row, without the classifier's key, wherever it stands."""
+    rows = rows.drop(SECRET)
+    own = []
+    for f in rows.schema.fields:
+        c = F.col(f"`{f.name}`")
+        own.append(c.dropFields(SECRET).alias(f.name) if isinstance(f.dataType, T.StructType) and SECRET in f.dataType.names else c)
+    return rows.select("job_id", "stage", F.to_json(F.struct(*own)).alias("json"))
 
 
 def write_metadata(rows: DataFrame, path: str) -> None:
-    """One JSON object for each row; keys of the classifier are left out whatever the columns."""
-    rows.select(*[c for c in rows.columns if "key" not in c.lower()]).write.mode("overwrite").json(path)
+    """Write ``public_metadata`` of rows (job_id, stage, ...), a folder for each stage.
+
+    A job's metadata is written before its speech and again after it: the later stage replaces nothing of the earlier one.
+    """
+    public_metadata(rows).write.mode("append").partitionBy("stage").parquet(path)
+
+
+def latest_metadata(spark: SparkSession, path: str, stages: tuple[str, ...] = ("saved", "done")) -> DataFrame:
+    """(job_id, stage, json): of each job what its latest stage wrote."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("stage", "json"), F.array_position(F.lit(list(stages)), F.col("stage"))).alias("m")).select("job_id", "m.stage", "m.json")

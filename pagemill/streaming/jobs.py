@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.shipping import ship
@@ -23,11 +23,11 @@ def progress_events(lines: DataFrame, prefix: str = PREFIX) -> DataFrame:
 
 
 def advance(state: tuple | None, events: list[tuple]) -> tuple | None:
-    """A job's state after events (updated_at, status, step, progress) in order of time.
+    """A job's state after events (updated_at, status, step, progress) in order of time, then of their other values.
 
     A change that the state machine doesn't allow is ignored; every change that counts adds a version.
     """
-    for at, status, step, progress in sorted(events, key=lambda e: e[0]):
+    for at, status, step, progress in sorted(events, key=lambda e: (e[0], e[1], e[2], e[3] or 0.0)):
         value = min(max(progress or 0.0, 0.0), 1.0)
         if status == "failed":
             value = max(value, FAILED_LEAST)
@@ -68,6 +68,25 @@ def job_states(events: DataFrame, ttl_hours: float = 24.0, late: str = "10 minut
     return watched.groupBy("job_id").applyInPandasWithState(update, STATES, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def run_to_table(states: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None):
+    """Write each change of a stream of states to ``path``, a folder for each batch; the query that does so.
+
+    A batch that runs again after a failure replaces its own folder. ``trigger``: as for ``writeStream``; all that is there, then the end, by default.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest_states(spark: SparkSession, path: str) -> DataFrame:
+    """Of each job its last state, of what ``run_to_table`` wrote."""
+    rows = spark.read.schema(f"{STATES}, batch int").parquet(path)
+    last = F.max_by(F.struct("status", "step", "progress", "created_at", "updated_at", "version"), "version")
+    return rows.groupBy("job_id").agg(last.alias("s")).select("job_id", "s.*")
+
+
 def changed_since(states: DataFrame, version: int) -> DataFrame:
     """What a viewer that has seen ``version`` has to draw again: nothing if nothing changed."""
     return states.where(F.col("version") > version)

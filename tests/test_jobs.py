@@ -1,5 +1,4 @@
 import json
-import os
 import struct
 from datetime import datetime, timedelta
 
@@ -7,11 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import classifier, jobs, voices
-from pagemill.plans import catalog
 from pagemill.sources import files
 from pagemill.sources.blocks import BLOCKS
 from pagemill.streaming import jobs as stream
-from tests.compare import connection, rows_of, rows_of_sql
 
 JOBS = "job_id string, created_at timestamp_ntz, status string"
 NOW = datetime(2024, 5, 1, 12)
@@ -127,8 +124,16 @@ def test_files_and_restore(spark, tmp_path):
     (tmp_path / "pdf" / "b.pdf").write_bytes(b"nothing")
     ok, rejected = files.accepted(files.read_files(spark, str(tmp_path / "pdf")))
     assert ok.count() == 1 and [r["reason"] for r in rejected.collect()] == ["no PDF"]
-    rows = files.extracted(ok, lambda content: [{"n": len(content)}], "n int").collect()
-    assert [r["n"] for r in rows] == [10]
+
+    def pages(content):
+        yield lambda: [{"n": len(content)}, {"n": 0}]
+        yield lambda: 1 / 0
+        yield lambda: [{"n": 3}]
+        if content[-1:] == b"x":
+            raise ValueError("broken")
+
+    rows = [(r["page_no"], r["n"], r["error"] and r["error"].split(":")[0]) for r in files.extracted(ok, pages, "n int").collect()]
+    assert rows == [(1, 10, None), (1, 0, None), (2, None, "ZeroDivisionError"), (3, 3, None), (0, None, "ValueError")]
 
 
 @pytest.mark.parametrize(("url", "want"), [("host:80/v1/", "http://host:80/v1"), ("https://h", "https://h"), ("ftp://h", None), ("http://u:p@h", None), ("http://h?q", None)])
@@ -143,11 +148,36 @@ def test_paths_and_secrets(spark, tmp_path):
     assert "secret" not in json.dumps(o.public()) and "secret" not in repr(o) and o.chunk_max_chars == 900
     with pytest.raises(ValueError):
         files.ProcessingOptions(speech_rate=9.0)
-    files.write_metadata(spark.createDataFrame([("a", "secret")], "job_id string, api_key string"), str(tmp_path / "m"))
-    assert "secret" not in "".join(p.read_text() for p in (tmp_path / "m").glob("part-*"))
+    with pytest.raises(ValueError):
+        files.ProcessingOptions(use_classifier=True, classifier_url=" ")
+    assert files.ProcessingOptions(pause_ms=-5).pause_ms == 0 and files.ProcessingOptions(pause_ms=0).pause_ms == 0
+    meta = spark.createDataFrame([("a", "saved", "secret", 7, ("v", "secret"))], "job_id string, stage string, classifier_key string, monkey int, options struct<voice:string,classifier_key:string>")
+    files.write_metadata(meta, str(tmp_path / "m"))
+    files.write_metadata(meta.withColumn("stage", F.lit("done")).withColumn("monkey", F.lit(8)), str(tmp_path / "m"))
+    rows = files.latest_metadata(spark, str(tmp_path / "m")).collect()
+    assert [(r["job_id"], r["stage"], json.loads(r["json"])) for r in rows] == [("a", "done", {"job_id": "a", "stage": "done", "monkey": 8, "options": {"voice": "v"}})]
+    assert spark.read.parquet(str(tmp_path / "m")).where("json like '%secret%'").count() == 0
     none = files.write_texts(spark.createDataFrame([(1, " x "), (2, " \n")], "doc_id long, text string"), str(tmp_path / "t"))
     assert [r["doc_id"] for r in none.collect()] == [2]
-    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["x\n"]
+    assert [r["text"] for r in files.read_texts(spark, str(tmp_path / "t")).collect()] == ["x\n"]
+
+
+def test_folders(spark, tmp_path):
+    for name in ("up/j1", "up/j2", "out/j1"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "a.txt").write_text(name)
+    (tmp_path / "up" / "file").write_text("x")
+    up, out = str(tmp_path / "up"), str(tmp_path / "out")
+    assert sorted(r["name"] for r in files.listed_folders(spark, up).collect()) == ["j1", "j2"]
+    assert files.listed_folders(spark, str(tmp_path / "none")).count() == 0
+    left = jobs.orphans(files.listed_folders(spark, up), spark.createDataFrame([("j2",)], "job_id string"), datetime(2100, 1, 1), 1)
+    assert [r["name"] for r in left.collect()] == ["j1"]
+    files.export_file(spark, f"{up}/j1/a.txt", f"{tmp_path}/copy.txt")
+    assert (tmp_path / "copy.txt").read_text() == "up/j1"
+    with pytest.raises(ValueError):
+        files.delete_folders(spark, [up], ["j1", "../out"])
+    assert files.delete_folders(spark, [up, out], ["j1", "gone"]) == [f"{up}/j1", f"{out}/j1"]
+    assert sorted(p.name for p in (tmp_path / "up").iterdir()) == ["file", "j2"] and not list((tmp_path / "out").iterdir())
 
 
 def test_settings(tmp_path):
@@ -211,10 +241,22 @@ def test_preview(spark):
     assert got == ["aé…", "abcd", None]
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
-@pytest.mark.parametrize("name", ["jobs_orphans", "jobs_insert_if_absent"])
-def test_every_event_takes_part(spark, name):
-    sf = "/root/testdata/sf0.001"
-    got = rows_of(catalog.QUERIES[name](spark, sf))
-    assert got == rows_of_sql(connection(sf), catalog.ORACLES[name].replace("event_id < 400 AND ", ""))
-    assert any(int(v) >= 400 for row in got[1] for v in row[:2] if v.isdigit())
+def test_tail(spark):
+    from pagemill.functions import text as X
+
+    got = [r["x"] for r in spark.createDataFrame([("ééa",), ("abcd",), (None,)], "t string").select(X.tail(F.col("t"), 4).alias("x")).collect()]
+    assert got == ["éa", "abcd", None]
+
+
+def test_job_stream_in_batches(spark, tmp_path):
+    """Two batches give what one gives, and a batch that runs again replaces its own."""
+    schema = "job_id long, updated_at timestamp, status string, step string, progress double"
+    for k, rows in enumerate([[(1, datetime(2024, 1, 1), "pending", "q", 0.0), (2, datetime(2024, 1, 1), "running", "x", 0.1)], [(1, datetime(2024, 1, 1, 0, 1), "running", "clean", 0.4), (2, datetime(2024, 1, 1, 0, 2), "failed", "y", 0.0), (2, datetime(2024, 1, 1, 0, 3), "running", "z", 0.9)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for _ in range(2):
+            states = stream.job_states(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+            stream.run_to_table(states, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        got = sorted((r["job_id"], r["status"], r["progress"], r["version"]) for r in stream.latest_states(spark, str(tmp_path / "out")).collect())
+        assert got == [[(1, "pending", 0.0, 1), (2, "running", 0.1, 1)], [(1, "running", 0.4, 2), (2, "failed", 0.05, 2)]][k]
+    seen = stream.latest_states(spark, str(tmp_path / "out"))
+    assert stream.changed_since(seen, 2).count() == 0 and stream.changed_since(seen, 1).count() == 2
