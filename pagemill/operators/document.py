@@ -9,7 +9,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
-from pagemill.operators import classifier, clean, fold, layout, reading_order
+from pagemill.operators import classifier, clean, fold, layout, lines, reading_order
+
+
+def from_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks, page sizes and regions for ``processed``, of pages as a reader gives them.
+
+    ``pages`` (doc_id, page_no, error, width, height, glyphs, rects) is read several times, so it is best a written
+    table. Boxes have a bottom-left origin.
+    """
+    glyphs = pages.select("doc_id", "page_no", F.explode("glyphs").alias("g")).select("doc_id", "page_no", "g.*")
+    rects = pages.select("doc_id", "page_no", F.explode("rects").alias("r")).select("doc_id", "page_no", F.col("r.seq").alias("seq"), F.struct("r.left", "r.top", "r.right", "r.bottom").alias("bbox"))
+    sizes = lines.page_dimensions(glyphs, pages.where("error is null").select("doc_id", "page_no", "width", "height"))
+    blocks = lines.group_lines(lines.labelled(lines.build_lines(glyphs), sizes))
+    return blocks, sizes, layout.all_regions(layout.deduplicated(layout.rectangle_regions(rects, sizes)), blocks)
 
 
 def processed(

@@ -47,25 +47,27 @@ def extracted(files: DataFrame, extractor: Callable[[bytes], Iterable[Callable[[
     The extractor gives a function for each page, in order, and that function its rows. A page that can't be read
     gives one row with its error and nothing else, as does a file, with page 0; the other pages are not lost.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
+    whole = T.StructType.fromDDL(f"path string, page_no int, error string, {schema}")
 
-    def run(frames):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        for pdf in frames:
-            for path, content in zip(pdf.path, pdf.content, strict=True):
+        arrow = to_arrow_schema(whole)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows, at = [], 0
                 try:
-                    for at, page in enumerate(extractor(bytes(content)), 1):  # noqa: B007
+                    for at, page in enumerate(extractor(content), 1):  # noqa: B007
                         try:
                             rows += [{"path": path, "page_no": at, **r} for r in page()]
                         except Exception as x:  # noqa: BLE001 - a malformed page is an empty one
                             rows.append({"path": path, "page_no": at, "error": f"{type(x).__name__}: {x}"})
                 except Exception as x:  # noqa: BLE001 - a malformed file is an empty one
                     rows.append({"path": path, "page_no": 0, "error": f"{type(x).__name__}: {x}"})
-                yield pd.DataFrame(rows, columns=["path", "page_no", "error", *names])
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.select("path", "content").mapInPandas(run, f"path string, page_no int, error string, {schema}")
+    return files.select("path", "content").mapInArrow(run, whole)
 
 
 def page_limited(pages: DataFrame, most_pages: int = MOST_PAGES) -> tuple[DataFrame, DataFrame]:
