@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""What driver and executors share: a folder, and the rows of small tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     context._pagemill_dir = made
     return made
+
+
+#: Larger tables are read in as many tasks as they have splits.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose splits are fewer than the cores, dealt out over all of them; a table of more than a gigabyte stays as it is.
+
+    A file of one row group is one task, however many cores are idle; moving its rows costs less than the work on them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SPREAD_BYTES or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import patterns as P
 from pagemill.functions import text as X
+from pagemill.functions.shared import spread
 from pagemill.operators import clean, fold
 from pagemill.plans.registry import query
 from pagemill.sources import blocks as B
@@ -38,12 +39,17 @@ def sql_cascade(source: str) -> str:
 SQL_CASCADE = f"{SQL_LINES}, {sql_cascade('normal')}"
 
 
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id and text of documents, and columns ``more``, dealt out over the cores if the table is small."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *more))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return B.from_documents(documents(spark, sf_dir))
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return B.from_pages(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,19 +207,19 @@ def structural_headings(spark, sf_dir):
 
 @query("detect_language", f"SELECT doc_id, {X.sql_detected_language('text')} AS language FROM documents")
 def detect_language(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.detected_language(F.col("text")).alias("language"))
+    return documents(spark, sf_dir).select("doc_id", X.detected_language(F.col("text")).alias("language"))
 
 
 @query("language_vs_label", f"SELECT lang, {X.sql_detected_language('text')} AS language, count(*) AS n FROM documents GROUP BY 1, 2")
 def language_vs_label(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", X.detected_language(F.col("text")).alias("language"))
+    d = documents(spark, sf_dir, "lang").select("lang", X.detected_language(F.col("text")).alias("language"))
     return d.groupBy("lang", "language").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("effective_language", f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN lang ELSE coalesce(nullif({X.sql_detected_language('text')}, 'unknown'), 'en') END AS language FROM documents")
 def effective_language(spark, sf_dir):
     wanted = F.when(F.pmod("doc_id", F.lit(5)) == 0, F.col("lang")).otherwise("auto")
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = documents(spark, sf_dir, "lang")
     return d.select("doc_id", X.effective_language(X.detected_language(F.col("text")), wanted).alias("language"))
 
 

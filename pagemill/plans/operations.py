@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as X
 from pagemill.operators import chunk, layout, speech, voices
 from pagemill.operators import jobs as J
-from pagemill.plans.cleaning import SQL_LINES, lines
+from pagemill.plans.cleaning import SQL_LINES, documents, lines
 from pagemill.plans.jobs import _SQL, latest
 from pagemill.plans.registry import query
 from pagemill.plans.speech import _SQL_PAUSES
@@ -168,7 +168,7 @@ def engine_requests(spark, sf_dir):
 @query("spoken_audio", f"""WITH {chunk.sql_chunks("documents")}, paused AS ({_SQL_PAUSES})
 SELECT doc_id, round(sum(length(chunk) + silent_frames) / 22050.0, 6) AS seconds, CAST(count(*) AS INTEGER) AS chunks, CAST(sum(length(chunk) + silent_frames) * 2 + 44 AS BIGINT) AS bytes FROM paused GROUP BY doc_id""")
 def spoken_audio(spark, sf_dir):
-    chunks = chunk.with_pauses(chunk.split_text(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    chunks = chunk.with_pauses(chunk.split_text(documents(spark, sf_dir)))
     # an engine that says one silent sample for each character
     audio = speech.synthesized(chunks, lambda t: speech.pcm16([0.0] * len(t)))
     return audio.select("doc_id", F.round("seconds", 6).alias("seconds"), "chunks", F.octet_length("wav").cast("long").alias("bytes"))
@@ -180,7 +180,7 @@ def spoken_audio(spark, sf_dir):
 @query("text_previews", f"""SELECT doc_id, CASE WHEN strlen(text) > 200 THEN list_last(list_filter(list_transform(range(40, 201), lambda i: left(text, i)), lambda t: strlen(t) <= 200)) || {"'" + X.PREVIEW_MARK + "'"} ELSE text END AS preview,
  CASE WHEN strlen(text) > 150 THEN list_last(list_filter(list_transform(range(30, 151), lambda i: right(text, i)), lambda t: strlen(t) <= 150)) ELSE text END AS tail FROM documents""")
 def text_previews(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.preview(F.col("text"), 200).alias("preview"), X.tail(F.col("text"), 150).alias("tail"))
+    return documents(spark, sf_dir).select("doc_id", X.preview(F.col("text"), 200).alias("preview"), X.tail(F.col("text"), 150).alias("tail"))
 
 
 @query("safe_ratios", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 0.0 ELSE round(event_id / CAST(user_id % 3 AS DOUBLE), 9) END AS ratio FROM events")
