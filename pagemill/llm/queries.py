@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.shared import spread
 from pagemill.llm import chat, decontaminate, language, neardup, packing, sharding, token_counts, topk, toxicity, url_filter
 from pagemill.llm import sql as oracle
 
@@ -25,7 +26,8 @@ def _query(name: str, sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out over the cores if it is small and has fewer splits."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 @_query("op1_near_duplicates", oracle.NEAR_DUPLICATES)
