@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folders that this process has made and not deleted, with what deletes them.
+_made: dict[str, tuple] = {}
+
+
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's path in the shared folder; it is deleted by ``release`` or at the end of the process."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
+def delete(path: str, jvm, conf) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+def release(*paths: str) -> None:
+    """Delete these work folders, or all of this process. No lazy result that reads one may be used after it.
+
+    It also runs when the process ends: a result may read its folders until then.
+    """
+    for path in paths or list(_made):
+        try:
+            delete(path, *_made.pop(path))
+        except Exception:  # noqa: BLE001 - at the end of the process the JVM may be gone before
+            continue
+
+
+atexit.register(release)
+
 #: Larger tables are read in as many tasks as they have splits.
 SPREAD_BYTES = 1 << 30
 

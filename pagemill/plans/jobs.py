@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from pagemill.functions.shared import shared_dir
+from pagemill.functions.shared import work_folder
 from pagemill.operators import jobs as J
 from pagemill.plans.registry import query
 from pagemill.streaming import jobs as S
@@ -92,7 +91,7 @@ def speech_progress(spark, sf_dir):
 _MOVES = "(" + ", ".join(f"'{a}>{b}'" for a, then in J.TRANSITIONS.items() for b in then) + ")"
 
 
-@query("job_stream", f"""WITH RECURSIVE event AS (
+_SQL_STATES = f"""WITH RECURSIVE event AS (
   SELECT user_id AS job_id, ts, {_STATUS} AS status, event_type AS step, {_PROGRESS} AS p FROM events
 ), ranked AS (
   SELECT job_id, ts, status, step, CASE WHEN status = 'failed' THEN greatest(p, 0.05) ELSE p END AS p, row_number() OVER (PARTITION BY job_id ORDER BY ts, status, step, p) AS k FROM event
@@ -102,14 +101,28 @@ _MOVES = "(" + ", ".join(f"'{a}>{b}'" for a, then in J.TRANSITIONS.items() for b
   SELECT s.job_id, r.k, CASE WHEN moves THEN r.status ELSE s.status END, CASE WHEN moves THEN r.step ELSE s.step END, CASE WHEN moves THEN r.p ELSE s.progress END, s.created_at, CASE WHEN moves THEN r.ts ELSE s.updated_at END, s.version + CASE WHEN moves THEN 1 ELSE 0 END
   FROM state s JOIN ranked r ON r.job_id = s.job_id AND r.k = s.k + 1,
        LATERAL (SELECT (r.status = s.status AND s.status IN ('pending', 'running')) OR s.status || '>' || r.status IN {_MOVES} AS moves)
-)
-SELECT job_id, status, step, round(progress, 9) AS progress, created_at, updated_at, version FROM (SELECT *, max(k) OVER (PARTITION BY job_id) AS last FROM state) WHERE k = last""")
-def job_stream(spark, sf_dir):
+), ended AS (
+  SELECT job_id, status, step, round(progress, 9) AS progress, created_at, updated_at, version FROM (SELECT *, max(k) OVER (PARTITION BY job_id) AS last FROM state) WHERE k = last
+)"""
+
+
+def streamed_states(spark, sf_dir):
     """All events as a stream through the state machine, to the end; the last state of each job."""
-    path, folder = f"{sf_dir}/events.parquet", f"{shared_dir(spark)}/job-stream-{uuid.uuid4().hex}"
+    path, folder = f"{sf_dir}/events.parquet", work_folder(spark, "job-stream")
     # a pattern, because a stream takes a file's path for a folder's
     events = J.from_events(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet"))
     states = S.job_states(events.select("job_id", F.col("updated_at").cast("timestamp").alias("updated_at"), "status", "step", "progress"))
     S.run_to_table(states, f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
     found = S.latest_states(spark, f"{folder}/states")
     return found.select("job_id", "status", "step", F.round("progress", 9).alias("progress"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "version")
+
+
+@query("job_stream", f"{_SQL_STATES} SELECT * FROM ended")
+def job_stream(spark, sf_dir):
+    return streamed_states(spark, sf_dir)
+
+
+@query("job_stream_changes", f"{_SQL_STATES} SELECT job_id, status, version FROM ended WHERE version > 2")
+def job_stream_changes(spark, sf_dir):
+    """What a viewer that has seen every job's second version has to draw again."""
+    return S.changed_since(streamed_states(spark, sf_dir), 2).select("job_id", "status", "version")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
+from pagemill.functions.shared import work_folder
 from pagemill.operators import chunk, layout, speech, voices
 from pagemill.operators import jobs as J
 from pagemill.plans.cleaning import SQL_LINES, documents, lines
@@ -211,6 +212,31 @@ def public_metadata(spark, sf_dir):
     return files.public_metadata(rows)
 
 
+#: Documents as cleaned texts, of which every fourth is blank.
+_CLEANED = "CASE WHEN doc_id % 4 = 1 THEN concat(' ', chr(10)) ELSE concat('  ', text, chr(10), ' ') END"
+
+
+@query("written_texts", f"SELECT doc_id, {X.sql_trimmed('text')} || chr(10) AS text FROM documents WHERE doc_id % 4 <> 1 AND {X.sql_trimmed('text')} <> ''")
+def written_texts(spark, sf_dir):
+    path = work_folder(spark, "texts")
+    files.write_texts(documents(spark, sf_dir).select("doc_id", F.expr(_CLEANED).alias("text")), path)
+    return files.read_texts(spark, path)
+
+
+@query("rejected_texts", f"SELECT doc_id, 'no narrative text remained after cleanup' AS reason FROM documents WHERE doc_id % 4 = 1 OR {X.sql_trimmed('text')} = ''")
+def rejected_texts(spark, sf_dir):
+    return files.write_texts(documents(spark, sf_dir).select("doc_id", F.expr(_CLEANED).alias("text")), work_folder(spark, "texts"))
+
+
+@query("latest_metadata", """SELECT CAST(event_id AS VARCHAR) AS job_id, CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'saved' END AS stage, '{"job_id":"' || event_id || '","stage":"' || CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'saved' END || '","user":' || user_id || '}' AS json FROM events""")
+def latest_metadata(spark, sf_dir):
+    path = work_folder(spark, "metadata")
+    rows = _events(spark, sf_dir).select(F.col("event_id").cast("string").alias("job_id"), F.lit("saved").alias("stage"), F.col("user_id").alias("user"), F.lit("secret").alias(files.SECRET))
+    files.write_metadata(rows, path)
+    files.write_metadata(rows.where("cast(job_id as bigint) % 3 = 0").withColumn("stage", F.lit("done")), path)
+    return files.latest_metadata(spark, path)
+
+
 # -- the queue ------------------------------------------------------------------------------------
 
 #: More than the jobs of any table, so that the queue has room for some.
