@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.shared import shared_dir
+from pagemill.functions.shared import delete, release, work_folder
 from pagemill.functions.shipping import ship
 
 
@@ -21,37 +19,16 @@ def map_arrow(df: DataFrame, f: Callable, schema: T.StructType | str) -> DataFra
     return df.mapInArrow(f, schema)
 
 
-#: Folders of work tables that this process has made and not deleted, with what deletes them.
-_open: dict[str, tuple] = {}
-
-
-def release() -> None:
-    """Delete all work tables of this process. No result that was returned before may be read after it.
-
-    It also runs when the process ends: a result is lazy and may read its tables until then.
-    """
-    for root, (jvm, conf) in list(_open.items()):
-        try:
-            _delete_path(jvm, conf, root)
-        except Exception:  # noqa: BLE001 - at the end of the process the JVM may be gone, and its tables with the folder
-            pass
-        _open.pop(root, None)
-
-
-atexit.register(release)
-
-
 class WorkTables:
     """Parquet tables in the shared folder: they cut lineage and survive lost executors.
 
     An operator drops a table once no later step reads it. Those that its lazy result still reads
-    stay until ``release``, or the end of the process.
+    stay until ``pagemill.functions.shared.release``, or the end of the process.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-        _open[self.root] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+        self.root = work_folder(spark, what)
         self._n = 0
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 
@@ -71,27 +48,17 @@ class WorkTables:
         """Delete tables that no later step reads."""
         for df in frames:
             _, path = self._paths.pop(id(df))
-            _delete(self.spark, path)
+            delete(path, self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep_only(self, *frames: DataFrame) -> None:
         """Delete all tables but these."""
         self.drop(*[df for df, _ in list(self._paths.values()) if not any(df is f for f in frames)])
 
     def drop_all(self) -> None:
-        _delete(self.spark, self.root)
-        _open.pop(self.root, None)
+        release(self.root)
         self._paths.clear()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    _delete_path(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
-
-
-def _delete_path(jvm, conf, path: str) -> None:
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
 def row_bytes(df: DataFrame) -> Column:
     """About how many bytes a row takes in memory, over all its columns."""
 

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WorkTables, fresh_name, map_arrow, shared_dir, slices
+from pagemill.functions.shared import shared_dir
+from pagemill.llm.common import WorkTables, fresh_name, map_arrow, slices
 from pagemill.llm.tokens import encoder
 
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
