@@ -189,11 +189,15 @@ def median_font(spark, sf_dir):
 _RISE = "CASE WHEN k % 11 = 5 THEN 2.0 ELSE 0.25 * (k % 3) END"
 
 
-def glyphs(spark, sf_dir):
-    """Every word of lines as a glyph around baselines 12 points apart: a page is sixty lines, as wide as its longest needs."""
+def glyphs(spark, sf_dir, by_page=True):
+    """Every word of lines as a glyph around baselines 12 points apart: a page is sixty lines, as wide as its longest needs.
+
+    ``by_page``: dealt out by pages, for what is done with all glyphs of a page; a measure of pages needs no such exchange.
+    """
     b = lines(spark, sf_dir).where("text <> ''").select("doc_id", (F.floor(F.col("ord") / 60) + 1).cast("int").alias("page_no"), "ord", "text")
     # pages are dealt out as lines: words would take several times the room
-    w = b.repartition("doc_id", "page_no").select("doc_id", "page_no", "ord", F.posexplode(F.split("text", " ")).alias("k", "s"))
+    b = b.repartition("doc_id", "page_no") if by_page else b
+    w = b.select("doc_id", "page_no", "ord", F.posexplode(F.split("text", " ")).alias("k", "s"))
     y = 780.0 - 12.0 * F.pmod("ord", F.lit(60)) + F.expr(_RISE).cast("double")
     size = F.when(F.col("ord") == 0, 16.0).otherwise(10.0)
     font = F.when(F.col("k") % 4 == 3, "italic").otherwise("body")
@@ -227,10 +231,13 @@ def glyph_lines(spark, sf_dir):
     return L.build_lines(glyphs(spark, sf_dir)).select("doc_id", "page_no", "line_no", "text", "left", "top", "right", "bottom")
 
 
+def _labelled(spark, sf_dir):
+    return L.labelled(L.build_lines(glyphs(spark, sf_dir)), L.page_dimensions(glyphs(spark, sf_dir, by_page=False)))
+
+
 @query("line_labels", f"{_SQL_LABELS} SELECT doc_id, page_no, line_no, label, median FROM labelled")
 def line_labels(spark, sf_dir):
-    g = glyphs(spark, sf_dir)
-    return L.labelled(L.build_lines(g), L.page_dimensions(g)).select("doc_id", "page_no", "line_no", "label", "median")
+    return _labelled(spark, sf_dir).select("doc_id", "page_no", "line_no", "label", "median")
 
 
 # all lines begin at one place, so a block's box beside and below is that of its last line
@@ -247,14 +254,13 @@ def line_labels(spark, sf_dir):
 )
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no, no) - 1 AS INTEGER) AS ord, page_no, label, text, "left", top, "right", bottom FROM joined""")
 def glyph_blocks(spark, sf_dir):
-    g = glyphs(spark, sf_dir)
-    b = L.group_lines(L.labelled(L.build_lines(g), L.page_dimensions(g)))
+    b = L.group_lines(_labelled(spark, sf_dir))
     return b.select("doc_id", "ord", "page_no", "label", "text", "bbox.left", "bbox.top", "bbox.right", "bbox.bottom")
 
 
 @query("page_dimensions", f"{_SQL_GLYPHS} SELECT doc_id, page_no, CAST(greatest(612, max(x + 58)) AS DOUBLE) AS width, CAST(greatest(792, max(y + size + 18)) AS DOUBLE) AS height FROM glyph GROUP BY doc_id, page_no")
 def page_dimensions(spark, sf_dir):
-    return L.page_dimensions(glyphs(spark, sf_dir))
+    return L.page_dimensions(glyphs(spark, sf_dir, by_page=False))
 
 
 @query("dominant_font", f"{_SQL_GLYPHS}, counted AS (SELECT doc_id, page_no, ord, CASE WHEN k % 4 = 3 THEN 'italic' ELSE 'body' END AS font, count(*) AS n FROM glyph WHERE {X.sql_trimmed('s')} <> '' GROUP BY ALL) SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY ord) - 1 AS INTEGER) AS line_no, arg_min(font, (-n, font)) AS font FROM counted GROUP BY doc_id, page_no, ord")
