@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import patterns as P
 from pagemill.functions import text as X
+from pagemill.functions.folds import scan
 
 MOST_BLOCKS, MOST_CHARS, EXCERPT_CHARS = 20, 6000, 700
 _REPLY = "order array<int>, results array<struct<id:int,action:string,reason:string>>"
@@ -22,15 +23,19 @@ _REPLY = "order array<int>, results array<struct<id:int,action:string,reason:str
 
 def batches(blocks: DataFrame) -> DataFrame:
     """``blocks`` with ``batch``, from 0 in each document: 20 blocks, 6000 characters or one page at most."""
-    sizes = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), F.coalesce("page_no", F.lit(0)).alias("page")))).alias("b"))
-    state = F.struct(F.lit(-1).alias("batch"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(-1).alias("page"), F.array().cast("array<struct<ord:int,batch:int>>").alias("out"))
+    sizes = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), F.coalesce("page_no", F.lit(0)).alias("page")))).alias("b"))
+    start = F.struct(F.lit(-1).alias("batch"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(-1).alias("page"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def number(acc: Column, x: Column) -> Column:
         full = (acc["n"] == 0) | (acc["n"] >= MOST_BLOCKS) | (acc["chars"] + x["chars"] > MOST_CHARS) | ((acc["page"] >= 0) & (acc["page"] != x["page"]))
-        batch = acc["batch"] + full.cast("int")
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["chars"]).otherwise(acc["chars"] + x["chars"]).alias("chars"), x["page"].alias("page"), F.array_append(acc["out"], F.struct(x["ord"].cast("int").alias("ord"), batch.alias("batch"))).alias("out"))
+        return acc["batch"] + full.cast("int")
 
-    found = sizes.select("doc_id", F.explode(F.aggregate("b", state, step, lambda acc: acc["out"])).alias("x")).select("doc_id", "x.ord", "x.batch")
+    def filled(acc: Column, x: Column, batch: Column) -> Column:
+        new = batch != acc["batch"]
+        return F.struct(batch.alias("batch"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, x["chars"]).otherwise(acc["chars"] + x["chars"]).alias("chars"), x["page"].alias("page"))
+
+    numbered = sizes.select("doc_id", "b", scan(F.col("b"), start, number, filled, "int").alias("batches"))
+    found = numbered.select("doc_id", "batches", F.posexplode("b").alias("at", "x")).select("doc_id", F.col("x.ord").alias("ord"), F.element_at("batches", F.col("at") + 1).alias("batch"))
     return blocks.join(found, ["doc_id", "ord"])
 
 
