@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WorkTables, append_struct, map_arrow, slices, utf8
+from pagemill.llm.common import WorkTables, append_struct, fresh_name, map_arrow, slices, utf8
 
 WIDTH = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -500,18 +500,19 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``how`` goes to ``near_duplicates``.
     """
     work = WorkTables(docs.sparkSession, "neardup-drop")
-    judged = _judged(docs, id_col, text_col, **how).where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.coalesce("digest", F.lit(b"")).alias("_digest"), "stands")
-    judged = work.keep(judged, "judged")
-    by_id = judged.groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("stands").alias("n_kept"))
-    marked = work.keep(by_id.where("n > 1 or n_kept = 0").select("_id", (F.col("n_kept") > 0).alias("some")), "marked")
-    side = F.broadcast(marked) if marked.count() * _MARKED_BYTES <= broadcast_bytes else marked
-    own = F.col(f"`{id_col}`").cast("bigint")
-    plain = docs.join(side, own == side["_id"], "left_anti")
-    some = marked.where("some").select("_id")
+    own, kept_id = F.col(f"`{id_col}`").cast("bigint"), fresh_name(docs.columns, "kept_id")
+    kept_digest = fresh_name([*docs.columns, kept_id], "kept_digest")
+    judged = _judged(docs, id_col, text_col, **how).where("doc_id is not null")
+    judged = work.keep(judged.select(F.col("doc_id").alias(kept_id), F.coalesce("digest", F.lit(b"")).alias(kept_digest), "stands"), "judged")
+    by_id = judged.groupBy(kept_id).agg(F.count(F.lit(1)).alias("n"), F.count_if("stands").alias("n_kept"))
+    marked = work.keep(by_id.where("n > 1 or n_kept = 0").select(kept_id, (F.col("n_kept") > 0).alias("some")), "marked")
+    side = marked.select(kept_id)
+    side = F.broadcast(side) if marked.count() * _MARKED_BYTES <= broadcast_bytes else side
+    plain = docs.join(side, own == F.col(kept_id), "left_anti")
+    some = marked.where("some").select(kept_id)
     if some.isEmpty():
         return plain
-    found, name = append_struct(docs.join(some, own == some["_id"], "left_semi"), [text_col], _digests, _DIGEST, "words")
-    pairs = judged.where("stands").join(some, "_id", "left_semi").select("_id", "_digest").distinct()
-    digest = F.col(f"`{name}`.digest")
-    again = found.join(pairs, (own == pairs["_id"]) & (digest == pairs["_digest"])).dropDuplicates(["_id", "_digest"])
+    found, name = append_struct(docs.join(some, own == F.col(kept_id), "left_semi"), [text_col], _digests, _DIGEST, "words")
+    pairs = judged.where("stands").join(some, kept_id, "left_semi").select(kept_id, kept_digest).distinct()
+    again = found.join(pairs, (own == F.col(kept_id)) & (F.col(f"`{name}`.digest") == F.col(kept_digest))).dropDuplicates([kept_id, kept_digest])
     return plain.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))

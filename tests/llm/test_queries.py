@@ -135,3 +135,31 @@ def test_no_language_to_learn(spark, tmp_path, rows):
     got = queries.QUERIES["op5_language"](spark, sf).collect()
     assert sorted((r["doc_id"], r["lang_pred"], r["score"], r["rejected"]) for r in got) == [(r[0], "und", 0.0, True) for r in rows]
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Columns with the operators' own names, nulls, repeated rows and ids, and a very long text, through all stages."""
+    rng = random.Random(30)
+    make = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(n))
+    long = make(200_000)
+    texts = [(i, make(40)) for i in range(60)] + [(60, long), (61, long + " more"), (5, make(30)), (None, make(25)), (None, None), (7, None), (62, "")]
+    texts += [texts[3], texts[3]]
+    rows = [(i, t, "xx", "s", 1, "d", 2.5, "l", "scan", 3) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, score double, language string, scan string, _id int"
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, long[100:400])], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.schema == docs.schema, name
+        out.write.parquet(f"{sf}/{name}")
+        docs = spark.read.parquet(f"{sf}/{name}")
+        kept[name] = sorted((-1 if r["doc_id"] is None else r["doc_id"], len(r["text"] or "")) for r in docs.collect())
+    worded = sorted((-1 if i is None else i, len(t)) for i, t in texts if t)
+    assert kept["language"] == kept["toxicity"] == worded
+    assert kept["near_duplicates"] == sorted({x for x in worded if x[0] != 61})
+    assert kept["decontamination"] == [x for x in kept["near_duplicates"] if x[0] != 60]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r["doc_id"] for r in packed} == {None if i == -1 else i for i, _ in kept["decontamination"]}
