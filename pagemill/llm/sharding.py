@@ -79,11 +79,13 @@ def shuffle_shards(
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField(bucket, T.IntegerType()), T.StructField(place, T.LongType())]
     shuffled = work.keep(map_arrow(exchanged, _shuffle(bucket, place, tie, seed), T.StructType(fields)), "buckets")
     counts = shuffled.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
-    offsets = _earlier(counts.select(F.col(bucket).alias("b"), "n"))
+    taken = [*docs.columns, bucket, place]
+    of, earlier = fresh_name(taken, "of_bucket"), fresh_name(taken, "earlier")
+    offsets = _earlier(counts.select(F.col(bucket).alias("b"), "n")).select(F.col("b").alias(of), F.col("earlier").alias(earlier))
     if buckets <= small_buckets:
         offsets = F.broadcast(offsets)
-    at = F.col(place) + F.col("earlier")
-    dealt = shuffled.join(offsets, F.col(bucket) == F.col("b"))
+    at = F.col(place) + F.col(earlier)
+    dealt = shuffled.join(offsets, F.col(bucket) == F.col(of))
     where = F.struct(F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / F.lit(shards)).cast("long").alias("slot"))
     return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], where.alias(name)), name
 

@@ -232,6 +232,22 @@ def test_buckets_count_all_columns(spark):
     assert [r["n"] for r in df.select(row_bytes(df).alias("n")).collect()] == [64 + 2 + 16 + 3 + 8 + len('{"f":["ab"]}'), 64 + 8 + 2]
 
 
+def test_helper_columns_clash_with_none(spark):
+    """Columns of all the names that operators use themselves, in a second table of the same rows."""
+    names = ["b", "g", "n", "earlier", "of_bucket", "tie", "place", "bucket", "sharded", "digest", "tokens", "key", "stored_n", "n_tokens", "words", "kept_id", "kept_digest", "stands", "label", "scan", "toxicity", "host", "path", "judged", "filter", "result"]
+    d = spark.createDataFrame([(i, f"a b c d e {i % 3}", *range(len(names))) for i in range(9)], f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    from pagemill.llm.common import WorkTables
+
+    d = WorkTables(spark, "test").keep(d)
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for found in (sharding.shuffle_shards(d, shards=2)[0], token_counts.count_tokens(d)[0], neardup.one_of_each(d), decontaminate.scan(d, items)[0], decontaminate.redacted(d, items), toxicity.score(d, toxicity.NOTHING)[0], language.identify(d, language.NO_LANGUAGES)[0], url_filter.judge(d, RULES, url_col="text")[0]):
+        assert found.columns[: len(d.columns)] == d.columns
+        rows = found.collect()
+        assert rows and all(tuple(r)[2 : 2 + len(names)] == tuple(range(len(names))) for r in rows)
+    for found in (neardup.near_duplicates(d), packing.pack(d), topk.top_k(d.select("*", F.array("n").alias("embedding")), id_col="doc_id")):
+        assert found.count() > 0
+
+
 def test_a_very_long_row_is_shuffled(spark):
     d = docs(spark, ["x" * 3_000_000, None, "y"])
     found, name = sharding.shuffle_shards(d, shards=2, bucket_bytes=1000)
